@@ -37,34 +37,37 @@ def ratio(numerator: Column, denominator: Column, default: float = 0.0) -> Colum
 
 
 def metric_cells(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Predictions -> mergeable sums per (keys, gold, predicted, confidence bin)."""
-    p = F.col("probabilities")
-    gold = F.col("gold_index")
-    confidence = F.array_max(p)
-    squares = F.aggregate(p, F.lit(0.0), lambda total, v: total + v * v)
-    p_gold = F.get(p, gold)
-    rows = predictions.select(
+    """Predictions -> mergeable sums per (keys, gold, predicted, confidence bin).
+
+    brier = sum_i (p_i - [i = gold])^2 = sum_i p_i^2 - 2 p_gold + 1.
+    """
+    facts = predictions.selectExpr(
         *keys,
-        gold.alias("gold"),
-        F.col("predicted_index").alias("predicted"),
-        F.least((confidence * ECE_BINS).cast("int"), F.lit(ECE_BINS - 1)).alias("bin"),
-        F.log(F.greatest(p_gold, F.lit(FLOOR))).alias("ll"),
-        (squares - 2 * p_gold + 1).alias("brier"),
-        ((F.array_position(p, confidence) - 1 == gold).cast("double") - confidence).alias("gap"),
-        F.col("latency_ms"),
-        F.col("score_metadata.usage").alias("usage"),
+        "gold_index AS gold",
+        "predicted_index AS predicted",
+        "latency_ms",
+        "score_metadata.usage AS usage",
+        "array_max(probabilities) AS confidence",
+        "array_position(probabilities, array_max(probabilities)) - 1 = gold_index AS hit",
+        "get(probabilities, gold_index) AS p_gold",
+        "aggregate(probabilities, 0D, (total, v) -> total + v * v) AS squares",
     )
-    count = F.count(F.lit(1))
+    rows = facts.withColumn(
+        "bin", F.expr(f"least(int(confidence * {ECE_BINS}), {ECE_BINS - 1})")
+    )
+    sums = {
+        "n": "count(1)",
+        "n_prob": "count(confidence)",
+        "n_usage": "count(usage)",
+        "sum_ll": f"sum(ln(greatest(p_gold, {FLOOR}D)))",
+        "sum_brier": "sum(squares - 2 * p_gold + 1)",
+        "sum_gap": "sum(double(hit) - confidence)",
+        "sum_latency": "sum(latency_ms)",
+        "sum_input": "sum(coalesce(usage.input_tokens, 0))",
+        "sum_output": "sum(coalesce(usage.output_tokens, 0))",
+    }
     return rows.groupBy(*keys, "gold", "predicted", "bin").agg(
-        count.alias("n"),
-        F.count("gap").alias("n_prob"),
-        F.count("usage").alias("n_usage"),
-        F.sum("ll").alias("sum_ll"),
-        F.sum("brier").alias("sum_brier"),
-        F.sum("gap").alias("sum_gap"),
-        F.sum("latency_ms").alias("sum_latency"),
-        F.sum(F.coalesce("usage.input_tokens", F.lit(0))).alias("sum_input"),
-        F.sum(F.coalesce("usage.output_tokens", F.lit(0))).alias("sum_output"),
+        *[F.expr(f"{body} AS {name}") for name, body in sums.items()]
     )
 
 
@@ -77,55 +80,90 @@ def merge_cells(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def _with_ranks(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tie-averaged ranks of both marginals, centred on their known mean (n + 1) / 2."""
-    group = Window.partitionBy(*keys)
-    total = F.sum("n").over(group)
-    out = cells
-    for name in ("gold", "predicted"):
-        order = group.orderBy(name)
-        upto = F.sum("n").over(order.rangeBetween(Window.unboundedPreceding, 0))
-        same = F.sum("n").over(order.rangeBetween(0, 0))
-        rank = upto - same + (same + 1) / 2
-        out = out.withColumn(f"r_{name}", rank - (total + 1) / 2)
-    return out
+    part = "PARTITION BY " + ", ".join(f"`{k}`" for k in keys)
+
+    def rank(name: str) -> str:
+        upto = f"sum(n) OVER ({part} ORDER BY {name})"
+        same = f"sum(n) OVER ({part}, {name})"
+        return f"{upto} - {same} + ({same} + 1) / 2 - (sum(n) OVER ({part}) + 1) / 2 AS r_{name}"
+
+    return cells.selectExpr("*", rank("gold"), rank("predicted"))
+
+
+# Sums over the cells of one key; `d` is predicted - gold.
+_TOTALS = {
+    "total": "sum(n)",
+    "correct": "sum(if(gold = predicted, n, 0))",
+    "tp": "sum(if(predicted = 1 AND gold = 1, n, 0))",
+    "fp": "sum(if(predicted = 1 AND gold = 0, n, 0))",
+    "fn": "sum(if(predicted = 0 AND gold = 1, n, 0))",
+    "low": "min(least(gold, predicted))",
+    "high": "max(greatest(gold, predicted))",
+    "abs_error": "sum(n * abs(bigint(predicted - gold)))",
+    "square_error": "sum(n * bigint((predicted - gold) * (predicted - gold)))",
+    "s_p": "double(sum(n * bigint(predicted)))",
+    "s_g": "double(sum(n * bigint(gold)))",
+    "s_pp": "double(sum(n * bigint(predicted * predicted)))",
+    "s_gg": "double(sum(n * bigint(gold * gold)))",
+    "r_gp": "sum(n * r_gold * r_predicted)",
+    "r_gg": "sum(n * r_gold * r_gold)",
+    "r_pp": "sum(n * r_predicted * r_predicted)",
+    "n_prob": "sum(n_prob)",
+    "n_usage": "sum(n_usage)",
+    "ll": "sum(sum_ll)",
+    "brier": "sum(sum_brier)",
+    "latency": "sum(sum_latency)",
+    "inputs": "sum(sum_input)",
+    "outputs": "sum(sum_output)",
+    **{f"gap{b}": f"abs(coalesce(sum(if(bin = {b}, sum_gap, 0D)), 0D))" for b in range(ECE_BINS)},
+}
+_GAPS = " + ".join(f"gap{b}" for b in range(ECE_BINS))
+# Quadratic weighted kappa from moments: 1 - n S(p-g)^2 / (n Sp^2 + n Sg^2 - 2 Sp Sg).
+_KAPPA = (
+    "if(high < 1, 1D, coalesce(1 - try_divide(double(total) * square_error, "
+    "double(total) * s_pp + double(total) * s_gg - 2 * s_p * s_g), 1D))"
+)
+_DERIVED = {
+    "p_": "coalesce(try_divide(tp, tp + fp), 0D)",
+    "r_": "coalesce(try_divide(tp, tp + fn), 0D)",
+    "k_": _KAPPA,
+    "c_": "n_prob = total",
+    "u_": "n_usage > 0",
+}
 
 
-def finalize(cells: DataFrame, keys: Sequence[str] = KEYS, task: str = "task") -> DataFrame:
-    """Cells -> one row of metrics per key; metrics that do not apply are NULL."""
-    n, g, p = F.col("n"), F.col("gold"), F.col("predicted")
-    d = (p - g).cast("bigint")
-    rg, rp = F.col("r_gold"), F.col("r_predicted")
+def _final(task: str) -> dict[str, str]:
+    noul, score = f"`{task}` = 'noul'", f"`{task}` = 'score'"
+    return {
+        "accuracy": "coalesce(try_divide(correct, total), 0D)",
+        "correct": "correct",
+        "total": "total",
+        "mean_latency_ms": "latency / total",
+        "sum_latency_ms": "latency",
+        "input_tokens": "if(u_, inputs, NULL)",
+        "output_tokens": "if(u_, outputs, NULL)",
+        "total_tokens": "if(u_, inputs + outputs, NULL)",
+        "mean_tokens_per_item": "if(u_, (inputs + outputs) / total, NULL)",
+        "nll": "if(c_, -ll / total, NULL)",
+        "brier_score": "if(c_, brier / total, NULL)",
+        "ece": f"if(c_, ({_GAPS}) / total, NULL)",
+        "precision": f"if({noul}, p_, NULL)",
+        "recall": f"if({noul}, r_, NULL)",
+        "f1": f"if({noul}, coalesce(try_divide(2 * p_ * r_, p_ + r_), 0D), NULL)",
+        "mae": f"if({score}, abs_error / total, NULL)",
+        "rmse": f"if({score}, sqrt(square_error / total), NULL)",
+        "spearman": f"if({score}, coalesce(try_divide(r_gp, sqrt(r_gg * r_pp)), 0D), NULL)",
+        "quadratic_weighted_kappa": f"if({score}, k_, NULL)",
+        "normalized_quadratic_weighted_kappa": (
+            f"if({score}, least(greatest((k_ + 1) / 2, 0D), 1D), NULL)"
+        ),
+    }
 
-    def total(value: Column) -> Column:
-        return F.sum(n * value)
 
+def finalize(cells: DataFrame, keys: Sequence[str] = KEYS, task: str = "task") -> DataFrame:
+    """Cells -> one row of metrics per key; metrics that do not apply are NULL."""
     sums = _with_ranks(cells, keys).groupBy(*keys).agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(g == p, n).otherwise(0)).alias("correct"),
-        F.sum(F.when((p == 1) & (g == 1), n).otherwise(0)).alias("tp"),
-        F.sum(F.when((p == 1) & (g == 0), n).otherwise(0)).alias("fp"),
-        F.sum(F.when((p == 0) & (g == 1), n).otherwise(0)).alias("fn"),
-        F.min(F.least(g, p)).alias("low"),
-        F.max(F.greatest(g, p)).alias("high"),
-        total(F.abs(d)).alias("abs_error"),
-        total(d * d).alias("square_error"),
-        total(p.cast("bigint")).alias("s_p"),
-        total(g.cast("bigint")).alias("s_g"),
-        total((p * p).cast("bigint")).alias("s_pp"),
-        total((g * g).cast("bigint")).alias("s_gg"),
-        total(rg * rp).alias("r_gp"),
-        total(rg * rg).alias("r_gg"),
-        total(rp * rp).alias("r_pp"),
-        F.sum("n_prob").alias("n_prob"),
-        F.sum("n_usage").alias("n_usage"),
-        F.sum("sum_ll").alias("ll"),
-        F.sum("sum_brier").alias("brier"),
-        F.sum("sum_latency").alias("latency"),
-        F.sum("sum_input").alias("inputs"),
-        F.sum("sum_output").alias("outputs"),
-        *[
-            F.sum(F.when(F.col("bin") == b, F.col("sum_gap"))).alias(f"gap{b}")
-            for b in range(ECE_BINS)
-        ],
+        *[F.expr(f"{body} AS {name}") for name, body in _TOTALS.items()]
     )
     t = F.col(task)
     sums = require(sums, t.isin(*TASKS), F.concat(F.lit("unsupported task_type: "), t))
@@ -134,45 +172,9 @@ def finalize(cells: DataFrame, keys: Sequence[str] = KEYS, task: str = "task") -
         (t != "noul") | ((F.col("low") >= 0) & (F.col("high") <= 1)),
         "noul evaluation requires binary indices",
     )
-    rows = F.col("total").cast("double")
-    calibrated = F.col("n_prob") == F.col("total")
-    used = F.col("n_usage") > 0
-    ece = sum((F.abs(F.coalesce(f"gap{b}", F.lit(0.0))) for b in range(ECE_BINS)), F.lit(0.0))
-    precision = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    recall = ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    s = {c: F.col(c).cast("double") for c in ("s_p", "s_g", "s_pp", "s_gg", "square_error")}
-    expected = rows * s["s_pp"] + rows * s["s_gg"] - 2 * s["s_p"] * s["s_g"]
-    kappa = F.when(F.col("high") < 1, F.lit(1.0)).otherwise(
-        F.coalesce(1 - F.try_divide(rows * s["square_error"], expected), F.lit(1.0))
-    )
-    spearman = ratio(F.col("r_gp"), F.sqrt(F.col("r_gg") * F.col("r_pp")))
-    noul, score = t == "noul", t == "score"
-    wide = sums.withColumns({"precision_": precision, "recall_": recall, "kappa_": kappa})
-    pr = F.col("precision_") + F.col("recall_")
-    return wide.select(
-        *keys,
-        ratio(F.col("correct"), rows).alias("accuracy"),
-        "correct",
-        "total",
-        (F.col("latency") / rows).alias("mean_latency_ms"),
-        F.col("latency").alias("sum_latency_ms"),
-        F.when(used, F.col("inputs")).alias("input_tokens"),
-        F.when(used, F.col("outputs")).alias("output_tokens"),
-        F.when(used, F.col("inputs") + F.col("outputs")).alias("total_tokens"),
-        F.when(used, (F.col("inputs") + F.col("outputs")) / rows).alias("mean_tokens_per_item"),
-        F.when(calibrated, -F.col("ll") / rows).alias("nll"),
-        F.when(calibrated, F.col("brier") / rows).alias("brier_score"),
-        F.when(calibrated, ece / rows).alias("ece"),
-        F.when(noul, F.col("precision_")).alias("precision"),
-        F.when(noul, F.col("recall_")).alias("recall"),
-        F.when(noul, ratio(2 * F.col("precision_") * F.col("recall_"), pr)).alias("f1"),
-        F.when(score, F.col("abs_error") / rows).alias("mae"),
-        F.when(score, F.sqrt(s["square_error"] / rows)).alias("rmse"),
-        F.when(score, spearman).alias("spearman"),
-        F.when(score, F.col("kappa_")).alias("quadratic_weighted_kappa"),
-        F.when(score, normalized_kappa(F.col("kappa_"))).alias(
-            "normalized_quadratic_weighted_kappa"
-        ),
+    derived = sums.selectExpr("*", *[f"{body} AS {name}" for name, body in _DERIVED.items()])
+    return derived.selectExpr(
+        *[f"`{k}`" for k in keys], *[f"{body} AS {name}" for name, body in _final(task).items()]
     )
 
 

@@ -11,6 +11,7 @@ from gavel.operators.items import score_items, yes_no_items
 from gavel.operators.metrics import summarize
 from gavel.operators.scoring import mock_scores
 from gavel.schemas import ITEM_COLUMNS, validate_items
+from gavel.session import spread
 
 MODELS = tuple(f"m{i}" for i in range(6))
 YES_NO_TEMPLATES = {
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Selected columns of a table, spread over the cores for heavy per-row work."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles at nine digits, the precision the results are compared at."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in columns})
@@ -34,7 +40,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def items_noul(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFrame:
     """Yes/no items: is the document toxic (or of high quality)?"""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(
+    rows = wide_table(spark, sf_dir, "documents", "doc_id", "text").join(
         table(spark, sf_dir, "labels").select("doc_id", label), "doc_id"
     )
     source = {
@@ -48,7 +54,7 @@ def items_noul(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFr
 
 def items_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordinal items: the size of an event's value on five levels, one dataset per type."""
-    events = table(spark, sf_dir, "events")
+    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "value")
     rows = events.select(
         F.concat_ws(":", "event_id", "event_type").alias("id"),
         F.concat_ws(" ", "event_type", F.round(F.col("value") * 100).cast("bigint")).alias("state"),
@@ -68,7 +74,9 @@ def items_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-option items: an order's priority, answered by its 1-based number."""
     from gavel.functions.text import answer_index
 
-    orders = table(spark, sf_dir, "orders")
+    orders = wide_table(
+        spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
+    )
     dataset = F.concat(F.lit("prio_"), F.col("o_orderstatus"))
     options = F.array(*[F.lit(p) for p in PRIORITIES])
     answer = F.substring("o_orderpriority", 1, 1)

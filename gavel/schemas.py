@@ -66,52 +66,56 @@ def require(df: DataFrame, condition: Column, message: str | Column) -> DataFram
     return df.filter(F.when(condition, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
 
 
-def item_problem(max_options: int | None = MAX_OPTIONS, max_chars: int | None = None) -> Column:
-    """First broken item rule as text, NULL when the item is valid."""
+Check = tuple[str, Column, str]  # guarded column, condition, message
+
+
+def item_checks(max_options: int | None = MAX_OPTIONS, max_chars: int | None = None) -> list[Check]:
     from gavel.functions.text import strip
 
     gold_ok = (F.col("gold_index") >= 0) & (F.col("gold_index") < F.size("options"))
     checks = [
-        (F.length(strip(F.col("question"))) > 0, "question must not be empty"),
-        (F.size("options") >= 2, "at least two options are required"),
-        (gold_ok, "gold_index is outside options"),
+        ("question", F.length(strip(F.col("question"))) > 0, "question must not be empty"),
+        ("options", F.size("options") >= 2, "at least two options are required"),
+        ("gold_index", gold_ok, "gold_index is outside options"),
     ]
     if max_options is not None:
-        checks.append((F.size("options") <= max_options, "too many options"))
+        checks.append(("options", F.size("options") <= max_options, "too many options"))
     if max_chars is not None:
-        checks.append((F.length("question") <= max_chars, "input is longer than the limit"))
-    return _first_broken(checks)
+        ok = F.length("question") <= max_chars
+        checks.append(("question", ok, "input is longer than the limit"))
+    return checks
 
 
-def prediction_problem() -> Column:
-    """First broken prediction rule as text, NULL when the prediction is valid."""
+def prediction_checks() -> list[Check]:
     predicted_ok = (F.col("predicted_index") >= 0) & (
         F.col("predicted_index") < F.size("scores")
     )
     same_length = F.col("probabilities").isNull() | (
         F.size("probabilities") == F.size("scores")
     )
-    return _first_broken(
-        [
-            (F.size("scores") > 0, "scores must not be empty"),
-            (predicted_ok, "predicted_index is outside scores"),
-            (same_length, "probabilities and scores must have equal length"),
-        ]
-    )
-
+    return [
+        ("scores", F.size("scores") > 0, "scores must not be empty"),
+        ("predicted_index", predicted_ok, "predicted_index is outside scores"),
+        ("probabilities", same_length, "probabilities and scores must have equal length"),
+    ]
 
-def _first_broken(checks: list[tuple[Column, str]]) -> Column:
-    return F.coalesce(
-        *[F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.lit(text)) for ok, text in checks]
-    )
 
+def _checked(df: DataFrame, checks: list[Check], mode: str) -> DataFrame:
+    """`fail`: a broken value raises when it is read. `quarantine`: adds `problem`.
 
-def _checked(df: DataFrame, problem: Column, mode: str) -> DataFrame:
-    if mode == "fail":
-        return require(df, problem.isNull(), problem)
+    The checks ride on the columns they protect. As a filter they would be
+    pushed below the projection that builds the columns and build them twice.
+    """
+    broken = [(c, ~F.coalesce(ok, F.lit(False)), text) for c, ok, text in checks]
     if mode == "quarantine":
-        return df.withColumn("problem", problem)
-    raise ValueError(f"unknown mode: {mode}")
+        return df.withColumn("problem", F.coalesce(*[F.when(bad, t) for _, bad, t in broken]))
+    if mode != "fail":
+        raise ValueError(f"unknown mode: {mode}")
+    guarded: dict[str, Column] = {}
+    for name, bad, text in broken:
+        error = F.raise_error(F.lit(text)).cast(df.schema[name].dataType)
+        guarded[name] = F.when(bad, error).otherwise(guarded.get(name, F.col(name)))
+    return df.withColumns(guarded)
 
 
 def validate_items(
@@ -121,12 +125,12 @@ def validate_items(
     max_chars: int | None = None,
 ) -> DataFrame:
     """Item constraints: fail the job, or keep every row with a `problem` column."""
-    return _checked(df, item_problem(max_options, max_chars), mode)
+    return _checked(df, item_checks(max_options, max_chars), mode)
 
 
 def validate_predictions(df: DataFrame, mode: str = "fail") -> DataFrame:
     """Prediction constraints: fail the job, or keep every row with a `problem` column."""
-    return _checked(df, prediction_problem(), mode)
+    return _checked(df, prediction_checks(), mode)
 
 
 def require_rows(df: DataFrame, name: str) -> DataFrame:

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites of every column are only of use in a notebook and slow down planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -28,6 +30,17 @@ def build_session(app: str = "gavel", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    For small or unsplittable files in front of heavy per-row work. A scan that
+    already has enough splits stays as it is, without a shuffle. Only for plain
+    scans: counting their splits runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's `spark.checkpoint.dir`.
 
