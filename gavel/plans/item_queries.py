@@ -332,7 +332,7 @@ WITH seeds AS (
 seeds2 AS (SELECT id, v, gold, sha256('42:' || id || ':' || gold) AS h FROM seeds),
 draws AS ({numbered.replace("FROM seeds)", "FROM seeds2)")}),
 firsts AS (SELECT id, gold, o, min(t) AS t FROM draws WHERE o <> gold GROUP BY id, gold, o),
-chosen AS (SELECT id, gold, o, row_number() OVER (PARTITION BY id ORDER BY t) AS rn FROM firsts),
+chosen AS (SELECT id, gold, o, row_number() OVER (PARTITION BY id, gold ORDER BY t) AS rn FROM firsts),
 options AS (SELECT id, gold, o FROM chosen WHERE rn < {count}
             UNION ALL SELECT id, gold, gold FROM seeds2),
 ordered AS (SELECT id, gold, list(o ORDER BY sha256('42:' || id || ':' || o), o) AS options
