@@ -20,10 +20,26 @@ def normal(value):
     if hasattr(value, "item"):
         value = value.item()
     if isinstance(value, float):
-        return None if value != value else round(value, 8) + 0.0
+        return None if value != value else value + 0.0
     return value
 
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_gaps(df, result) -> list[str]:
+    """Columns whose Spark type and SQL type differ."""
+    sql_types = {d[0]: str(d[1]) for d in result.description}
+    return [
+        f"{name}: {kind} vs {sql_types[name]}"
+        for name, kind in df.dtypes
+        if TYPES.get(kind, kind) != sql_types[name]
+    ]
+
+
 def compare(spark, con, name: str, sf_dir: str) -> str:
     started = time.time()
     df = QUERIES[name](spark, sf_dir)
@@ -36,6 +52,9 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
     names = [d[0] for d in result.description]
     if sorted(names) != columns:
         return f"COLUMNS {columns} vs {sorted(names)}"
+    gaps = type_gaps(df, result)
+    if gaps:
+        return f"TYPES {gaps}"
     order = [names.index(c) for c in columns]
     wanted = [tuple(normal(r[i]) for i in order) for r in result.fetchall()]
     rows.sort(key=repr)

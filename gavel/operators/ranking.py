@@ -24,12 +24,12 @@ def bucket_rank(
     `bucket` must grow with `order`. Bucket sizes (a small pre-aggregated table)
     give every bucket its starting rank, then each (group, bucket) sorts alone.
     """
-    for key in keys:  # a NULL group would fall out of the join below
-        df = require(df, F.col(key).isNotNull(), f"{key} must not be NULL")
-    tagged = df.withColumn("__bucket", bucket)
-    parts = [*keys, "__bucket"]
+    # As a struct the group is never NULL itself, so a NULL key is a group like any other.
+    group_key = F.struct(*keys) if keys else F.lit(0)
+    tagged = df.withColumns({"__group": group_key, "__bucket": bucket})
+    parts = ["__group", "__bucket"]
     sizes = tagged.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*(keys or [F.lit(1)]))
+    group = Window.partitionBy("__group")
     offsets = sizes.select(
         *parts,
         (F.sum("__n").over(group.orderBy("__bucket")) - F.col("__n")).alias("__offset"),
@@ -40,7 +40,7 @@ def bucket_rank(
     return (
         tagged.join(offsets, parts, "inner")
         .withColumn(rank, F.col("__offset") + F.row_number().over(within))
-        .drop("__bucket", "__offset")
+        .drop(*parts, "__offset")
     )
 
 

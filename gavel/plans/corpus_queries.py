@@ -468,7 +468,7 @@ def criteria_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql(
-        "SELECT dataset, id, ntile(5) OVER (PARTITION BY dataset ORDER BY sha256('7:' || id), id) - 1 "
+        "SELECT dataset, id, CAST(ntile(5) OVER (PARTITION BY dataset ORDER BY sha256('7:' || id), id) - 1 AS INT) "
         "AS fold FROM items"
     )
 )

@@ -465,7 +465,7 @@ WHERE task = 'noul' OR metric = 'accuracy'"""
     sql(
         f"""
 SELECT task, model, metric, {r9("mean", "avg(value)")}, {r9("std", "stddev_pop(value)")},
-  string_agg(printf('%.6f', value), ',' ORDER BY fold) AS values FROM cv GROUP BY ALL""",
+  string_agg(printf('%.12f', value), ',' ORDER BY fold) AS values FROM cv GROUP BY ALL""",
         cv=_CV,
     )
 )
@@ -480,7 +480,7 @@ def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = predictions.join(folds, ["dataset", "id"])
     metrics = T.fold_metrics(tagged, ["task", "model", "fold"])
     out = T.cv_summary(metrics, ["task", "model"])
-    values = F.transform("values", lambda v: F.format_string("%.6f", v))
+    values = F.transform("values", lambda v: F.format_string("%.12f", v))
     return V.rounded(
         out.select("task", "model", "metric", "mean", "std", F.array_join(values, ",").alias("values")),
         "mean", "std",
@@ -517,7 +517,7 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, summary = T.cross_validate(
         _candidates(spark, sf_dir), lambda: T.CandidateHead(epochs=2, track=False), folds=3
     )
-    return summary
+    return summary.withColumn("values", F.to_json("values"))
 
 
 class HashScorer:
