@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 
 def _open(path: str):
@@ -56,7 +56,7 @@ class ArrowStreamSource(DataSource):
 
     def schema(self) -> StructType:
         with _open(self._paths()[0]) as stream:
-            return from_arrow_schema(stream.schema).add("row_index", "bigint")
+            return from_arrow_schema(stream.schema).add("row_index", LongType())
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return ArrowStreamReader(self._paths(), schema)

@@ -288,12 +288,18 @@ def merge_parts(spark: SparkSession, parts: Sequence[str], target: str) -> int:
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Summary JSON in UTF-8, or in the legacy encoding when UTF-8 does not parse."""
-    df = spark.read.json(path, multiLine=True, encoding="UTF-8")
     text = spark.read.text(path, wholetext=True)
-    broken = text.filter(F.col("value").contains("\ufffd")).limit(1).count()
-    if broken or df.columns == ["_corrupt_record"]:
-        return spark.read.json(path, multiLine=True, encoding="MS932", mode="FAILFAST")
-    return df
+    if text.filter(~F.is_valid_utf8("value")).isEmpty():
+        return spark.read.json(path, multiLine=True, mode="FAILFAST")
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"value": [raw.decode(LEGACY_ENCODING) for raw in frame["content"]]})
+
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    document = raw.mapInPandas(decode, "value STRING")
+    schema = document.select(F.schema_of_json(F.lit(document.first()["value"]))).first()[0]
+    return document.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
 # The synthetic ordinal dataset.

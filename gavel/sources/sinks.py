@@ -141,22 +141,19 @@ def write_csv_export(df: DataFrame, path: str) -> None:
 
     An export is a bounded report, so its rows go to one file.
     """
-    bom = "\ufeff"
-    columns = df.columns
-    renamed = df.withColumnRenamed(columns[0], bom + f'"{columns[0]}"')
-    quoted = renamed.select(
-        *[
-            F.concat(
-                F.lit('"'),
-                F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')),
-                F.lit('"'),
-            ).alias(c if c.startswith(bom) else f'"{c}"')
-            for c in renamed.columns
-        ]
+
+    def quoted(value: Column) -> Column:
+        text = F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit('"'), F.lit('""'))
+        return F.concat(F.lit('"'), text, F.lit('"'))
+
+    header = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    rows = df.select(
+        F.concat_ws(",", *[quoted(F.col(f"`{c}`")) for c in df.columns]).alias("value"),
+        F.monotonically_increasing_id().alias("line"),
     )
-    quoted.coalesce(1).write.mode("errorifexists").option("quote", "").option(
-        "header", "true"
-    ).option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    first = df.sparkSession.range(1).select(F.lit(header).alias("value"), F.lit(-1).alias("line"))
+    ordered = first.union(rows).repartition(1).sortWithinPartitions("line").select("value")
+    ordered.write.mode("errorifexists").option("lineSep", "\r\n").text(path)
 
 
 def write_catalog(rows: DataFrame, path: str) -> None:
