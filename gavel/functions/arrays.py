@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gavel.functions.text import numeric_text, seeded_hash
+from gavel.functions.text import let, numeric_text, seeded_hash
 
 FLOOR = 1e-12  # fixed value: smallest probability inside a logarithm
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once per row and use it many times inside `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
 
@@ -59,33 +52,37 @@ def binary_scores(p_true: Column, logit: Column | None = None) -> tuple[Column,
 def seeded_shuffle(values: Column, seed: int | str, key: Column) -> Column:
     """Order an array of texts by a seeded hash of each element."""
     tagged = F.transform(values, lambda v: F.concat(seeded_hash(seed, key, v), v))
-    return F.transform(F.array_sort(tagged), lambda t: F.substring(t, F.lit(65), F.length(t)))
+    return F.transform(F.sort_array(tagged), lambda t: F.substring(t, F.lit(65), F.length(t)))
 
 
-def digest_bytes(text: Column, count: Column | int) -> Column:
-    """First `count` (at most 32) bytes of SHA-256(text) as ints.
+CHUNK = 7  # bytes decoded by one hex conversion: 56 bits fit a bigint
 
-    Seven bytes are decoded per hex conversion and picked apart by shifts.
-    """
+
+def digest_chunk(hexed: Column, chunk: Column | int) -> Column:
+    """Seven digest bytes (zero-padded at the end) as one bigint."""
+    at = F.lit(chunk * 2 * CHUNK + 1) if isinstance(chunk, int) else chunk * 2 * CHUNK + 1
+    digits = F.rpad(F.substring(hexed, at, F.lit(2 * CHUNK)), 2 * CHUNK, "0")
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+def chunk_byte(chunk: Column, i: int) -> Column:
+    """Byte `i` of a chunk."""
+    return F.shiftright(chunk, 8 * (CHUNK - 1 - i)).bitwiseAND(F.lit(255)).cast("int")
+
+
+def digest_bytes(text: Column, count: Column | int) -> Column:
+    """First `count` (at most 32) bytes of SHA-256(text) as ints."""
     n = F.lit(count) if isinstance(count, int) else count
+    indices = F.sequence(F.lit(0), ((n - 1) / CHUNK).cast("int"))
 
-    def chunks(hexed: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), ((n - 1) / 7).cast("int")),
-            lambda c: F.conv(F.substring(hexed, c * 14 + 1, F.lit(14)), 16, 10).cast("bigint"),
-        )
+    def seven(chunk: Column) -> Column:
+        return F.array(*[chunk_byte(chunk, i) for i in range(CHUNK)])
 
-    def pick(longs: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.call_function(
-                "shiftright", F.get(longs, (i / 7).cast("int")), (6 - i % 7) * 8
-            )
-            .bitwiseAND(F.lit(255))
-            .cast("int"),
-        )
+    def decode(hexed: Column) -> Column:
+        parts = F.transform(indices, lambda c: let(digest_chunk(hexed, c), seven))
+        return F.slice(F.flatten(parts), F.lit(1), n)
 
-    return let(F.rpad(F.sha2(text, 256), 70, "0"), lambda hexed: let(chunks(hexed), pick))
+    return let(F.sha2(text, 256), decode)
 
 
 # The distractor rules of numeric multiple choice.
@@ -141,31 +138,25 @@ def numeric_options(gold: Column, count: int, seed: int | str, key: Column) -> C
     number always exists.
     """
     draws = min(32, 3 * count)
-    value = gold.cast("double")
     data = digest_bytes(F.concat_ws(":", F.lit(str(seed)), key, gold), draws)
 
-    def wrong(b: Column) -> Column:
-        drawn = F.array(*[_draw(value, b, t) for t in range(draws)])
+    def wrong(s: Column) -> Column:
+        value, b = s["value"], s["data"]
 
-        def reserve(picked: Column) -> Column:
-            rest = _distinct_texts(F.concat(*distractor_pools(value)), gold)
-            return F.array_union(picked, rest)
+        def enough(picked: Column) -> Column:
+            rest = F.array_union(picked, _texts(F.concat(*distractor_pools(value)), gold))
+            chosen = F.when(F.size(picked) >= count - 1, picked).otherwise(rest)
+            return F.slice(chosen, 1, count - 1)
 
-        return let(
-            _distinct_texts(drawn, gold),
-            lambda picked: F.slice(
-                F.when(F.size(picked) >= count - 1, picked).otherwise(reserve(picked)),
-                1,
-                count - 1,
-            ),
-        )
+        drawn = F.array(*[_draw(value, b, t) for t in range(draws)])
+        return let(F.array_distinct(_texts(drawn, gold)), enough)
 
-    return seeded_shuffle(F.concat(F.array(gold), let(data, wrong)), seed, key)
+    bound = F.struct(gold.cast("double").alias("value"), data.alias("data"))
+    return seeded_shuffle(F.concat(F.array(gold), let(bound, wrong)), seed, key)
 
 
-def _distinct_texts(values: Column, gold: Column) -> Column:
-    texts = F.transform(values, numeric_text)
-    return F.filter(F.array_distinct(texts), lambda t: t != gold)
+def _texts(values: Column, gold: Column) -> Column:
+    return F.array_remove(F.transform(values, numeric_text), gold)
 
 
 def as_double(vector: Column) -> Column:

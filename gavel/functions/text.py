@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,27 +133,39 @@ def truncate(text: Column, max_chars: int) -> Column:
 
 def numeric_text(value: Column) -> Column:
     """Integral values without a point, others with up to six decimals."""
-    decimals = F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
+    decimals = F.when(
+        F.abs(value).between(1e-6, 1e30), value.try_cast("decimal(38,6)").cast("string")
+    ).otherwise(F.format_string("%.6f", value))
     whole = F.when(
         F.abs(value) < 9e18, value.cast("bigint").cast("string")
     ).otherwise(value.cast("decimal(38,0)").cast("string"))
-    return F.when(value == F.floor(value), whole).otherwise(decimals)
+    fraction = F.rtrim(F.rtrim(decimals, F.lit("0")), F.lit("."))
+    return F.when(value == F.floor(value), whole).otherwise(fraction)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it many times inside `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def answer_number(answer: Column, declared: Column | None = None) -> Column:
     """Canonical numeric answer: the declared number, else `#### n`, else the last number."""
-    text = ascii_digits(F.coalesce(answer, F.lit("None")))
-    final = F.regexp_extract(text, FINAL_ANSWER_PATTERN, 1)
-    last = F.try_element_at(
-        F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0)), F.lit(-1)
-    )
-    raw = F.when(final != "", final).otherwise(F.coalesce(last, F.lit("")))
+
+    def find(text: Column) -> Column:
+        final = F.regexp_extract(text, FINAL_ANSWER_PATTERN, 1)
+        last = F.try_element_at(
+            F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0)), F.lit(-1)
+        )
+        return let(final, lambda f: F.when(f != "", f).otherwise(F.coalesce(last, F.lit(""))))
+
+    def canonical(plain: Column) -> Column:
+        missing = F.raise_error(F.lit("numeric answer is missing")).cast("string")
+        return F.when(plain == "", missing).otherwise(let(plain.cast("double"), numeric_text))
+
+    raw = let(ascii_digits(F.coalesce(answer, F.lit("None"))), find)
     if declared is not None:
         raw = F.coalesce(declared.cast("string"), raw)
-    plain = F.replace(raw, F.lit(","), F.lit(""))
-    return F.when(
-        plain == "", F.raise_error(F.lit("numeric answer is missing")).cast("string")
-    ).otherwise(numeric_text(plain.cast("double")))
+    return let(F.replace(raw, F.lit(","), F.lit("")), canonical)
 
 
 def answer_index(value: Column, dtype: T.DataType, options: Column) -> Column:
@@ -163,22 +176,25 @@ def answer_index(value: Column, dtype: T.DataType, options: Column) -> Column:
     """
     if isinstance(dtype, (T.BooleanType, T.IntegralType)):
         return value.cast("int")
-    text = strip(py_str(value, dtype))
     count = F.size(options)
-    letter = F.instr(F.substring(F.lit(LABELS), F.lit(1), count), F.upper(text))
-    digits = ascii_digits(text)
-    number = F.when(digits.rlike(r"^\d+$"), digits.try_cast("int"))
-    position = F.array_position(options, text)
-    return (
-        F.when(letter > 0, letter - 1)
-        .when((number >= 1) & (number <= count), number - 1)
-        .when((number >= 0) & (number < count), number)
-        .when(position > 0, position - 1)
-        .otherwise(
-            F.raise_error(F.concat(F.lit("cannot map answer to options: "), text)).cast("int")
+
+    def read(text: Column) -> Column:
+        letter = F.instr(F.substring(F.lit(LABELS), F.lit(1), count), F.upper(text))
+        digits = ascii_digits(text)
+        number = F.when(digits.rlike(r"^\d+$"), digits.try_cast("int"))
+        position = F.array_position(options, text)
+        return (
+            F.when(letter > 0, letter - 1)
+            .when((number >= 1) & (number <= count), number - 1)
+            .when((number >= 0) & (number < count), number)
+            .when(position > 0, position - 1)
+            .otherwise(
+                F.raise_error(F.concat(F.lit("cannot map answer to options: "), text)).cast("int")
+            )
+            .cast("int")
         )
-        .cast("int")
-    )
+
+    return let(strip(py_str(value, dtype)), read)
 
 
 def nli_label(value: Column, dtype: T.DataType) -> Column:

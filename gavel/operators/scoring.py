@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel.functions.arrays import (
+    CHUNK,
     argmax,
     binary_scores,
+    chunk_byte,
     cosine,
-    digest_bytes,
+    digest_chunk,
     dot,
+    l2_normalize,
     normalize_sum,
     sigmoid,
     softmax,
 )
 from gavel.functions.prompts import HYPOTHESIS, state_and_candidates
+from gavel.functions.text import let
 
 MAX_SCALE = 100.0  # fixed value: upper bound of the contrastive scale
 
@@ -42,25 +46,39 @@ RESULT = (
 )
 
 
-def _mock(seed: Column, count: Column) -> Column:
-    values = F.transform(digest_bytes(seed, count), lambda b: b.cast("double") + 1.0)
-    return F.when(
-        count <= 32, values
-    ).otherwise(F.raise_error(F.lit("at most 32 options")).cast("array<double>"))
-
-
 def mock_scores(items: DataFrame, salt: Column | None = None) -> DataFrame:
     """Deterministic scorer: bytes of SHA-256(question) + 1, normalised.
 
-    `salt` makes several models out of one item table.
+    `salt` makes several models out of one item table. Digest and first chunk
+    are columns of their own, computed once per row in generated code; only
+    items with more than seven options decode further chunks.
     """
     text = F.col("question") if salt is None else F.concat(salt, F.lit(":"), F.col("question"))
-    scored = items.withColumn("scores", _mock(text, F.size("options")))
-    return scored.withColumns(
-        {
-            "probabilities": normalize_sum(F.col("scores")),
-            "predicted_index": argmax(F.col("scores")),
-        }
+    n = F.size("options")
+    short = F.array(*[chunk_byte(F.col("__c"), i) for i in range(CHUNK)])
+    tail = F.transform(
+        F.sequence(F.lit(1), ((n - 1) / CHUNK).cast("int")),
+        lambda c: let(
+            digest_chunk(F.col("__h"), c),
+            lambda chunk: F.array(*[chunk_byte(chunk, i) for i in range(CHUNK)]),
+        ),
+    )
+    data = (
+        F.when(n <= CHUNK, F.slice(short, F.lit(1), n))
+        .when(n <= 32, F.slice(F.concat(short, F.flatten(tail)), F.lit(1), n))
+        .otherwise(F.raise_error(F.lit("at most 32 options")).cast("array<int>"))
+    )
+    return (
+        items.withColumn("__h", F.sha2(text, 256))
+        .withColumn("__c", digest_chunk(F.col("__h"), 0))
+        .withColumn("scores", F.transform(data, lambda b: b.cast("double") + 1.0))
+        .drop("__h", "__c")
+        .withColumns(
+            {
+                "probabilities": normalize_sum(F.col("scores")),
+                "predicted_index": argmax(F.col("scores")),
+            }
+        )
     )
 
 
@@ -232,10 +250,15 @@ def contrastive(
     state: str = "state_vector",
     candidates: str = "candidate_vectors",
     task: str = "task",
+    unit_length: bool = False,
 ) -> DataFrame:
-    """Softmax over the scaled cosine of the state with every candidate."""
+    """Softmax over the scaled cosine of the state with every candidate.
+
+    Vectors that already have unit length need only the dot product.
+    """
     capped = min(scale, MAX_SCALE)
-    logits = F.transform(candidates, lambda v: cosine(F.col(state), v) * capped)
+    similarity = dot if unit_length else cosine
+    logits = F.transform(candidates, lambda v: similarity(F.col(state), v) * capped)
     staged = df.withColumn("logits", logits).withColumn("__p", softmax(F.col("logits")))
     yes_no, y_prob, y_pred = binary_scores(F.get("__p", F.lit(1)))
     noul = F.col(task) == "noul"
@@ -278,29 +301,35 @@ def encode_once(
     items: DataFrame,
     encode: Callable[[DataFrame], DataFrame],
     hot_rows: int = 100_000,
-    id_columns: Sequence[str] = ("dataset", "id"),
 ) -> DataFrame:
-    """State and candidate vectors, every distinct text encoded once.
+    """State and candidate vectors of unit length, every distinct text encoded once.
 
     `encode` maps a (text) table to (text, vector). Adds `state_vector` and
-    `candidate_vectors`.
+    `candidate_vectors`. Items with the same texts are combined map-side before
+    anything is joined, and copies get their vectors back through `lookup_join`.
     """
     state, candidates = state_and_candidates(F.col("task"), F.col("question"), F.col("options"))
     texts = F.concat(F.array(state), candidates)
-    uses = items.select(*id_columns, F.posexplode(texts).alias("pos", "text"))
-    vectors = encode(uses.select("text").distinct())
-    joined = lookup_join(uses, vectors, "text", hot_rows)
-    # At most 27 vectors meet per item.
-    packed = joined.groupBy(*id_columns).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("__v")
+    keyed = items.withColumn("__texts", texts).withColumn(
+        "__key", F.sha2(F.to_json("__texts"), 256)
     )
-    all_vectors = F.transform("__v", lambda s: s["vector"])
-    return (
-        items.join(packed, list(id_columns))
-        .withColumn("state_vector", F.get(all_vectors, F.lit(0)))
-        .withColumn("candidate_vectors", F.slice(all_vectors, F.lit(2), F.size("options")))
-        .drop("__v")
+    distinct = keyed.groupBy("__key").agg(F.min("__texts").alias("texts"))
+    uses = distinct.select("__key", F.posexplode("texts").alias("pos", "text"))
+    vectors = encode(uses.select("text").distinct())
+    vectors = vectors.select("text", l2_normalize(F.col("vector")).alias("vector"))
+    # At most 27 vectors meet per key.
+    packed = lookup_join(uses, vectors, "text", hot_rows).groupBy("__key").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("pos", "vector"))), lambda s: s["vector"]
+        ).alias("__v")
     )
+    joined = lookup_join(keyed.drop("__texts"), packed, "__key", hot_rows)
+    return joined.withColumns(
+        {
+            "state_vector": F.get("__v", F.lit(0)),
+            "candidate_vectors": F.slice("__v", F.lit(2), F.size("options")),
+        }
+    ).drop("__v", "__key")
 
 
 class PairScorer(Protocol):

@@ -12,7 +12,7 @@ from gavel.operators import mirror as R
 from gavel.operators import ranking as O
 from gavel.plans import views as V
 from gavel.plans.registry import query
-from gavel.plans.sql_views import NL, r9, sql
+from gavel.plans.sql_views import NL, r9, sql, strip
 from gavel.sources.readers import records as join_records
 
 # A catalogue of one entry per part: invented provenance from the part's columns.
@@ -345,52 +345,42 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rubric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rubric rows from conversations: the user's turns are the state.
-
-    A conversation has few turns, so collecting them per conversation is bounded.
-    """
-    turns = V.table(spark, sf_dir, "conversations")
-    user = F.when(F.col("role") == "user", F.struct("turn", "text"))
-    state = F.array_join(
-        F.transform(F.array_sort(F.collect_list(user)), lambda t: t["text"]), "\n"
-    )
-    even = F.count(F.lit(1)) % 2 == 0
-    grouped = turns.groupBy("conv_id").agg(state.alias("state"), even.alias("even"))
+    """Rubric rows from conversations: every user turn is a state to decide on."""
+    turns = V.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
 
     def option(label: str, description: str | None) -> Column:
         return F.struct(
             F.lit(label).alias("label"), F.lit(description).cast("string").alias("description")
         )
 
-    return grouped.select(
-        F.concat(F.lit("c"), "conv_id").alias("id"),
+    return turns.select(
+        F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"),
         F.when(F.col("conv_id") % 2 == 0, "Japanese").otherwise("English").alias("lang"),
         F.when(F.col("conv_id") % 3 == 0, "choice").otherwise("noul").alias("question_type"),
-        "state",
-        F.lit(" Is the number of turns even? ").alias("instructions"),
-        F.array(option("yes", "it is even"), option("no", "")).alias("options"),
-        F.when(F.col("even"), "yes").otherwise("no").alias("expected"),
-        F.col("conv_id").alias("row_index"),
+        F.when(F.col("turn") % 7 != 3, F.col("text")).alias("state"),
+        F.lit(" Is it the first turn? ").alias("instructions"),
+        F.array(option("yes", "it is first"), option("no", "")).alias("options"),
+        F.when(F.col("turn") == 0, "yes").otherwise("no").alias("expected"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"),
     )
 
 
 _RUBRIC = f"""
-SELECT 'c' || conv_id AS id, conv_id % 3 = 0 AS is_choice, conv_id % 2 = 0 AS ja,
-  string_agg(text, {NL} ORDER BY turn) FILTER (WHERE role = 'user') AS raw, count(*) % 2 = 0 AS even
-FROM conversations GROUP BY conv_id"""
+SELECT 'c-' || conv_id || '-' || turn AS id, conv_id % 3 = 0 AS is_choice, conv_id % 2 = 0 AS ja,
+  turn = 0 AS first_turn, CASE WHEN turn % 7 <> 3 THEN {strip("text")} ELSE '' END AS st
+FROM conversations WHERE role = 'user'"""
 
 
 @query(
     sql(
         f"""
-SELECT id, task, sha256(lead || CASE WHEN task = 'noul' THEN {NL} || 'はい: it is even' || {NL} || 'いいえ: no'
+SELECT id, task, sha256(lead || CASE WHEN task = 'noul' THEN {NL} || 'はい: it is first' || {NL} || 'いいえ: no'
                                 ELSE '' END) AS question_hash,
-  CASE WHEN task = 'noul' THEN 'いいえ|はい' ELSE 'it is even|no' END AS options,
-  CAST(CASE WHEN task = 'noul' THEN even ELSE NOT even END AS INT) AS gold_index
+  CASE WHEN task = 'noul' THEN 'いいえ|はい' ELSE 'it is first|no' END AS options,
+  CAST(CASE WHEN task = 'noul' THEN first_turn ELSE NOT first_turn END AS INT) AS gold_index
 FROM (SELECT *, CASE WHEN is_choice THEN 'choice' ELSE 'noul' END AS task,
-        CASE WHEN st = '' THEN 'Is the number of turns even?'
-             ELSE st || {NL} || {NL} || 'Is the number of turns even?' END AS lead
-      FROM (SELECT *, coalesce(trim(raw, ' ' || {NL}), '') AS st FROM rubric))
+        CASE WHEN st = '' THEN '' ELSE st || {NL} || {NL} END || 'Is it the first turn?' AS lead
+      FROM rubric)
 WHERE task = 'choice' OR ja""",
         rubric=_RUBRIC,
     )

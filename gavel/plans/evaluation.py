@@ -14,7 +14,7 @@ from gavel.operators.items import build_items
 from gavel.operators.leaderboard import dataset_scores, leaderboard, task_scores
 from gavel.operators.metrics import summarize
 from gavel.schemas import TASKS
-from gavel.session import local_table
+from gavel.session import local_table, spread
 from gavel.sources.readers import glob, read_source, resolve_one
 
 CONFIGURED = (
@@ -91,14 +91,16 @@ def plan_datasets(
 
 def load_items(spark: SparkSession, datasets: list[dict], seed: int = 42) -> DataFrame:
     """All datasets as one item table."""
-    frames = [
-        build_items(
-            read_source(spark, d["source"]["format"], d["path"]),
-            d["id"], d["source"], seed, d.get("limit"),
-        ).withColumn("task", F.lit(d["task"]))
-        for d in datasets
-    ]
-    return reduce(DataFrame.unionByName, frames)
+
+    def load(dataset: dict) -> DataFrame:
+        source = dataset["source"]
+        rows = read_source(spark, source["format"], dataset["path"])
+        if source["format"] == "parquet":  # a plain scan
+            rows = spread(rows)
+        items = build_items(rows, dataset["id"], source, seed, dataset.get("limit"))
+        return items.withColumn("task", F.lit(dataset["task"]))
+
+    return reduce(DataFrame.unionByName, [load(d) for d in datasets])
 
 
 def configured_scores(spark: SparkSession, config: Mapping[str, Any], models: list[str]) -> DataFrame:

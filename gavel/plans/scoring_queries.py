@@ -413,7 +413,7 @@ def contrastive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct text encoded once; scaled cosine of state and candidates, softmax."""
     items = V.items_choice(spark, sf_dir).unionByName(V.items_noul(spark, sf_dir))
     vectors = S.encode_once(items, hash_encoder)
-    out = S.contrastive(vectors, 20.0).select(
+    out = S.contrastive(vectors, 20.0, unit_length=True).select(
         "id", "predicted_index", F.element_at("probabilities", -1).alias("last_probability")
     )
     return V.rounded(out, "last_probability")

@@ -75,7 +75,11 @@ def test_encode_once(spark, hot_rows):
     assert distinct[0].count() == 4 + 5  # every question, every distinct option
     assert len(got["i3"]["candidate_vectors"]) == 5
     digest = hashlib.sha256(b"o1").digest()
-    assert got["i0"]["candidate_vectors"][1] == pytest.approx([b / 127.5 - 1 for b in digest])
+    raw = [b / 127.5 - 1 for b in digest]
+    norm = sum(v * v for v in raw) ** 0.5
+    assert got["i0"]["candidate_vectors"][1] == pytest.approx([v / norm for v in raw])
+    copies = df.union(df.withColumn("id", F.concat("id", F.lit("x")))).union(df)
+    assert S.encode_once(copies, hash_encoder, hot_rows).count() == 12
     scored = S.contrastive(S.encode_once(df, hash_encoder, hot_rows), 500.0).collect()
     assert all(sum(r["probabilities"]) == pytest.approx(1) for r in scored)
 
