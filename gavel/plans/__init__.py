@@ -3,6 +3,7 @@
 from gavel.plans import (  # noqa: F401
     board_queries,
     corpus_queries,
+    io_queries,
     item_queries,
     metric_queries,
     scoring_queries,

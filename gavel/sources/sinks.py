@@ -24,6 +24,15 @@ def _claim(spark: SparkSession, path: str) -> None:
         raise FileExistsError(f"run directory is not empty: {path}")
 
 
+def _gathered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of one output directory brought together before a partitioned write.
+
+    A rebalance, unlike a plain repartition, lets AQE split a directory that
+    holds a large share of the rows and merge the small ones.
+    """
+    return df.hint("rebalance", *by)
+
+
 def write_predictions(
     df: DataFrame, path: str, by: Sequence[str] = ("run", "model", "dataset"),
     fmt: str = "parquet",
@@ -31,7 +40,7 @@ def write_predictions(
     """Predictions by run, model and dataset; Parquet, or JSON lines on request."""
     _claim(df.sparkSession, path)
     # The directory was just checked: append keeps an empty one.
-    df.write.mode("append").partitionBy(*by).format(fmt).save(path)
+    _gathered(df, by).write.mode("append").partitionBy(*by).format(fmt).save(path)
 
 
 def write_run_metadata(df: DataFrame, path: str) -> None:
@@ -92,12 +101,18 @@ def write_leaderboard(documents: DataFrame, path: str) -> None:
 def write_mirror(rows: DataFrame, path: str) -> None:
     """Task subsets as Parquet partitions; `all` is the unfiltered read of the same files."""
     _claim(rows.sparkSession, path)
-    rows.write.mode("append").partitionBy("primitive").parquet(path)
+    _gathered(rows, ["primitive"]).write.mode("append").partitionBy("primitive").parquet(path)
 
 
 def write_mirror_subsets(rows: DataFrame, path: str) -> None:
-    """Each subset, `all` included, as its own Parquet dataset."""
-    for name, part in mirror_subsets(rows).items():
+    """Each subset, `all` included, as its own Parquet dataset.
+
+    The rows are built once, into the partitioned form; the subsets copy it.
+    """
+    spark = rows.sparkSession
+    write_mirror(rows, f"{path}/by_primitive")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/by_primitive").select(rows.columns)
+    for name, part in mirror_subsets(stored).items():
         part.write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
@@ -127,13 +142,14 @@ def write_trainer_files(items: DataFrame, path: str, split: str = "split") -> No
     tagged = items.select(
         F.col("question").alias("context"), "options", F.col("gold_index").alias("label"), split
     )
-    tagged.select(*rows, split).write.mode("append").partitionBy(split).json(path)
+    _gathered(tagged.select(*rows, split), [split]).write.mode("append").partitionBy(split).json(path)
 
 
 def write_corpus(examples: DataFrame, path: str) -> None:
     """Training and per-task evaluation corpus."""
     _claim(examples.sparkSession, path)
-    examples.write.mode("append").partitionBy("split", "task").parquet(path)
+    by = ("split", "task")
+    _gathered(examples, by).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def write_csv_export(df: DataFrame, path: str) -> None:

@@ -10,7 +10,10 @@ from gavel.schemas import PREDICTION
 
 SF_DIR = "/root/testdata/sf0.001"
 # These run Spark jobs while they are built.
-EAGER = {"head_training", "candidate_head", "cross_validation", "incremental_eval"}
+EAGER = {
+    "head_training", "candidate_head", "cross_validation", "incremental_eval", "source_round_trips",
+    "mirror_round_trip", "stored_predictions", "leaderboard_documents",
+}
 
 
 def plan(df):
