@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gavel.operators.metrics import finalize, metric_cells
 from gavel.operators.ranking import kfold
 from gavel.operators.scoring import linear_candidates, linear_yes_no
-from gavel.session import local_table
+from gavel.session import local_table, materialize
 
 TRAIN_SAMPLE = 200  # fixed value: rows behind the train accuracy shown per epoch
 # Metrics of one fold; row counts are left out of the summary.
@@ -225,8 +225,8 @@ def cross_validate(
     """
     if folds == 1:
         return [trainer().fit(items)], None
-    tagged = kfold(items, folds, id_column=id_column, seed=seed)
-    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    # Written once to the shared folder: every fold and epoch reads it.
+    tagged = materialize(kfold(items, folds, id_column=id_column, seed=seed), "folds")
     models, scored = [], []
     for k in range(folds):
         model = trainer().fit(tagged.filter(F.col("fold") != k))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
 from typing import Any
 
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from gavel.operators.items import build_items
 from gavel.operators.leaderboard import dataset_scores, leaderboard, task_scores
 from gavel.operators.metrics import summarize
-from gavel.schemas import TASKS
+from gavel.schemas import SCHEMA_VERSION, TASKS
 from gavel.session import local_table, spread
+from gavel.sources import sinks
 from gavel.sources.readers import glob, read_source, resolve_one
 
 CONFIGURED = (
@@ -28,6 +31,22 @@ class ConfigError(RuntimeError):
     """The evaluation configuration is not usable."""
 
 
+def load_config(path: str) -> dict[str, Any]:
+    """Configuration from JSON, or from YAML where PyYAML is installed."""
+    with open(path, encoding="utf-8") as handle:
+        text = handle.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as exc:
+            raise ConfigError("YAML configurations need PyYAML; use JSON instead") from exc
+        config = yaml.safe_load(text)
+    else:
+        config = json.loads(text)
+    check_version(config)
+    return config
+
+
 @dataclass
 class Evaluation:
     """Everything one run produces; all frames are lazy."""
@@ -39,6 +58,7 @@ class Evaluation:
     tasks: DataFrame
     board: DataFrame
     skipped: list[dict[str, str]]
+    weights: Mapping[str, float]
 
 
 def check_version(config: Mapping[str, Any]) -> None:
@@ -124,27 +144,81 @@ def _maybe_float(value: Any) -> float | None:
     return None if value is None else float(value)
 
 
+def _pending(items: DataFrame, done: DataFrame | None, model: str) -> DataFrame:
+    """Items of the datasets a model has no result for."""
+    if done is None:
+        return items
+    finished = done.filter(F.col("model") == model).select("dataset")
+    return items.join(finished, "dataset", "left_anti")
+
+
 def evaluate(
     spark: SparkSession,
     config: Mapping[str, Any],
     scorers: Mapping[str, Callable[[DataFrame], DataFrame]],
     phase: str = "production",
+    done: DataFrame | None = None,
 ) -> Evaluation:
     """Run every enabled model over every available dataset.
 
     `scorers` maps a model id to items -> scored items (scores, probabilities,
-    predicted_index, latency_ms, score_metadata).
+    predicted_index, latency_ms, score_metadata). `done` resumes a run: the
+    metrics of finished (model, dataset) pairs are kept and not scored again.
     """
     datasets, skipped = plan_datasets(spark, config, phase)
     chosen = config["runtime"].get("selected_model_ids")
     models = [m["id"] for m in _selected(config["models"], chosen, "models")]
     items = load_items(spark, datasets, int(config["runtime"].get("seed", 42)))
-    parts = [scorers[m](items).withColumn("model", F.lit(m)) for m in models]
+    parts = [scorers[m](_pending(items, done, m)).withColumn("model", F.lit(m)) for m in models]
     predictions = reduce(DataFrame.unionByName, parts)
     metrics = summarize(predictions)
+    if done is not None:
+        metrics = done.select(metrics.columns).unionByName(metrics)
     scores = dataset_scores(configured_scores(spark, config, models), metrics)
     tasks = task_scores(scores)
     weights = config.get("tasks", {}).get("summary", {}).get("weights", {})
     return Evaluation(
-        items, predictions, metrics, scores, tasks, leaderboard(tasks, weights), skipped
+        items, predictions, metrics, scores, tasks, leaderboard(tasks, weights), skipped, weights
+    )
+
+
+def run_metadata(
+    spark: SparkSession, run_id: str, datasets: list[dict], models: list[dict], batch_size: int = 1
+) -> DataFrame:
+    """One row per (model, dataset) of a run: what ran, on which revision, with which scorer."""
+    created = datetime.now(UTC).isoformat()
+    rows = [
+        (
+            SCHEMA_VERSION, f"{run_id}/{m['id']}/{d['id']}", created, d["id"], d["task"],
+            d["source"].get("revision"), batch_size, m.get("scorer", "unknown"), m["id"],
+        )
+        for m in models
+        for d in datasets
+    ]
+    return local_table(
+        spark,
+        rows,
+        "schema_version INT, run_id STRING, created_at STRING, dataset STRING, task_type STRING, "
+        "dataset_revision STRING, batch_size INT, scorer STRING, model STRING",
+    )
+
+
+def save(run: Evaluation, root: str, run_id: str, phase: str = "production") -> None:
+    """Store a run: predictions once, then metrics and leaderboard from the stored rows."""
+    spark = run.items.sparkSession
+    predictions = run.predictions.withColumn("run", F.lit(run_id))
+    sinks.write_predictions(predictions, f"{root}/predictions")
+    stored = spark.read.schema(predictions.schema).parquet(f"{root}/predictions")
+    metrics = summarize(stored)
+    sinks.write_summaries(metrics, f"{root}/metrics")
+    board_metrics = spark.read.schema(metrics.schema).json(f"{root}/metrics")
+    expected = run.scores.select("model", "task", "dataset", "metric", "max_error")
+    scores = dataset_scores(expected, board_metrics)
+    tasks = task_scores(scores)
+    documents = sinks.leaderboard_json(leaderboard(tasks, run.weights, order=False), tasks, scores, phase)
+    sinks.write_leaderboard(documents, f"{root}/leaderboard")
+    skipped = local_table(
+        spark, [(run_id, s["dataset"]) for s in run.skipped], "run STRING, dataset STRING"
     )
+    runs = local_table(spark, [(run_id, True, 1)], "run STRING, enabled BOOLEAN, datasets INT")
+    sinks.append_status(sinks.run_status(runs, skipped), f"{root}/status")

@@ -64,8 +64,9 @@ def leaderboard_json(
         F.array_sort(
             F.collect_list(
                 F.struct(
-                    "dataset", "metric", "value", F.col("normalized").alias("normalized_score"),
-                    "total",
+                    "dataset",
+                    *[c for c in ("feature",) if c in scores.columns],
+                    "metric", "value", F.col("normalized").alias("normalized_score"), "total",
                 )
             )
         ).alias("datasets")
