@@ -26,6 +26,7 @@ from gavel.functions.arrays import (
 )
 from gavel.functions.prompts import HYPOTHESIS, state_and_candidates
 from gavel.functions.text import let
+from gavel.session import materialize
 
 MAX_SCALE = 100.0  # fixed value: upper bound of the contrastive scale
 
@@ -277,24 +278,35 @@ def lookup_join(
     hot_rows: int = 100_000,
     max_hot: int = 1_000,
 ) -> DataFrame:
-    """uses LEFT JOIN table on a key that may hold a large share of the uses.
+    """uses LEFT JOIN table (unique keys) on a key that may hold a large share of the uses.
 
-    Keys with more than `hot_rows` uses (at most the `max_hot` largest) join a
-    table of at most `max_hot` rows that is safe to broadcast; every other key
-    takes the shuffle join. Both paths together are the whole result.
+    Keys with more than `hot_rows` uses, at most the `max_hot` largest, are
+    looked up in a table of at most `max_hot` rows, which is safe to broadcast.
+    In the shuffle join for all other keys a salt spreads the hot rows (and
+    NULL keys) evenly: the table has salt 0 only, so they match nothing there.
     """
     counts = uses.groupBy(key).agg(F.count(F.lit(1)).alias("__uses"))
-    hot = (
+    hot = F.broadcast(
         counts.filter((F.col("__uses") > hot_rows) & F.col(key).isNotNull())
         .orderBy(F.col("__uses").desc(), key)
         .limit(max_hot)
-        .select(key)
+        .select(key, F.lit(True).alias("__hot"))
+    )
+    values = [c for c in table.columns if c != key]
+    # Maps cannot be hashed; any other column may tell rows apart.
+    spread = [f.name for f in uses.schema.fields if "map<" not in f.dataType.simpleString()]
+    apart = F.pmod(F.xxhash64(*spread), F.lit(1024)) + 1
+    salted = uses.join(hot, key, "left").withColumn(
+        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), apart).otherwise(F.lit(0).cast("bigint"))
+    )
+    cold_table = table.withColumn("__salt", F.lit(0).cast("bigint"))
+    joined = salted.join(cold_table, [key, "__salt"], "left")
+    hot_table = table.join(hot.select(key), key, "left_semi").select(
+        key, *[F.col(c).alias(f"__hot_{c}") for c in values]
+    )
+    return joined.join(F.broadcast(hot_table), key, "left").select(
+        *uses.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in values]
     )
-    hot = F.broadcast(hot)
-    hot_table = table.join(hot, key, "left_semi")
-    warm = uses.join(hot, key, "left_semi").join(F.broadcast(hot_table), key, "left")
-    cold = uses.join(hot, key, "left_anti").join(table, key, "left")
-    return warm.unionByName(cold)
 
 
 def encode_once(
@@ -305,8 +317,10 @@ def encode_once(
     """State and candidate vectors of unit length, every distinct text encoded once.
 
     `encode` maps a (text) table to (text, vector). Adds `state_vector` and
-    `candidate_vectors`. Items with the same texts are combined map-side before
-    anything is joined, and copies get their vectors back through `lookup_join`.
+    `candidate_vectors`. Encoding is the expensive part, so its result is
+    written once to the shared folder. Items with the same texts are combined
+    map-side before anything is joined; copies get their vectors back in the
+    last join, where adaptive execution splits a partition full of copies.
     """
     state, candidates = state_and_candidates(F.col("task"), F.col("question"), F.col("options"))
     texts = F.concat(F.array(state), candidates)
@@ -315,15 +329,16 @@ def encode_once(
     )
     distinct = keyed.groupBy("__key").agg(F.min("__texts").alias("texts"))
     uses = distinct.select("__key", F.posexplode("texts").alias("pos", "text"))
-    vectors = encode(uses.select("text").distinct())
-    vectors = vectors.select("text", l2_normalize(F.col("vector")).alias("vector"))
+    words = keyed.select(F.explode("__texts").alias("text")).distinct()
+    vectors = encode(words).select("text", l2_normalize(F.col("vector")).alias("vector"))
+    vectors = materialize(vectors, "vectors")
     # At most 27 vectors meet per key.
     packed = lookup_join(uses, vectors, "text", hot_rows).groupBy("__key").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("pos", "vector"))), lambda s: s["vector"]
         ).alias("__v")
     )
-    joined = lookup_join(keyed.drop("__texts"), packed, "__key", hot_rows)
+    joined = keyed.drop("__texts").join(packed, "__key")
     return joined.withColumns(
         {
             "state_vector": F.get("__v", F.lit(0)),
