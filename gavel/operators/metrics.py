@@ -209,6 +209,17 @@ def throughput(metrics: DataFrame, elapsed_seconds: Column) -> DataFrame:
     )
 
 
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of two small per-key tables, NULL keys included.
+
+    Null-safe also because a plain join would push a NULL filter into one of the
+    two reads of a shared shuffle and so prevent its reuse.
+    """
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(named, on, "left").drop(*[f"__{k}" for k in keys])
+
+
 def summarize(
     predictions: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -221,10 +232,10 @@ def summarize(
     summed latency stands in.
     """
     base = finalize(metric_cells(predictions, keys), keys, task)
-    wide = base.join(latency_profile(predictions, keys), list(keys), "left")
+    wide = attach(base, latency_profile(predictions, keys), keys)
     if elapsed is None:
         return throughput(wide, F.col("sum_latency_ms") / 1000)
-    joined = throughput(wide.join(elapsed, list(keys), "left"), F.col("elapsed_seconds"))
+    joined = throughput(attach(wide, elapsed, keys), F.col("elapsed_seconds"))
     return joined.drop("elapsed_seconds")
 
 

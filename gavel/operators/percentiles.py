@@ -34,13 +34,20 @@ def percentiles(
        wanted positions: at most a few thousand rows per group reach that window.
     2. Only values of those buckets are ordered, each bucket by itself.
 
-    Both steps read the same shuffled cells, so the wide input is read once.
+    Both steps read the same shuffled cells, so the wide input is read once: the
+    join keys cannot be NULL (the group is a struct), hence no NULL filter is
+    inferred that would make the two reads differ.
     """
-    bucketed = cells.withColumn("bucket", _bucket(F.col("value")))
-    histogram = bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys)
+    bucketed = cells.select(
+        F.struct(*keys).alias("__group"),
+        "value",
+        "n",
+        F.coalesce(_bucket(F.col("value")), F.lit(0)).alias("bucket"),
+    )
+    histogram = bucketed.groupBy("__group", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("__group")
     ordered = histogram.select(
-        *keys,
+        "__group",
         "bucket",
         (F.sum("n").over(group.orderBy("bucket")) - F.col("n")).alias("before"),
         F.col("n").alias("size"),
@@ -67,21 +74,22 @@ def percentiles(
             lambda w: w["lower"].between(first, last) | w["upper"].between(first, last),
         ),
     ).filter(F.size("wanted") > 0)
-    narrowed = bucketed.join(targets.drop("size", "total"), [*keys, "bucket"])
-    inside = Window.partitionBy(*keys, "bucket").orderBy("value")
+    narrowed = bucketed.join(targets.drop("size", "total"), ["__group", "bucket"])
+    inside = Window.partitionBy("__group", "bucket").orderBy("value")
     placed = narrowed.withColumn(
         "end", F.col("before") + F.sum("n").over(inside) - 1
     ).withColumn("start", F.col("end") - F.col("n") + 1)
-    picked = placed.select(*keys, "value", "start", "end", F.explode("wanted").alias("w"))
+    picked = placed.select("__group", "value", "start", "end", F.explode("wanted").alias("w"))
 
     def at(rank: str) -> Column:
         hit = F.col(f"w.{rank}").between(F.col("start"), F.col("end"))
         return F.max(F.when(hit, F.col("value")))
 
-    points = picked.groupBy(*keys, F.col("w.name").alias("name")).agg(
+    points = picked.groupBy("__group", F.col("w.name").alias("name")).agg(
         at("lower").alias("lo"), at("upper").alias("hi"), F.first("w.weight").alias("weight")
     )
     value = F.col("lo") * (F.lit(1.0) - F.col("weight")) + F.col("hi") * F.col("weight")
-    return points.groupBy(*keys).agg(
+    wide = points.groupBy("__group").agg(
         *[F.max(F.when(F.col("name") == name, value)).alias(name) for name in fractions]
     )
+    return wide.select("__group.*", *fractions)

@@ -21,7 +21,7 @@ def bucket_rank(
 ) -> DataFrame:
     """Exact 1-based row number per group without sorting a group in one task.
 
-    `bucket` must grow with `order`. Bucket sizes (a small pre-aggregated table)
+    `bucket` must grow with `order` and never be NULL. Bucket sizes (a small pre-aggregated table)
     give every bucket its starting rank, then each (group, bucket) sorts alone.
     """
     # As a struct the group is never NULL itself, so a NULL key is a group like any other.
@@ -60,7 +60,7 @@ def hash_rank(
     ranked = bucket_rank(
         hashed,
         keys,
-        F.substring("__h", 1, hex_digits),
+        F.coalesce(F.substring("__h", 1, hex_digits), F.lit("")),
         [F.col("__h"), F.col(id_column)],
     )
     return ranked.drop("__h")
@@ -185,6 +185,6 @@ def seeded_sample(
 def score_rank(df: DataFrame, score: str, tie: str, buckets: int = 4096) -> DataFrame:
     """1-based rank by a 0-1 score, highest first, NULL as zero and ties by `tie`."""
     value = F.coalesce(F.col(score), F.lit(0.0))
-    bucket = F.floor((F.lit(1.0) - value) * buckets)
+    bucket = F.coalesce(F.floor((F.lit(1.0) - value) * buckets), F.lit(0))
     ranked = bucket_rank(df, [], bucket, [value.desc(), F.col(tie)])
     return ranked.drop("group_size")

@@ -148,7 +148,7 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["model", "dataset"]
     out = P.percentiles(P.value_cells(rows, keys), keys, M.LATENCY_FRACTIONS)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return V.rounded(counts.join(out, keys), *M.LATENCY_FRACTIONS)
+    return V.rounded(M.attach(counts, out, keys), *M.LATENCY_FRACTIONS)
 
 
 @query(

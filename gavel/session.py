@@ -44,11 +44,13 @@ def spread(df: DataFrame) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's `spark.checkpoint.dir`.
 
-    Only a session without that setting (tests, a laptop) falls back to a
+    Only a local session without that setting (tests, a laptop) falls back to a
     temporary folder, which is then remembered as the session's setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="gavel-scratch-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gavel.operators.metrics import (
     KEYS,
     LATENCY_FRACTIONS,
+    attach,
     finalize,
     merge_cells,
     metric_cells,
@@ -68,9 +69,8 @@ def current_metrics(
     metric_path, latency_path = _paths(state)
     cells = merge_cells(spark.read.parquet(metric_path), keys)
     latency = merge_value_cells(spark.read.parquet(latency_path), keys)
-    wide = finalize(cells, keys, task).join(
-        percentiles(latency, keys, LATENCY_FRACTIONS), list(keys), "left"
-    )
+    profile = percentiles(latency, keys, LATENCY_FRACTIONS)
+    wide = attach(finalize(cells, keys, task), profile, keys)
     return throughput(wide, F.col("sum_latency_ms") / 1000)
 
 

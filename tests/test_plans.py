@@ -41,6 +41,14 @@ def test_stored_predictions_prune_columns(spark, tmp_path):
     assert scans and all("probabilities" not in s and "scores" not in s for s in scans)
 
 
+def test_percentiles_read_their_input_once(spark):
+    df = QUERIES["value_percentiles"](spark, SF_DIR)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    assert final.count("FileScan") == 2  # the counts and the value cells
+
+
 def test_metrics_combine_before_the_shuffle(spark):
     text = plan(M.metric_cells(V.preds(spark, SF_DIR)))
     assert text.count("Exchange hashpartitioning") <= 4 and "partial_sum" in text
