@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.operators.metrics import ratio
 from gavel.operators.ranking import first_wins, score_rank
 from gavel.schemas import TASKS, require
 

@@ -170,7 +170,6 @@ _STEMS = (
     "Qwen3-{n}B-Instruct", "Qwen3.5-{n}B", "qwen3-swallow-{n}b-rl", "gemma-4-E{n}B-it-qat",
     "sarashina2.2-{n}b-sft", "llm-jp-4-{n}b-thinking", "Qwen2.5-{n}.5B-base", "other-model-cpt",
 )
-_SPEC = "p_partkey, p_name, p_size"
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:

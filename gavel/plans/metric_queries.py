@@ -10,7 +10,6 @@ from gavel.plans import views as V
 from gavel.plans.registry import query
 from gavel.plans.sql_views import byte, r9, sql
 
-_NOUL = ("accuracy", "precision", "recall", "f1", "nll", "brier_score", "ece")
 
 _noul_sql = dict(
     flagship=f"""
