@@ -11,8 +11,10 @@ each of the three pairs, and no link is lost. Fingerprints that share a key are
 verified by their exact distance.
 
 Equal fingerprints are one row from the start, so exact copies never meet each
-other. Large keys are dealt in blocks: each pair of blocks is linked on its own
-and returns a spanning forest, never all pairs.
+other. Every key row is shuffled once to its bucket, so the work grows with the
+fingerprints, not with chance meetings; large keys are dealt in blocks of bounded
+size, each pair of blocks a bucket. A bucket returns a spanning forest of its
+links, never all pairs.
 
 Defined cases: a null or empty text has fingerprint zero and links like any
 other; a text with fewer words than `width` is one shingle; a null id takes part
@@ -154,17 +156,17 @@ def links(groups: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     keys = _keys(groups)
-    shared = keys.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"), F.count("*").alias("n"))
+    large = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     dealt = (
-        keys.join(shared.where("n > 1").drop("n"), "key")
-        .withColumn("own", F.expr("pmod(xxhash64(fp), blocks)"))
-        .select("key", "fp", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-        .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        .agg(F.collect_list("fp").alias("members"))  # two blocks at most
+        keys.join(large.select("key", F.ceil(F.col("n") / F.lit(block)).alias("blocks")), "key", "left")
+        .withColumn("own", F.expr("if(blocks is null, 0L, pmod(xxhash64(fp), blocks))"))
+        .withColumn("other", F.explode(F.expr("if(blocks is null, array(0L), sequence(0L, blocks - 1))")))
+        # One key of its own for each pair of blocks, so that they spread over the tasks.
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp")
+        .groupBy("bucket").agg(F.collect_list("fp").alias("members"))  # two blocks at most
     )
-    pair = F.size("members") == 2
     apart = F.bit_count(F.expr("members[0] ^ members[1]")) > max_bits
-    found = dealt.where((F.size("members") > 1) & ~(pair & apart)).select("members")
+    found = dealt.where((F.size("members") > 1) & ~((F.size("members") == 2) & apart)).select("members")
     return found.mapInArrow(batches, "a long, b long").distinct()
 
 
