@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavel.llm import mixing, quality, simhash, toxicity
+from gavel.llm import decontaminate, mixing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,47 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learnt outside the held-out fold."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_SPACE = r"\x20\x09-\x0D"
+_NAMES = rf"'([\p{{Ll}}\p{{N}},;:][{_SPACE}]+)(\p{{Lu}}\p{{Ll}}+)', '\1¤\2', 'g'"
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+_FORM = (
+    "list_transform(raw, lambda w, i: CASE WHEN w < ':' THEN '#n' WHEN starts_with(w, '¤') THEN {name} "
+    "WHEN i > 1 AND w IN ({units}) AND raw[i - 1] < ':' THEN '#u' ELSE w END)"
+)
+
+
+def _template_sql(table_name: str, key: str, names: bool = True) -> str:
+    """SELECT of key, text, pos, form and vals (slots) of every window."""
+    form = _FORM.format(name="'#p'" if names else "substr(w, 2)", units=_UNITS)
+    return rf"""
+      SELECT {key}, text, pos, form[pos + 1:pos + 8] AS form, vals[pos + 1:pos + 8] AS vals FROM (
+        SELECT *, unnest(range(0, len(form) - 7)) AS pos FROM (
+          SELECT *, list_transform(form, lambda f, i: CASE WHEN starts_with(f, '#') THEN raw[i] ELSE '' END) AS vals FROM (
+            SELECT *, {form} AS form FROM (
+              SELECT {key}, text, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(
+                text, {_NAMES}), {_NAMES}), '[^\p{{L}}\p{{M}}\p{{N}}¤{_SPACE}]+', '', 'g')), '[{_SPACE}]+'), lambda w: w <> '') AS raw
+              FROM {table_name}) WHERE len(raw) >= 8)))"""
+
+
+@query(f"""
+    WITH wins AS ({_template_sql("documents", "doc_id")}),
+    both_forms AS ({_template_sql("benchmark", "item_id")} UNION {_template_sql("benchmark", "item_id", names=False)}),
+    known AS (SELECT *, count(DISTINCT pos) OVER (PARTITION BY item_id) AS windows FROM both_forms
+      WHERE len(list_filter(form, lambda f: starts_with(f, '#'))) <= 3),
+    met AS (SELECT w.doc_id, w.text, k.item_id, k.windows, k.pos AS place, w.pos - k.pos AS apart, k.vals AS was, w.vals AS now
+      FROM wins w JOIN known k USING (form)),
+    pairs AS (SELECT DISTINCT doc_id, text, item_id, apart, was[i] AS was, now[i] AS now FROM (
+      SELECT *, unnest(range(1, 9)) AS i FROM met) WHERE was[i] <> ''),
+    steady AS (SELECT doc_id, text, item_id, apart, count(*) = count(DISTINCT was) AS ok, max(was <> now) AS differs
+      FROM pairs GROUP BY ALL),
+    seen AS (SELECT doc_id, text, item_id, apart, count(DISTINCT place) AS matched, any_value(windows) AS windows
+      FROM met GROUP BY doc_id, text, item_id, apart)
+    SELECT s.doc_id, s.item_id, max(matched) AS matched, max(coalesce(differs, false)) AS reworded
+    FROM seen s LEFT JOIN steady t ON s.doc_id IS NOT DISTINCT FROM t.doc_id AND s.text = t.text
+      AND s.item_id IS NOT DISTINCT FROM t.item_id AND s.apart = t.apart
+    WHERE coalesce(ok, true) AND matched >= least(6, windows) GROUP BY s.doc_id, s.item_id""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak of a benchmark item in a document."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
