@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavel.llm import decontaminate, mixing, quality, simhash, toxicity
+from gavel.llm import decontaminate, mixing, quality, simhash, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,33 @@ def _template_sql(table_name: str, key: str, names: bool = True) -> str:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak of a benchmark item in a document."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rules and, where none fits, by the model."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+_PAYLOAD = "encode(coalesce(html, ''))"
+_BASE32 = (
+    "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    "1 + ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '')"
+)
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, octet_length({_PAYLOAD}) AS n, sha1({_PAYLOAD}) AS hex,
+      min(page_id) OVER (PARTITION BY sha1({_PAYLOAD})) AS first FROM pages)
+    SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM p""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokens.section_counts(table(spark, sf_dir, "documents"))
