@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import decontaminate, mixing, quality, simhash, tokens, topk, toxicity, urls, warc
+from gavel.llm import decontaminate, htmltext, mixing, quality, simhash, tokens, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all other vectors for every vector whose id is divisible by 20."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
