@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.llm.rows import packed, text_of, unpacked
 from gavel.session import materialize
 
 WIDTH, REAL, MATCHES = 8, 5, 6
@@ -98,7 +99,7 @@ def sightings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, matched (windows) and reworded (a slot differs) of every leak."""
     known = materialize(benchmark_windows(benchmark), "leak-windows")
     hashes = materialize(known.select("hash").distinct(), "leak-hashes")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of())
     met = _windows(rows, ["doc_id", "text_hash"]).join(checked_broadcast(hashes), "hash")
     item = known.select("hash", "item_id", "windows", F.col("pos").alias("place"), F.col("slots").alias("wanted"))
     paired = met.join(item, "hash").withColumn("apart", F.col("pos") - F.col("place"))
@@ -125,7 +126,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that give away no item, with all their columns."""
     found = materialize(sightings(docs, benchmark).select("doc_id", "text_hash").distinct(), "leaks")
-    marked = docs.withColumn("__hash", F.xxhash64("text"))
-    same = marked["__hash"].eqNullSafe(F.col("text_hash")) & marked["doc_id"].eqNullSafe(F.col("__leak"))
-    gone = found.withColumnRenamed("doc_id", "__leak")
-    return marked.join(checked_broadcast(gone), same, "left_anti").drop("__hash")
+    rows = packed(docs, F.col("doc_id").alias("own_id"), F.xxhash64(text_of()).alias("own_hash"))
+    same = F.col("own_hash").eqNullSafe(F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
+    return unpacked(rows.join(checked_broadcast(found), same, "left_anti"))

@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.llm.rows import packed, unpacked
 from gavel.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -185,13 +186,15 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mixed corpus: every document as often as it is taken, with `copy` from 1; all columns stay."""
+    """The mixed corpus: every document as often as it is taken, with `copy` from 1 behind its columns.
+
+    A column `copy` of the input gives way.
+    """
+    docs = docs.drop("copy")
     rows = materialize(sizes(docs), "mix-sizes")
-    deal = deals(rows, weights, cap).select(F.struct("source", "size").alias("__class"), "base", "cut")
-    own = docs.withColumn("__class", F.struct(F.col("source").cast("string").alias("source"), word_count("text").alias("size")))
-    own = own.withColumn("__pick", _pick())
-    more = F.coalesce(F.col("__pick") <= F.col("cut"), F.lit(False)).cast("long")
-    found = own.join(deal, own["__class"].eqNullSafe(deal["__class"])).withColumn("__copies", F.col("base") + more)
-    return found.where("__copies > 0").select(
-        *[own[c] for c in docs.columns], F.explode(F.expr("sequence(1, int(__copies))")).alias("copy")
-    )
+    deal = deals(rows, weights, cap).select("source", "size", "base", "cut")
+    own = packed(docs, F.col("source").cast("string").alias("own_source"), word_count("text").alias("own_size"), _pick().alias("pick"))
+    same = F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    more = F.coalesce(F.col("pick") <= F.col("cut"), F.lit(False)).cast("int")
+    found = own.join(deal, same).withColumn("copies", F.col("base").cast("int") + more).where("copies > 0")
+    return unpacked(found, F.explode(F.expr("sequence(1, copies)")).alias("copy"))

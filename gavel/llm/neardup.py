@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm.components import connected_components
 from gavel.llm.decontaminate import checked_broadcast
+from gavel.llm.rows import packed, text_of, unpacked
 from gavel.llm.simhash import fuzzy_keys
 from gavel.session import materialize
 
@@ -80,7 +81,7 @@ def _prints(docs: DataFrame) -> DataFrame:
             columns = [part.column("digest"), part.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in found.T)]
             yield pa.RecordBatch.from_arrays(columns, ["digest", "doc_id", *names])
 
-    rows = docs.select(_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text_of())
     return rows.mapInArrow(batches, "digest binary, doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
@@ -162,8 +163,12 @@ def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> D
     return two.union(buckets.where(F.size("members") > 2).mapInArrow(proposed, "a long, b long")).where("a < b").distinct()
 
 
-def _same_text(left: DataFrame, right: DataFrame) -> Column:
-    return (left["__digest"] == right["digest"]) & left["__id"].eqNullSafe(right["doc_id"])
+def _same_text() -> Column:
+    return (F.col("own_digest") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
+
+
+def _own() -> tuple[Column, Column]:
+    return _digest().alias("own_digest"), F.col("doc_id").cast("long").alias("own_id")
 
 
 def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -178,8 +183,8 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
     pairs = materialize(candidates(texts), "neardup-pairs")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
     used = materialize(texts.join(ends.select("rid").distinct(), "rid").select("rid", "digest", "doc_id"), "neardup-used")
-    read = docs.select(_digest().alias("__digest"), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-    whole = read.join(checked_broadcast(used, BROADCAST_ROWS), _same_text(read, used)).select("rid", "text").where("text is not null")
+    read = docs.where("text is not null").select(*_own(), text_of())
+    whole = read.join(checked_broadcast(used, BROADCAST_ROWS), _same_text()).select("rid", "text")
     both = ends.join(whole, "rid").groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
     return both.mapInArrow(alike, "a long, b long")
 
@@ -191,10 +196,8 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     named = texts.join(stars, texts.rid == stars.node, "left").select(F.coalesce("root", "rid").alias("root"), "none", "doc_id", "digest", "same")
     stays = named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "digest", "same")).alias("keep"))
     stays = materialize(stays.select("keep.digest", "keep.doc_id", "keep.same"), "neardup-stays")
-    rows = docs.withColumn("__digest", _digest()).withColumn("__id", F.col("doc_id").cast("long"))
-    kept = rows.join(checked_broadcast(stays, BROADCAST_ROWS), _same_text(rows, stays))
-    once = kept.where("same = 1").select(*[rows[c] for c in docs.columns])
+    kept = packed(docs, *_own()).join(checked_broadcast(stays, BROADCAST_ROWS), _same_text())
+    once = unpacked(kept.where("same = 1"))
     if stays.where("same > 1").isEmpty():
         return once
-    more = kept.where("same > 1").dropDuplicates(["__digest", "__id"])
-    return once.union(more.select(*[rows[c] for c in docs.columns]))
+    return once.union(unpacked(kept.where("same > 1").dropDuplicates(["own_digest", "own_id"])))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel.llm.labelled import in_fold, predicted, sample
+from gavel.llm.rows import packed, text_of, unpacked
 
 FOLD = (4, 2)  # ids that teach nothing: modulus and remainder
 PER_CLASS = 2500  # sampled documents of each label at most
@@ -226,5 +227,5 @@ def without_poor(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     model = train(sample(docs, labels, "quality", FOLD, per_class))
     if model is None:
         return docs
-    kept = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    return score_documents(kept, model).where(predicted("score") == 1).select("__row.*")
+    scored = score_documents(packed(docs, text_of()), model)
+    return unpacked(scored.where(predicted("score") == 1))

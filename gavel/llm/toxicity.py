@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel.llm.labelled import in_fold, predicted, sample
+from gavel.llm.rows import packed, text_of, unpacked
 
 FOLD = (3, 1)  # ids that teach nothing: modulus and remainder
 PER_CLASS = 3000  # sampled documents of each label at most
@@ -190,5 +191,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     model = train(sample(docs, labels, "toxic", FOLD, per_class))
-    kept = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text")
-    return score_documents(kept, model).where(predicted("score") == 0).select("__row.*")
+    scored = score_documents(packed(docs, text_of()), model)
+    return unpacked(scored.where(predicted("score") == 0))
