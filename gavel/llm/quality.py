@@ -32,7 +32,7 @@ from gavel.llm.labelled import in_fold, predicted, sample
 from gavel.llm.rows import packed, text_of, unpacked
 
 FOLD = (4, 2)  # ids that teach nothing: modulus and remainder
-PER_CLASS = 2500  # sampled documents of each label at most
+PER_CLASS = 2000  # sampled documents of each label at most
 STEPS, RATE, DECAY = 100, 0.1, 1e-4
 KINDS = 9  # kinds of bytes below
 SLICE = 1 << 20  # bytes that are counted in one go

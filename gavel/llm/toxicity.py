@@ -32,13 +32,14 @@ from gavel.llm.labelled import in_fold, predicted, sample
 from gavel.llm.rows import packed, text_of, unpacked
 
 FOLD = (3, 1)  # ids that teach nothing: modulus and remainder
-PER_CLASS = 3000  # sampled documents of each label at most
+PER_CLASS = 2000  # sampled documents of each label at most
 BUCKETS = 1 << 19  # rows of the embedding table
 NGRAMS = (3, 4, 5)
 WINDOW = 2  # words
 DIM = 8
 STEPS, RATE, DECAY = 80, 0.05, 1e-5
 KNOWN_WORDS = 300_000  # words a task remembers before it starts anew
+PIECE = 20_000  # words whose n-grams are made in one go
 
 
 def ngram_bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +69,32 @@ def word_means(values: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.n
     return np.add.reduceat(values[rows], starts) / sizes
 
 
+class Bags:
+    """The n-gram bags of many words in pieces, so that no step holds a wide array of all n-grams."""
+
+    def __init__(self, words: list[str]):
+        self.pieces = [ngram_bags(words[at : at + PIECE]) for at in range(0, len(words), PIECE)]
+        self.sizes = np.concatenate([np.diff(np.append(starts, len(rows))) for rows, starts in self.pieces])
+        seen = np.zeros(BUCKETS, bool)
+        for rows, _ in self.pieces:
+            seen[rows] = True
+        self.used = np.flatnonzero(seen)  # from here on rows are places among these
+        place = np.cumsum(seen, dtype=np.int32) - 1
+        self.pieces = [(place[rows], starts) for rows, starts in self.pieces]
+
+    def means(self, values: np.ndarray) -> np.ndarray:
+        return np.concatenate([word_means(values, *piece) for piece in self.pieces])
+
+    def sums(self, per_word: np.ndarray) -> np.ndarray:
+        """Of a number for each word, the sum over the words of each used row's n-grams."""
+        total, at = np.zeros(len(self.used)), 0
+        for rows, starts in self.pieces:
+            own = slice(at, at + len(starts))
+            total += np.bincount(rows, np.repeat(per_word[own], self.sizes[own]), len(total))
+            at += len(starts)
+        return total
+
+
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts with so many words each: starts and sizes of the windows, and the text of each."""
     per_text = -(-sizes // WINDOW)
@@ -94,8 +121,8 @@ class SubwordModel:
         if len(known) > KNOWN_WORDS:
             known.clear()
         new = list(set(tokens) - known.keys())
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), PIECE):
+            part = new[at : at + PIECE]
             known.update(zip(part, word_means(self.weight, *ngram_bags(part)).tolist()))
         values = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
         return self.pooled(values, np.array(sizes, np.int64))
@@ -122,28 +149,26 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel | None:
         sizes.append(len(words))
     sizes = np.array(sizes, np.int64)
     labels, sizes, token = labels[sizes > 0], sizes[sizes > 0], np.concatenate(tokens)
-    bags, bag_starts = ngram_bags(list(ids))
-    bag_sizes = np.diff(np.append(bag_starts, len(bags)))
+    bags = Bags(list(ids))
     starts, counts, text = windows(sizes)
-    used, bags = np.unique(bags, return_inverse=True)
     per_token = 1.0 / np.repeat(counts, counts)
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    table = rng.standard_normal((len(bags.used), DIM), np.float32) * np.float32(0.1)
     # Rows of the softmax; only their difference matters for the log-odds.
     softmax, bias = rng.normal(0, 0.5, (2, DIM)), -np.log(np.median(np.bincount(text))) - 2.0
     weigh = np.where(labels, 0.5 / labels.sum(), 0.5 / (~labels).sum())
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, softmax, np.zeros(1))]
     for step in range(1, STEPS + 1):
         direction = (softmax[1] - softmax[0]).astype(np.float32)
-        values = word_means(table @ direction, bags, bag_starts)
+        values = bags.means(table @ direction)
         logits = np.add.reduceat(values[token], starts) / counts + bias
         toxic = 1 / (1 + np.exp(-logits))
         found = -np.expm1(np.bincount(text, -np.logaddexp(0, logits), len(sizes)))
         # Slope of the noisy-or likelihood in a window's log-odds.
         pull = np.where(labels, -(1 - found) / np.maximum(found, 1e-9), 1.0) * weigh
         slope = pull[text] * toxic
-        per_word = np.bincount(token, np.repeat(slope, counts) * per_token, len(ids)) / bag_sizes
-        per_row = np.bincount(bags, np.repeat(per_word, bag_sizes), len(used)).astype(np.float32)
+        per_word = np.bincount(token, np.repeat(slope, counts) * per_token, len(ids)) / bags.sizes
+        per_row = bags.sums(per_word).astype(np.float32)
         toward = per_row @ table
         grads = (np.outer(per_row, direction) + DECAY * table, np.stack([-toward, toward]), np.array([slope.sum()]))
         steps = []
@@ -155,7 +180,7 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel | None:
         softmax -= steps[1]
         bias -= steps[2][0]
     weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = table @ (softmax[1] - softmax[0])
+    weight[bags.used] = table @ (softmax[1] - softmax[0])
     return SubwordModel(weight, float(bias))
 
 
