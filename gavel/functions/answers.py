@@ -42,15 +42,18 @@ def parse_answer(task: Column, answer: Column, count: Column) -> Column:
     """Typed answer struct -> (scores, probabilities, predicted_index).
 
     Yes/no answers use the 0.5 threshold, ordinal answers the arg-max, choices
-    the model's own pick.
+    the model's own pick. An answer without what its task needs is an error.
     """
     p_true = F.coalesce(answer["noul"], answer["probability_yes"])
-    yes_no = _scored(*binary_scores(p_true))
+    missing = F.raise_error(F.lit("answer without a probability")).cast("double")
+    yes_no = _scored(*binary_scores(F.coalesce(p_true, missing)))
     levels = let(
         _keyed_probabilities(answer, count, ""), lambda p: _scored(p, p, argmax(p))
     )
     chosen = F.coalesce(answer["choice"], answer["selected_id"])
-    index = F.regexp_extract(chosen, r"^option_(\d+)$", 1).try_cast("int")
+    number = F.regexp_extract(chosen, r"^option_(\d+)$", 1).try_cast("int")
+    unknown = F.raise_error(F.concat(F.lit("unknown choice: "), F.coalesce(chosen, F.lit("none")))).cast("int")
+    index = F.when((number >= 0) & (number < count), number).otherwise(unknown)
     choice = let(
         _keyed_probabilities(answer, count, "option_"), lambda p: _scored(p, p, index)
     )
@@ -63,7 +66,8 @@ def parse_answer_json(task: Column, text: Column, count: Column) -> Column:
 
 def parse_distribution(task: Column, probabilities: Column) -> Column:
     """One distribution over the options; index 1 of a yes/no answer is yes."""
-    yes_no = _scored(*binary_scores(F.get(probabilities, F.lit(1))))
+    missing = F.raise_error(F.lit("distribution without a second value")).cast("double")
+    yes_no = _scored(*binary_scores(F.coalesce(F.get(probabilities, F.lit(1)), missing)))
     other = _scored(probabilities, probabilities, argmax(probabilities))
     return F.when(task == "noul", yes_no).otherwise(other)
 

@@ -134,8 +134,8 @@ def numeric_options(gold: Column, count: int, seed: int | str, key: Column) -> C
     """`count` distinct numeric options, the gold text among them, in seeded order.
 
     Digest bytes draw from the four pools in turn. Should they give too few
-    distinct values, the pools themselves follow as a reserve, so the wanted
-    number always exists.
+    distinct values, the pools themselves follow as a reserve; a number that even
+    they cannot give is an error.
     """
     draws = min(32, 3 * count)
     data = digest_bytes(F.concat_ws(":", F.lit(str(seed)), key, gold), draws)
@@ -146,7 +146,8 @@ def numeric_options(gold: Column, count: int, seed: int | str, key: Column) -> C
         def enough(picked: Column) -> Column:
             rest = F.array_union(picked, _texts(F.concat(*distractor_pools(value)), gold))
             chosen = F.when(F.size(picked) >= count - 1, picked).otherwise(rest)
-            return F.slice(chosen, 1, count - 1)
+            few = F.raise_error(F.lit(f"fewer than {count - 1} distinct wrong options")).cast("array<string>")
+            return F.when(F.size(chosen) < count - 1, few).otherwise(F.slice(chosen, 1, count - 1))
 
         drawn = F.array(*[_draw(value, b, t) for t in range(draws)])
         return let(F.array_distinct(_texts(drawn, gold)), enough)

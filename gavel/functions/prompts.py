@@ -33,7 +33,9 @@ FEW_SHOT_NO_STATE = "以下の質問に、上と同じ基準で答えてくだ
 
 
 def letter(index: Column) -> Column:
-    return F.substring(F.lit(LABELS), index + 1, F.lit(1))
+    """The label of an option; there are as many options as letters at most."""
+    none = F.raise_error(F.lit("more options than letters"))
+    return F.when(index < len(LABELS), F.substring(F.lit(LABELS), index + 1, F.lit(1))).otherwise(none.cast("string"))
 
 
 def choice_block(options: Column) -> Column:

@@ -90,8 +90,8 @@ def load_corpus(
     """Filter, keep the first `limit` rows in source order, convert."""
     kept = filter_corpus(rows, task, lang)
     if limit is not None:
-        order = F.col(ROW_INDEX)
-        kept = top_per_group(kept, ["question_type"], [order], limit, order)
+        order = [F.col(c) for c in ("file_order", ROW_INDEX) if c in kept.columns]
+        kept = top_per_group(kept, ["question_type"], order, limit, F.col(ROW_INDEX))
     return rubric_items(kept, task, dataset).select(*ITEM_COLUMNS)
 
 

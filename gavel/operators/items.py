@@ -23,7 +23,7 @@ from gavel.functions.text import (
 )
 from gavel.operators.filters import where, where_in, where_not
 from gavel.operators.ranking import limit_per_dataset
-from gavel.schemas import ITEM_COLUMNS, MAX_OPTIONS, validate_items
+from gavel.schemas import ITEM_COLUMNS, validate_items
 
 ROW_INDEX = "row_index"
 
@@ -53,8 +53,13 @@ def item_id(df: DataFrame, dataset: str) -> Column:
 
 
 def _named_id(df: DataFrame, dataset: str, name: str) -> Column:
-    source = name if name in df.columns else ROW_INDEX
-    return F.concat(F.lit(f"{dataset}:"), field_text(df, source))
+    """`dataset:<the named field, else the raw row index>`, row by row."""
+    if name not in df.columns:
+        return F.concat(F.lit(f"{dataset}:"), field_text(df, ROW_INDEX))
+    own = field_text(df, name)
+    if ROW_INDEX in df.columns:
+        own = F.when(col(name).isNull(), col(ROW_INDEX).cast("string")).otherwise(own)
+    return F.concat(F.lit(f"{dataset}:"), own)
 
 
 def _metadata(**values: Column) -> Column:
@@ -86,7 +91,7 @@ def _item(
         metadata.alias("metadata"),
         *([col(ROW_INDEX)] if ROW_INDEX in df.columns else []),
     )
-    return validate_items(built, "fail", MAX_OPTIONS)
+    return validate_items(built)
 
 
 def _clean(df: DataFrame, name: str) -> Column:

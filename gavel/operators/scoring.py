@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pandas as pd
@@ -26,7 +27,8 @@ from gavel.functions.arrays import (
 )
 from gavel.functions.prompts import HYPOTHESIS, state_and_candidates
 from gavel.functions.text import let
-from gavel.session import materialize
+from gavel.schemas import validate_predictions
+from gavel.session import checked_broadcast, materialize
 
 MAX_SCALE = 100.0  # fixed value: upper bound of the contrastive scale
 
@@ -137,7 +139,7 @@ def score_items(
             if len(frame):
                 yield _score_frame(scorer, frame, batch_size)[schema.names]
 
-    return items.mapInPandas(run, schema)
+    return validate_predictions(items.mapInPandas(run, schema))
 
 
 # Statuses worth a retry and the delay limits in seconds.
@@ -147,30 +149,30 @@ FIRST_DELAY = 0.5
 MAX_DELAY = 2.0
 
 
+def delays(retries: int) -> list[float]:
+    """Seconds to wait before each retry: doubling, bounded."""
+    return [min(FIRST_DELAY * 2**k, MAX_DELAY) for k in range(retries)]
+
+
+@dataclass
 class RetryingClient:
-    """Bounded retry around `post(payload) -> (status, headers, body)`."""
+    """Sends a payload through `post(payload) -> (status, headers, body)`, again after each delay."""
 
-    def __init__(
-        self,
-        post: Callable[[Any], tuple[int, dict[str, str], Any]],
-        max_retries: int = 2,
-        sleep: Callable[[float], None] = time.sleep,
-    ) -> None:
-        self.post, self.max_retries, self.sleep = post, max_retries, sleep
+    post: Callable[[Any], tuple[int, dict[str, str], Any]]
+    max_retries: int = 2
+    sleep: Callable[[float], None] = time.sleep
 
     def __call__(self, payload: Any) -> Any:
-        for attempt in range(self.max_retries + 1):
+        status, headers, body = self.post(payload)
+        for delay in delays(self.max_retries):
+            if status not in RETRY_STATUSES:
+                break
+            asked = headers.get("retry-after")
+            self.sleep(delay if asked is None else min(float(asked), MAX_RETRY_AFTER))
             status, headers, body = self.post(payload)
-            if status < 400:
-                return body
-            if status not in RETRY_STATUSES or attempt == self.max_retries:
-                raise RuntimeError(f"request failed with status {status}")
-            after = headers.get("retry-after")
-            wait = min(float(after), MAX_RETRY_AFTER) if after else min(
-                FIRST_DELAY * 2**attempt, MAX_DELAY
-            )
-            self.sleep(wait)
-        raise AssertionError("unreachable")
+        if status >= 400:
+            raise RuntimeError(f"request failed with status {status}")
+        return body
 
 
 def remote_answers(
@@ -271,73 +273,38 @@ def contrastive(
     ).drop("__p")
 
 
-def lookup_join(
-    uses: DataFrame,
-    table: DataFrame,
-    key: str,
-    hot_rows: int = 100_000,
-    max_hot: int = 1_000,
-) -> DataFrame:
-    """uses LEFT JOIN table (unique keys) on a key that may hold a large share of the uses.
-
-    Keys with more than `hot_rows` uses, at most the `max_hot` largest, are
-    looked up in a table of at most `max_hot` rows, which is safe to broadcast.
-    In the shuffle join for all other keys a salt spreads the hot rows (and
-    NULL keys) evenly: the table has salt 0 only, so they match nothing there.
-    """
-    counts = uses.groupBy(key).agg(F.count(F.lit(1)).alias("__uses"))
-    hot = F.broadcast(
-        counts.filter((F.col("__uses") > hot_rows) & F.col(key).isNotNull())
-        .orderBy(F.col("__uses").desc(), key)
-        .limit(max_hot)
-        .select(key, F.lit(True).alias("__hot"))
-    )
-    values = [c for c in table.columns if c != key]
-    # Maps cannot be hashed; any other column may tell rows apart.
-    spread = [f.name for f in uses.schema.fields if "map<" not in f.dataType.simpleString()]
-    apart = F.pmod(F.xxhash64(*spread), F.lit(1024)) + 1
-    salted = uses.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), apart).otherwise(F.lit(0).cast("bigint"))
-    )
-    cold_table = table.withColumn("__salt", F.lit(0).cast("bigint"))
-    joined = salted.join(cold_table, [key, "__salt"], "left")
-    hot_table = table.join(hot.select(key), key, "left_semi").select(
-        key, *[F.col(c).alias(f"__hot_{c}") for c in values]
-    )
-    return joined.join(F.broadcast(hot_table), key, "left").select(
-        *uses.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in values]
-    )
-
-
 def encode_once(
     items: DataFrame,
     encode: Callable[[DataFrame], DataFrame],
-    hot_rows: int = 100_000,
 ) -> DataFrame:
     """State and candidate vectors of unit length, every distinct text encoded once.
 
     `encode` maps a (text) table to (text, vector). Adds `state_vector` and
-    `candidate_vectors`. Encoding is the expensive part, so its result is
-    written once to the shared folder. Items with the same texts are combined
-    map-side before anything is joined; copies get their vectors back in the
-    last join, where adaptive execution splits a partition full of copies.
+    `candidate_vectors`. A text travels once, with its digest; everything else is
+    joined by digests. Vectors and the vectors of each set of texts are written to
+    the shared folder, so both joins read plain tables and adaptive execution can
+    split a partition full of copies of one text.
     """
     state, candidates = state_and_candidates(F.col("task"), F.col("question"), F.col("options"))
-    texts = F.concat(F.array(state), candidates)
-    keyed = items.withColumn("__texts", texts).withColumn(
-        "__key", F.sha2(F.to_json("__texts"), 256)
+    keyed = items.withColumn("__texts", F.concat(F.array(state), candidates))
+    keyed = keyed.withColumn("__marks", F.transform("__texts", lambda t: F.sha2(t, 256)))
+    keyed = keyed.withColumn("__key", F.sha2(F.concat_ws(",", "__marks"), 256))
+    words = keyed.select(F.explode(F.arrays_zip("__marks", "__texts")).alias("w"))
+    words = words.groupBy(F.col("w.__marks").alias("mark")).agg(F.min("w.__texts").alias("text"))
+    words = materialize(words, "texts")
+    vectors = encode(words.select("text")).select(
+        F.sha2("text", 256).alias("mark"), l2_normalize(F.col("vector")).alias("vector")
     )
-    distinct = keyed.groupBy("__key").agg(F.min("__texts").alias("texts"))
-    uses = distinct.select("__key", F.posexplode("texts").alias("pos", "text"))
-    words = keyed.select(F.explode("__texts").alias("text")).distinct()
-    vectors = encode(words).select("text", l2_normalize(F.col("vector")).alias("vector"))
     vectors = materialize(vectors, "vectors")
-    # At most 27 vectors meet per key.
-    packed = lookup_join(uses, vectors, "text", hot_rows).groupBy("__key").agg(
+    uses = keyed.select("__key", "__marks").distinct().select("__key", F.posexplode("__marks").alias("pos", "mark"))
+    # An item has few vectors: its state and its options.
+    packed = uses.join(vectors, "mark", "left").groupBy("__key").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("pos", "vector"))), lambda s: s["vector"]
         ).alias("__v")
     )
+    packed = materialize(packed, "packed")
+    keyed = keyed.drop("__marks")
     joined = keyed.drop("__texts").join(packed, "__key")
     return joined.withColumns(
         {
@@ -418,7 +385,7 @@ def few_shot_pack(examples: DataFrame, count: int, order: str, key: str = "task"
 def with_few_shot(items: DataFrame, pack: DataFrame, key: str = "task") -> DataFrame:
     """Attach each key's example pack; keys without examples get an empty pack."""
     empty = F.array().cast(pack.schema["examples"].dataType)
-    return items.join(pack, key, "left").withColumn(
+    return items.join(checked_broadcast(pack), key, "left").withColumn(
         "examples", F.coalesce("examples", empty)
     )
 

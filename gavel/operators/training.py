@@ -17,7 +17,6 @@ from gavel.operators.ranking import kfold
 from gavel.operators.scoring import linear_candidates, linear_yes_no
 from gavel.session import local_table, materialize
 
-TRAIN_SAMPLE = 200  # fixed value: rows behind the train accuracy shown per epoch
 # Metrics of one fold; row counts are left out of the summary.
 FOLD_METRICS = {
     "choice": ("accuracy",),
@@ -85,20 +84,30 @@ class YesNoHead:
 def _candidate_gradient(
     weights: np.ndarray, bias: float
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per-partition sums of loss and gradient of softmax cross-entropy."""
+    """Per-partition sums: the gradient of softmax cross-entropy, then loss, hits and rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(weights) + 2)
+        total = np.zeros(len(weights) + 3)
         for frame in frames:
-            for vectors, gold in zip(frame["candidates"], frame["gold_index"]):
-                x = np.array([np.asarray(v, dtype=float) for v in vectors])
-                logits = x @ weights + bias
-                p = np.exp(logits - logits.max())
-                p /= p.sum()
-                total[-2] -= np.log(max(p[gold], 1e-12))
-                total[-1] += 1
-                p[gold] -= 1.0
-                total[:-2] += p @ x
+            if frame.empty:
+                continue
+            # All candidates of the batch as one matrix, an item's rows together.
+            sizes = frame["candidates"].map(len).to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            x = np.stack([v for row in frame["candidates"] for v in row]).astype(float)
+            logits = x @ weights + bias
+            high = np.maximum.reduceat(logits, starts)
+            p = np.exp(logits - np.repeat(high, sizes))
+            p /= np.repeat(np.add.reduceat(p, starts), sizes)
+            gold = starts + frame["gold_index"].to_numpy()
+            # The first of equal candidates is the prediction.
+            best = np.flatnonzero(logits == np.repeat(high, sizes))
+            first = best[np.searchsorted(best, starts)]
+            total[-3] -= np.log(np.maximum(p[gold], 1e-12)).sum()
+            total[-2] += (first == gold).sum()
+            total[-1] += len(frame)
+            p[gold] -= 1.0
+            total[:-3] += p @ x
         yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
 
     return run
@@ -129,8 +138,8 @@ class CandidateHead:
             raise ValueError("no training items")
         weights, moment, square = (np.zeros(first[0]) for _ in range(3))
         history: list[dict] = []
-        sample = train.limit(TRAIN_SAMPLE)
-        for epoch in range(1, self.epochs + 1):
+        # One pass more than epochs: each also counts the hits of the step before it, over all rows.
+        for epoch in range(1, self.epochs + 2):
             sums = (
                 data.mapInPandas(_candidate_gradient(weights, 0.0), "pos INT, value DOUBLE")
                 .groupBy("pos")
@@ -139,7 +148,11 @@ class CandidateHead:
                 .collect()
             )
             values = np.array([r["value"] for r in sums])
-            gradient, loss, count = values[:-2] / values[-1], values[-2], values[-1]
+            gradient, (loss, hits, count) = values[:-3] / values[-1], values[-3:]
+            if self.track and history:
+                history[-1]["train_accuracy"] = float(hits / count)
+            if epoch > self.epochs:
+                break
             moment = 0.9 * moment + 0.1 * gradient
             square = 0.999 * square + 0.001 * gradient**2
             step = (moment / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.999**epoch)) + 1e-8)
@@ -147,7 +160,6 @@ class CandidateHead:
             row = {"epoch": epoch, "mean_loss": float(loss / count)}
             if self.track:
                 model = Fitted("choice", weights.tolist(), 0.0)
-                row["train_accuracy_sample"] = _accuracy(model, sample)
                 row["val_accuracy"] = _accuracy(model, validation)
             history.append(row)
         return Fitted("choice", weights.tolist(), 0.0, history)
@@ -168,13 +180,13 @@ def get_trainer(name: str, **options) -> Trainer:
 def history_frame(spark, model: Fitted) -> DataFrame:
     """Per-epoch history as a table."""
     rows = [
-        (h["epoch"], h["mean_loss"], h.get("train_accuracy_sample"), h.get("val_accuracy"))
+        (h["epoch"], h["mean_loss"], h.get("train_accuracy"), h.get("val_accuracy"))
         for h in model.history
     ]
     return local_table(
         spark,
         rows,
-        "epoch INT, mean_loss DOUBLE, train_accuracy_sample DOUBLE, val_accuracy DOUBLE",
+        "epoch INT, mean_loss DOUBLE, train_accuracy DOUBLE, val_accuracy DOUBLE",
     )
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from gavel.operators.items import build_items
 from gavel.operators.leaderboard import dataset_scores, leaderboard, task_scores
 from gavel.operators.metrics import summarize
-from gavel.schemas import SCHEMA_VERSION, TASKS
-from gavel.session import local_table, spread
+from gavel.schemas import SCHEMA_VERSION, TASKS, require_rows, validate_predictions
+from gavel.session import checked_broadcast, local_table, materialize
 from gavel.sources import sinks
 from gavel.sources.readers import glob, read_source, resolve_one
 
@@ -115,14 +115,18 @@ def load_items(spark: SparkSession, datasets: list[dict], seed: int = 42) -> Dat
     def load(dataset: dict) -> DataFrame:
         source = dataset["source"]
         rows = read_source(spark, source["format"], dataset["path"])
-        if source["format"] == "parquet":  # a plain scan
-            rows = spread(rows)
         items = build_items(rows, dataset["id"], source, seed, dataset.get("limit"))
         return items.withColumn("task", F.lit(dataset["task"]))
 
     return reduce(DataFrame.unionByName, [load(d) for d in datasets])
 
 
+def task_models(config: Mapping[str, Any], task: str, models: list[str]) -> list[str]:
+    """Those of `models` that a task is meant for: its `model_ids`, or all."""
+    chosen = config.get("tasks", {}).get(task, {}).get("model_ids")
+    return models if chosen is None else [m for m in models if m in chosen]
+
+
 def configured_scores(spark: SparkSession, config: Mapping[str, Any], models: list[str]) -> DataFrame:
     """(model, task, dataset) rows the leaderboard expects."""
     by_id = {d["id"]: d for d in config["datasets"]}
@@ -132,7 +136,7 @@ def configured_scores(spark: SparkSession, config: Mapping[str, Any], models: li
         metric = body.get("aggregate_metric", DEFAULT_METRIC)
         for dataset in body.get("datasets", []):
             extra = by_id[dataset]
-            for model in models:
+            for model in task_models(config, task, models):
                 rows.append(
                     (model, task, dataset, metric, _maybe_float(extra.get("max_error")),
                      extra.get("feature"))
@@ -149,7 +153,7 @@ def _pending(items: DataFrame, done: DataFrame | None, model: str) -> DataFrame:
     if done is None:
         return items
     finished = done.filter(F.col("model") == model).select("dataset")
-    return items.join(finished, "dataset", "left_anti")
+    return items.join(checked_broadcast(finished), "dataset", "left_anti")
 
 
 def evaluate(
@@ -164,17 +168,27 @@ def evaluate(
     `scorers` maps a model id to items -> scored items (scores, probabilities,
     predicted_index, latency_ms, score_metadata). `done` resumes a run: the
     metrics of finished (model, dataset) pairs are kept and not scored again.
+    Items are converted once and every item is scored once: both tables are
+    written to the shared folder. The board lists all enabled models.
     """
     datasets, skipped = plan_datasets(spark, config, phase)
     chosen = config["runtime"].get("selected_model_ids")
+    enabled = [m["id"] for m in _selected(config["models"], None, "models")]
     models = [m["id"] for m in _selected(config["models"], chosen, "models")]
-    items = load_items(spark, datasets, int(config["runtime"].get("seed", 42)))
-    parts = [scorers[m](_pending(items, done, m)).withColumn("model", F.lit(m)) for m in models]
-    predictions = reduce(DataFrame.unionByName, parts)
+    items = materialize(load_items(spark, datasets, int(config["runtime"].get("seed", 42))), "items")
+    for dataset in datasets:
+        require_rows(items.filter(F.col("dataset") == dataset["id"]), dataset["id"])
+
+    def scored(model: str) -> DataFrame:
+        meant = [t for t in TASKS if model in task_models(config, t, models)]
+        pending = _pending(items.filter(F.col("task").isin(meant)), done, model)
+        return validate_predictions(scorers[model](pending)).withColumn("model", F.lit(model))
+
+    predictions = materialize(reduce(DataFrame.unionByName, map(scored, models)), "predictions")
     metrics = summarize(predictions)
     if done is not None:
         metrics = done.select(metrics.columns).unionByName(metrics)
-    scores = dataset_scores(configured_scores(spark, config, models), metrics)
+    scores = dataset_scores(configured_scores(spark, config, enabled), metrics)
     tasks = task_scores(scores)
     weights = config.get("tasks", {}).get("summary", {}).get("weights", {})
     return Evaluation(

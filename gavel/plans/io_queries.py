@@ -36,7 +36,7 @@ def source_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         "csv": lambda df, path: df.write.csv(path, header=True, escape='"', quoteAll=True),
         "tsv": lambda df, path: df.write.csv(path, header=True, escape='"', quoteAll=True, sep="\t"),
         "jsonl": lambda df, path: df.write.json(path),
-        "parquet": lambda df, path: df.coalesce(1).write.parquet(path),
+        "parquet": lambda df, path: df.repartition(7, "doc_id").write.parquet(path),
     }
     parts = []
     for name, write in writers.items():

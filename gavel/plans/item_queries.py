@@ -23,7 +23,7 @@ from gavel.operators import ranking as R
 from gavel.plans import views as V
 from gavel.plans.registry import query
 from gavel.plans.sql_views import NL, byte, sql, strip
-from gavel.schemas import validate_items, validate_predictions
+from gavel.schemas import MAX_OPTIONS, validate_items, validate_predictions
 
 IDEOGRAPHIC_SPACE = "　"
 
@@ -446,7 +446,7 @@ def item_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         options.alias("options"),
         F.when(kind == 2, -1).otherwise(0).alias("gold_index"),
     )
-    checked = validate_items(rows, "quarantine")
+    checked = validate_items(rows, "quarantine", MAX_OPTIONS)
     return checked.groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key")
     )

@@ -11,7 +11,6 @@ from gavel.operators.items import score_items, yes_no_items
 from gavel.operators.metrics import summarize
 from gavel.operators.scoring import mock_scores
 from gavel.schemas import ITEM_COLUMNS, validate_items
-from gavel.session import spread
 
 MODELS = tuple(f"m{i}" for i in range(6))
 YES_NO_TEMPLATES = {
@@ -29,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Selected columns of a table, spread over the cores for heavy per-row work."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    """Selected columns of a table."""
+    return table(spark, sf_dir, name).select(*columns)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

@@ -69,7 +69,7 @@ def require(df: DataFrame, condition: Column, message: str | Column) -> DataFram
 Check = tuple[str, Column, str]  # guarded column, condition, message
 
 
-def item_checks(max_options: int | None = MAX_OPTIONS, max_chars: int | None = None) -> list[Check]:
+def item_checks(max_options: int | None = None, max_chars: int | None = None) -> list[Check]:
     from gavel.functions.text import strip
 
     gold_ok = (F.col("gold_index") >= 0) & (F.col("gold_index") < F.size("options"))
@@ -121,10 +121,13 @@ def _checked(df: DataFrame, checks: list[Check], mode: str) -> DataFrame:
 def validate_items(
     df: DataFrame,
     mode: str = "fail",
-    max_options: int | None = MAX_OPTIONS,
+    max_options: int | None = None,
     max_chars: int | None = None,
 ) -> DataFrame:
-    """Item constraints: fail the job, or keep every row with a `problem` column."""
+    """Item constraints: fail the job, or keep every row with a `problem` column.
+
+    Only scorers that name options by letters bound their number (MAX_OPTIONS).
+    """
     return _checked(df, item_checks(max_options, max_chars), mode)
 
 

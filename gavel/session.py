@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # AQE re-plans joins from measured sizes, splits skewed join partitions and
 # merges small shuffle partitions; partition counts stay the cluster's choice.
@@ -30,19 +31,16 @@ def build_session(app: str = "gavel", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+def checked_broadcast(small: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`small` to be broadcast if it has at most so many rows; else as it is, for a shuffle join.
 
-    For small or unsplittable files in front of heavy per-row work. A scan that
-    already has enough splits stays as it is, without a shuffle. Only for plain
-    scans: counting their splits runs no job.
+    Counts up to the bound while the plan is built.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's `spark.checkpoint.dir`.
+    """A fresh folder under the cluster's `spark.checkpoint.dir`, removed when the application ends.
 
     Only a local session without that setting (tests, a laptop) falls back to a
     temporary folder, which is then remembered as the session's setting.
@@ -54,7 +52,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="gavel-scratch-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    # Kept as long as the session may read it, gone with the application.
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

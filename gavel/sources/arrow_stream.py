@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 
 def _open(path: str):
@@ -19,8 +19,8 @@ def _open(path: str):
 
 
 class FilePartition(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, number: int, path: str) -> None:
+        self.number, self.path = number, path
 
 
 class ArrowStreamReader(DataSourceReader):
@@ -28,7 +28,7 @@ class ArrowStreamReader(DataSourceReader):
         self.paths, self.names = paths, schema.names
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in self.paths]
+        return [FilePartition(i, p) for i, p in enumerate(self.paths)]
 
     def read(self, partition: FilePartition) -> Iterator:
         """One file, one record batch at a time."""
@@ -40,6 +40,9 @@ class ArrowStreamReader(DataSourceReader):
                 if "row_index" in self.names and "row_index" not in batch.schema.names:
                     index = pa.array(range(at, at + batch.num_rows), pa.int64())
                     batch = batch.append_column("row_index", index)
+                if "__file" in self.names:
+                    number = pa.array([partition.number] * batch.num_rows, pa.int32())
+                    batch = batch.append_column("__file", number)
                 at += batch.num_rows
                 yield batch.select(self.names)
 
@@ -56,7 +59,7 @@ class ArrowStreamSource(DataSource):
 
     def schema(self) -> StructType:
         with _open(self._paths()[0]) as stream:
-            return from_arrow_schema(stream.schema).add("row_index", LongType())
+            return from_arrow_schema(stream.schema).add("row_index", LongType()).add("__file", IntegerType())
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return ArrowStreamReader(self._paths(), schema)

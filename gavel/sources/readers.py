@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gavel.operators.items import ROW_INDEX
 from gavel.schemas import MANIFEST, PREDICTION_LINE, RUBRIC_ROW, RUN_METADATA, SCHEMA_VERSION, require
+from gavel.session import checked_broadcast
 from gavel.sources import arrow_stream
 
 LEGACY_ENCODING = "cp932"
@@ -91,19 +92,39 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | None =
     return reader.json(path)
 
 
+def _numbered(rows: DataFrame, file: str, counts: DataFrame) -> DataFrame:
+    """Turns row numbers inside files into numbers over all files, in the order of column `file`.
+
+    `counts` has one row a file (file, __rows), so its window and its checked
+    broadcast grow with the files, not with their rows.
+    """
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(file, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    joined = rows.join(checked_broadcast(offsets), file)
+    return joined.withColumn(ROW_INDEX, F.col(ROW_INDEX) + F.col("__offset")).drop(file, "__offset")
+
+
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Parquet with the row number inside its file as `row_index`."""
+    """Parquet with the row number over all files, in path order, as `row_index`."""
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.parquet(*paths).select("*", F.col("_metadata.row_index").alias(ROW_INDEX))
+    df = spark.read.parquet(*paths)
+    file = F.col("_metadata.file_path").alias("__file")
+    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = df.select("*", F.col("_metadata.row_index").alias(ROW_INDEX), file)
+    return _numbered(rows, "__file", counts)
 
 
 def read_arrow(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Arrow streams with the row number over all files, in the given (sorted) order."""
     arrow_stream.register(spark)
-    paths = [path] if isinstance(path, str) else list(path)
+    found = [p for one in ([path] if isinstance(path, str) else path) for p in (glob(spark, f"{one}/*.arrow") or [one])]
     # Local paths and Hadoop's `file:/x` become `file:///x`; other schemes stay.
-    local = [p.removeprefix("file://").removeprefix("file:") for p in paths]
+    local = [p.removeprefix("file://").removeprefix("file:") for p in found]
     uris = [p if "://" in p else f"file://{p}" for p in local]
-    return spark.read.format("arrow_stream").option("paths", "\n".join(uris)).load()
+    df = spark.read.format("arrow_stream").option("paths", "\n".join(uris)).load()
+    if len(uris) == 1:
+        return df.drop("__file")
+    return _numbered(df, "__file", df.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows")))
 
 
 def _decode(raw: bytes, name: str) -> str:
@@ -112,7 +133,7 @@ def _decode(raw: bytes, name: str) -> str:
             return raw.decode(encoding)
         except UnicodeDecodeError:
             continue
-    raise SourceError(f"cannot decode archive member: {name}")
+    raise SourceError(f"cannot decode: {name}")
 
 
 def read_subject_zip(
@@ -121,13 +142,14 @@ def read_subject_zip(
     """Zip of per-subject CSV files; `schema` lists the CSV columns (strings).
 
     Only `<folder>/*.csv` members count, in name order; `subject` is the file
-    stem. Archives are read in parallel, one per task.
+    stem. Archives are read in parallel, one per task; `row_index` counts through
+    all of them in path order.
     """
     names = [part.split()[0] for part in schema.split(",")]
 
     def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
+            for path_, content in zip(frame["path"], frame["content"]):
                 at = 0
                 with zipfile.ZipFile(io.BytesIO(content)) as bundle:
                     members = sorted(
@@ -143,11 +165,13 @@ def read_subject_zip(
                         rows = rows.reindex(columns=names)
                         rows["subject"] = member.rsplit("/", 1)[-1].removesuffix(".csv")
                         rows[ROW_INDEX] = range(at, at + len(rows))
+                        rows["__file"] = path_
                         at += len(rows)
                         yield rows
 
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    return raw.mapInPandas(unzip, f"{schema}, subject STRING, {ROW_INDEX} BIGINT")
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = raw.mapInPandas(unzip, f"{schema}, subject STRING, {ROW_INDEX} BIGINT, __file STRING")
+    return _numbered(rows, "__file", rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows")))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -193,7 +217,8 @@ def _run_dir(path: Column) -> Column:
 def records(predictions: DataFrame, runs: DataFrame) -> DataFrame:
     """Predictions joined with their run's metadata, in the record shape.
 
-    Runs are one row per directory; AQE broadcasts them while they are small.
+    Runs are one row per directory, broadcast up to a checked number of rows. A
+    prediction whose directory has no metadata is an error.
     """
     stem = F.regexp_extract("run_dir", r"([^/]*)$", 1)
     method = F.coalesce("scorer.scorer", F.lit("unknown"))
@@ -209,7 +234,10 @@ def records(predictions: DataFrame, runs: DataFrame) -> DataFrame:
         "dataset_revision",
         F.coalesce("task_type", F.lit("choice")).alias("primitive"),
     )
-    return predictions.join(meta, "run_dir").select(
+    known = checked_broadcast(meta.withColumn("__known", F.lit(True)))
+    joined = predictions.join(known, "run_dir", "left")
+    message = F.concat(F.lit("run without metadata: "), F.col("run_dir"))
+    return require(joined, F.col("__known"), message).select(
         "schema_version", "run_id", "method_id", "system_id", "model_id", "dataset_id",
         "dataset_revision", F.col("id").alias("sample_id"), "primitive", "gold_index",
         "predicted_index", "scores", "probabilities", "latency_ms", "item_metadata",
@@ -251,10 +279,10 @@ def subset_members(manifest: DataFrame) -> DataFrame:
 
 
 def read_rubric_corpus(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Rubric JSON lines of several files; a bad line fails with its file and line start.
+    """Rubric JSON lines of several files; a bad line fails with its file, record number and start.
 
-    `file_order` keeps the given order of the files and `row_index` counts
-    through them.
+    `file_order` is the place of a file in the given order, `row_index` the
+    0-based number of the record inside it; source order is by both.
     """
     corrupt = "_corrupt"
     parts = []
@@ -272,7 +300,8 @@ def read_rubric_corpus(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    message = F.concat(F.col("file"), F.lit(": invalid JSON: "), F.substring(corrupt, 1, 80))
+    number = (F.col(ROW_INDEX) + 1).cast("string")
+    message = F.concat(F.col("file"), F.lit(":"), number, F.lit(": invalid JSON: "), F.substring(corrupt, 1, 80))
     return require(rows, F.col(corrupt).isNull(), message).drop(corrupt, "file")
 
 
@@ -286,20 +315,23 @@ def merge_parts(spark: SparkSession, parts: Sequence[str], target: str) -> int:
     return int(seen.get["rows"])
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Summary JSON in UTF-8, or in the legacy encoding when UTF-8 does not parse."""
-    text = spark.read.text(path, wholetext=True)
-    if text.filter(~F.is_valid_utf8("value")).isEmpty():
-        return spark.read.json(path, multiLine=True, mode="FAILFAST")
+def read_summary(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Summary JSON documents, each in UTF-8 or else in the legacy encoding, file by file.
+
+    Without a schema it is the one that all documents share.
+    """
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"value": [raw.decode(LEGACY_ENCODING) for raw in frame["content"]]})
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    document = raw.mapInPandas(decode, "value STRING")
-    schema = document.select(F.schema_of_json(F.lit(document.first()["value"]))).first()[0]
-    return document.select(F.from_json("value", schema).alias("d")).select("d.*")
+            texts = [_decode(raw, name) for raw, name in zip(frame["content"], frame["path"])]
+            yield pd.DataFrame({"value": texts})
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    documents = raw.mapInPandas(decode, "value STRING")
+    if schema is None:
+        return spark.read.json(documents.rdd.map(lambda row: row.value), multiLine=True, mode="FAILFAST")
+    parsed = documents.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d"))
+    return parsed.select("d.*")
 
 
 # The synthetic ordinal dataset.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from gavel.operators.metrics import (
     throughput,
 )
 from gavel.operators.percentiles import merge_value_cells, percentiles, value_cells
-from gavel.schemas import PREDICTION
+from gavel.schemas import PREDICTION, validate_predictions
 
 
 def _paths(state: str) -> tuple[str, str]:
@@ -43,11 +44,15 @@ def ingest(
     metric_path, latency_path = _paths(state)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        for cells, path in (
-            (metric_cells(batch, keys), metric_path),
-            (value_cells(batch, keys), latency_path),
-        ):
-            cells.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = validate_predictions(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:  # both kinds of cells from one read
+            for cells, path in (
+                (metric_cells(rows, keys), metric_path),
+                (value_cells(rows, keys), latency_path),
+            ):
+                cells.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
 
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files is not None:

@@ -51,19 +51,7 @@ def test_retry_rules():
     assert waits == []
 
 
-def test_lookup_join_with_hot_keys(spark):
-    """A key that holds most uses, a NULL key and a key without a match all survive."""
-    key = F.when(F.col("id") < 80, "hot").when(F.col("id") < 90, F.concat(F.lit("k"), "id")).when(F.col("id") < 95, "warm")
-    uses = spark.range(100).select("id", key.alias("text"))
-    table = uses.select("text").filter("text IS NOT NULL AND text <> 'k81'").distinct().withColumn("v", F.length("text"))
-    plain = sorted(map(tuple, uses.join(table, "text", "left").select("id", "text", "v").collect()))
-    for hot_rows, max_hot in ((3, 10), (3, 1), (1000, 10)):
-        got = S.lookup_join(uses, table, "text", hot_rows, max_hot).select("id", "text", "v").collect()
-        assert sorted(map(tuple, got)) == plain
-
-
-@pytest.mark.parametrize("hot_rows", [1, 100_000])
-def test_encode_once(spark, hot_rows):
+def test_encode_once(spark):
     df = items(spark)
     distinct = []
 
@@ -71,7 +59,7 @@ def test_encode_once(spark, hot_rows):
         distinct.append(table)
         return hash_encoder(table)
 
-    got = {r["id"]: r for r in S.encode_once(df, encode, hot_rows).collect()}
+    got = {r["id"]: r for r in S.encode_once(df, encode).collect()}
     assert distinct[0].count() == 4 + 5  # every question, every distinct option
     assert len(got["i3"]["candidate_vectors"]) == 5
     digest = hashlib.sha256(b"o1").digest()
@@ -79,8 +67,8 @@ def test_encode_once(spark, hot_rows):
     norm = sum(v * v for v in raw) ** 0.5
     assert got["i0"]["candidate_vectors"][1] == pytest.approx([v / norm for v in raw])
     copies = df.union(df.withColumn("id", F.concat("id", F.lit("x")))).union(df)
-    assert S.encode_once(copies, hash_encoder, hot_rows).count() == 12
-    scored = S.contrastive(S.encode_once(df, hash_encoder, hot_rows), 500.0).collect()
+    assert S.encode_once(copies, hash_encoder).count() == 12
+    scored = S.contrastive(S.encode_once(df, hash_encoder), 500.0).collect()
     assert all(sum(r["probabilities"]) == pytest.approx(1) for r in scored)
 
 

@@ -1,11 +1,13 @@
 import json
 import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
 import pytest
 from pyspark.sql import functions as F
 
+from gavel.schemas import PREDICTION_LINE, RUN_METADATA
 from gavel.sources import readers as R
 
 CSV = '﻿id,text,n\n1,"two\nlines, ""quoted""",007\n2,日本,\n3,plain,x\n'
@@ -205,7 +207,7 @@ def test_rubric_corpus(spark, tmp_path):
     with pytest.raises(Exception, match="expected label"):
         load_corpus(R.read_rubric_corpus(spark, [broken]), "noul", "corp").collect()
     bad = write(tmp_path / "4.jsonl", json.dumps(row(6)) + "\n{bad\n")
-    with pytest.raises(Exception, match="4.jsonl: invalid JSON"):
+    with pytest.raises(Exception, match="4.jsonl:2: invalid JSON"):
         R.read_rubric_corpus(spark, [bad]).collect()
     with pytest.raises(FileNotFoundError):
         R.read_rubric_corpus(spark, [f"{tmp_path}/none.jsonl"])
@@ -232,3 +234,57 @@ def test_synthetic(spark):
     assert by_id["risk-2-07"]["state"] == "事例8: 無視できない危険がある。" and by_id["risk-2-07"]["gold_score"] == 2
 
 
+
+
+def test_row_numbers_run_through_all_files(spark, tmp_path):
+    rows = spark.range(40).select("id", F.concat(F.lit("q"), "id").alias("question"))
+    rows.repartition(4).write.parquet(str(tmp_path / "p"))
+    (tmp_path / "a").mkdir()
+    for i in range(4):
+        batch = pa.record_batch({"id": pa.array(range(10 * i, 10 * i + 10)), "question": pa.array(["q"] * 10)})
+        with pa.ipc.new_stream(str(tmp_path / "a" / f"{i}.arrow"), batch.schema) as out:
+            out.write(batch)
+    arrow = R.read_arrow(spark, str(tmp_path / "a"))
+    assert sorted((r.row_index, r.id) for r in arrow.collect()) == [(i, i) for i in range(40)]
+    parquet = R.read_parquet(spark, str(tmp_path / "p"))
+    assert parquet.columns == ["id", "question", "row_index"]
+    assert sorted(r.row_index for r in parquet.collect()) == list(range(40))
+
+
+def test_zip_row_numbers_run_through_all_archives(spark, tmp_path):
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as bundle:
+            bundle.writestr("x/test/law.csv", "question,answer\n1,A\n2,B\n")
+    got = R.read_subject_zip(spark, str(tmp_path / "*.zip"), "question STRING, answer STRING")
+    assert sorted(r.row_index for r in got.collect()) == [0, 1, 2, 3] and "__file" not in got.columns
+
+
+def test_corpus_limit_follows_the_files(spark, tmp_path):
+    from gavel.operators.corpus import load_corpus
+
+    row = (
+        '{"id": "f%d-%d", "lang": "Japanese", "question_type": "noul", "state": "s", "instructions": "i", '
+        '"options": [{"label": "yes"}, {"label": "no"}], "expected": "yes"}\n'
+    )
+    paths = []
+    for f in range(2):
+        paths.append(str(tmp_path / f"{f}.jsonl"))
+        Path(paths[-1]).write_text("".join(row % (f, i) for i in range(4)))
+    kept = load_corpus(R.read_rubric_corpus(spark, paths), "noul", "c", limit=5)
+    assert sorted(r.id for r in kept.collect()) == ["f0-0", "f0-1", "f0-2", "f0-3", "f1-0"]
+
+
+def test_summaries_decode_file_by_file(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes('{"label": "日本", "x": 1}'.encode())
+    (tmp_path / "b.json").write_bytes('{"label": "東京", "y": 2}'.encode("cp932"))
+    for schema in (None, "label STRING, x BIGINT, y BIGINT"):
+        got = R.read_summary(spark, str(tmp_path), schema)
+        assert {(r.label, r.x, r.y) for r in got.collect()} == {("日本", 1, None), ("東京", None, 2)}
+
+
+def test_runs_without_metadata_and_unknown_members_fail(spark, tmp_path):
+    runs = spark.createDataFrame([], "run_dir STRING, " + RUN_METADATA)
+    line = spark.createDataFrame([], PREDICTION_LINE).select("*", F.lit("d/run").alias("run_dir"))
+    one = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in line.schema[:-1]], F.lit("d/run").alias("run_dir"))
+    with pytest.raises(Exception, match="run without metadata: d/run"):
+        R.records(one, runs).collect()
