@@ -79,9 +79,13 @@ def _ngrams(rows: DataFrame) -> DataFrame:
     """`rows` with `grams`: the n-grams of host and path, each told apart."""
 
     def grams(text: Column, mark: str, n: int) -> Column:
+        # Of an array of characters, as a place in a string is found by walking there.
+        def of(chars: Column) -> Column:
+            places = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+            return F.transform(places, lambda i: F.concat_ws("", F.lit(mark), *[F.get(chars, i + k) for k in range(n)]))
+
         marked = F.concat(F.lit("^"), text, F.lit("$"))
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) + 3 - n, F.lit(1)))
-        return F.transform(places, lambda i: F.concat(F.lit(mark), F.substring(marked, i, F.lit(n))))
+        return F.get(F.transform(F.array(F.split(marked, "")), of), F.lit(0))
 
     every = [grams(F.col(part), part[0], n) for part in ("host", "path") for n in NGRAMS]
     return rows.withColumn("grams", F.concat(*every))
