@@ -14,7 +14,8 @@ from gavel.plans.registry import query
 from gavel.plans.sql_views import r9, sql
 from gavel.session import scratch_dir
 from gavel.sources import sinks as K
-from gavel.sources.readers import read_source
+from gavel.operators.corpus import load_corpus
+from gavel.sources.readers import read_rubric_corpus, read_source
 
 _FORMATS = ("csv", "tsv", "jsonl", "parquet")
 _PRINT = "CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)"
@@ -133,3 +134,49 @@ def leaderboard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = out.withColumn("choice_datasets", F.greatest("choice_datasets", F.lit(0)))
     return V.rounded(out, "overall", "choice_score")
+
+
+@query(
+    "SELECT count(*) AS n, count(*) AS numbers, count(*) - 1 AS last, least(100, count(*)) AS first_rows FROM documents"
+)
+def multi_file_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in many Parquet files: every row has a number of its own, and a limit takes the first."""
+    root = scratch_dir(spark, "files")
+    V.table(spark, sf_dir, "documents").repartition(9, "doc_id").write.parquet(root)
+    rows = read_source(spark, "parquet", root)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("row_index").alias("numbers"),
+        F.max("row_index").alias("last"),
+        F.count_if(F.col("row_index") < 100).alias("first_rows"),
+    )
+
+
+_CORPUS = "SELECT conv_id, turn, text, turn % 2 AS part FROM conversations"
+
+
+@query(
+    f"""
+WITH c AS ({_CORPUS}),
+o AS (SELECT *, row_number() OVER (ORDER BY part, conv_id, turn) AS place, count(*) FILTER (part = 0) OVER () AS first FROM c)
+SELECT conv_id || '-' || turn AS id FROM o WHERE place <= first + 5"""
+)
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus in two sources: a limit takes all rows of the first and five of the second, in their order."""
+    turns = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 2).alias("part"))
+    option = lambda label: F.struct(F.lit(label).alias("label"), F.lit("").alias("description"))
+    root, paths = scratch_dir(spark, "corpus"), []
+    for part in (0, 1):
+        paths.append(f"{root}/{part}")
+        turns.filter(F.col("part") == part).orderBy("conv_id", "turn").select(
+            F.concat_ws("-", "conv_id", "turn").alias("id"),
+            F.lit("Japanese").alias("lang"),
+            F.lit("noul").alias("question_type"),
+            F.lit("state").alias("state"),
+            F.lit("instructions").alias("instructions"),
+            F.array(option("yes"), option("no")).alias("options"),
+            F.lit("yes").alias("expected"),
+        ).write.json(paths[-1])
+    first = turns.filter("part = 0").count()
+    items = load_corpus(read_rubric_corpus(spark, paths), "noul", "corpus", limit=first + 5)
+    return items.select(F.regexp_replace("id", "^corpus:", "").alias("id"))

@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 # These run Spark jobs while they are built.
 EAGER = {
     "head_training", "candidate_head", "cross_validation", "incremental_eval", "source_round_trips",
-    "mirror_round_trip", "stored_predictions", "leaderboard_documents", "contrastive_scores",
+    "mirror_round_trip", "multi_file_row_numbers", "corpus_files", "stored_predictions", "leaderboard_documents", "contrastive_scores",
 }
 
 
