@@ -24,6 +24,10 @@ SELECT model, gold_index AS g, s.predicted AS p, s.pg AS pg, s.other AS other FR
 )
 
 
+# Metric queries cover every result; only coverage and leaderboard queries leave some out.
+EVERY = {"present": "SELECT * FROM preds"}
+
+
 @query(
     sql(
         f"""
@@ -44,10 +48,10 @@ def noul_toxic_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rounded(out.select("model", "total", "correct", *columns), *columns)
 
 
-@query(sql(f"SELECT model, dataset, task, {r9('ece')}, {r9('nll')} FROM dm"))
+@query(sql(f"SELECT model, dataset, task, {r9('ece')}, {r9('nll')} FROM dm", **EVERY))
 def noul_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibration of every model and dataset."""
-    out = V.quick_metrics(spark, sf_dir).select("model", "dataset", "task", "ece", "nll")
+    out = V.every_quick_metric(spark, sf_dir).select("model", "dataset", "task", "ece", "nll")
     return V.rounded(out, "ece", "nll")
 
 
@@ -55,14 +59,15 @@ _ORDINAL = ("mae", "rmse", "quadratic_weighted_kappa", "normalized_quadratic_wei
 
 
 def _ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictions = V.keep_present(V.predict(V.items_score(spark, sf_dir)))
+    predictions = V.predict(V.items_score(spark, sf_dir))
     return M.finalize(M.metric_cells(predictions))
 
 
 @query(
     sql(
         f"SELECT model, dataset, total, {', '.join(r9(c) for c in _ORDINAL)} "
-        "FROM dm WHERE task = 'score'"
+        "FROM dm WHERE task = 'score'",
+        **EVERY,
     )
 )
 def score_ordinal_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def score_ordinal_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rounded(out, *_ORDINAL)
 
 
-@query(sql(f"SELECT model, dataset, {r9('spearman')} FROM dm WHERE task = 'score'"))
+@query(sql(f"SELECT model, dataset, {r9('spearman')} FROM dm WHERE task = 'score'", **EVERY))
 def score_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation with tie-averaged ranks, from the joint histogram."""
     out = _ordinal(spark, sf_dir).select("model", "dataset", "spearman")
@@ -84,12 +89,13 @@ def score_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.model, c.dataset, c.g AS gold_index, c.p AS predicted_index, c.n::BIGINT AS n,
        a.n::BIGINT AS gold_total, b.n::BIGINT AS predicted_total
 FROM cells c JOIN golds a USING (model, dataset, task, g)
-JOIN guesses b USING (model, dataset, task, p) WHERE c.task = 'score'"""
+JOIN guesses b USING (model, dataset, task, p) WHERE c.task = 'score'""",
+        **EVERY,
     )
 )
 def score_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion matrix with marginals."""
-    predictions = V.keep_present(V.predict(V.items_score(spark, sf_dir)))
+    predictions = V.predict(V.items_score(spark, sf_dir))
     return M.confusion(predictions).drop("task")
 
 
@@ -97,19 +103,20 @@ def score_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         "SELECT model, dataset, gold_index, "
         + ", ".join(f"count(*) FILTER (WHERE predicted_index = {i}) AS p{i}" for i in range(5))
-        + " FROM present WHERE task = 'score' GROUP BY ALL"
+        + " FROM present WHERE task = 'score' GROUP BY ALL",
+        **EVERY,
     )
 )
 def score_confusion_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion matrix with one column per predicted level."""
-    predictions = V.keep_present(V.predict(V.items_score(spark, sf_dir)))
+    predictions = V.predict(V.items_score(spark, sf_dir))
     return M.confusion_wide(predictions, 5).drop("task")
 
 
-@query(sql(f"SELECT model, dataset, correct, total, {r9('accuracy')} FROM dm WHERE task = 'choice'"))
+@query(sql(f"SELECT model, dataset, correct, total, {r9('accuracy')} FROM dm WHERE task = 'choice'", **EVERY))
 def choice_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-1 accuracy of five-option items."""
-    predictions = V.keep_present(V.predict(V.items_choice(spark, sf_dir)))
+    predictions = V.predict(V.items_choice(spark, sf_dir))
     out = M.finalize(M.metric_cells(predictions))
     return V.rounded(out.select("model", "dataset", "correct", "total", "accuracy"), "accuracy")
 
@@ -119,10 +126,10 @@ _LATENCY = (
 )
 
 
-@query(sql(f"SELECT model, dataset, {', '.join(r9(c) for c in _LATENCY)} FROM dm"))
+@query(sql(f"SELECT model, dataset, {', '.join(r9(c) for c in _LATENCY)} FROM dm", **EVERY))
 def latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, exact p50 / p95 and throughput."""
-    out = V.dataset_metrics(spark, sf_dir).select("model", "dataset", *_LATENCY)
+    out = V.every_metric(spark, sf_dir).select("model", "dataset", *_LATENCY)
     return V.rounded(out, *_LATENCY)
 
 
@@ -155,12 +162,13 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""
 SELECT model, dataset, input_tokens::BIGINT AS input_tokens, output_tokens::BIGINT AS output_tokens,
        total_tokens::BIGINT AS total_tokens, {r9("mean_tokens_per_item")},
-       {r9("estimated_cost", "input_tokens / 1000000 * 0.042")} FROM dm"""
+       {r9("estimated_cost", "input_tokens / 1000000 * 0.042")} FROM dm""",
+        **EVERY,
     )
 )
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sums, mean per item and the cost estimate."""
-    out = M.api_cost(V.quick_metrics(spark, sf_dir), 0.042)
+    out = M.api_cost(V.every_quick_metric(spark, sf_dir), 0.042)
     return V.rounded(
         out.select(
             "model", "dataset", "input_tokens", "output_tokens", "total_tokens",
@@ -178,11 +186,11 @@ _ALL = (
 
 
 @query(
-    sql(f"SELECT model, dataset, task, correct, total, {', '.join(r9(c) for c in _ALL)} FROM dm")
+    sql(f"SELECT model, dataset, task, correct, total, {', '.join(r9(c) for c in _ALL)} FROM dm", **EVERY)
 )
 def task_dispatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole summary: each task gets its own metric set, the rest stays NULL."""
-    out = V.dataset_metrics(spark, sf_dir)
+    out = V.every_metric(spark, sf_dir)
     return V.rounded(out.select("model", "dataset", "task", "correct", "total", *_ALL), *_ALL)
 
 

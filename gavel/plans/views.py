@@ -158,6 +158,18 @@ def dataset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize(keep_present(preds(spark, sf_dir)))
 
 
+def every_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric roll-up of all predictions."""
+    return summarize(preds(spark, sf_dir))
+
+
+def every_quick_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric roll-up of all predictions without latency percentiles."""
+    from gavel.operators.metrics import finalize, metric_cells
+
+    return finalize(metric_cells(preds(spark, sf_dir)))
+
+
 def quick_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric roll-up without latency percentiles, for leaderboard queries."""
     from gavel.operators.metrics import finalize, metric_cells
