@@ -718,3 +718,43 @@ def evaluation_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rounded(out, "noul", "choice", "score", "overall")
 
 
+
+
+@query(
+    "SELECT count(*) AS n, count(*) FILTER (WHERE label >= 5) AS positives, true AS falling, true AS stationary FROM embeddings"
+)
+def head_fit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yes/no head's loss never rises, and its gradient is near zero where it stopped."""
+    reg = 0.01
+    rows = V.table(spark, sf_dir, "embeddings").select("embedding", (F.col("label") >= 5).cast("int").alias("gold_index"))
+    model = T.get_trainer("yes_no_head", epochs=100, reg=reg).fit(rows)
+    losses = [h["mean_loss"] for h in model.history]
+    falling = all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
+    wrong = F.get("probabilities", F.lit(1)) - F.col("gold_index")
+    slopes = model.transform(rows).select(
+        "gold_index", F.posexplode(F.transform("embedding", lambda x: x.cast("double") * wrong)).alias("pos", "slope")
+    )
+    weight = F.element_at(F.array(*map(F.lit, model.weights)), F.col("pos") + 1)
+    sums = slopes.groupBy("pos").agg(
+        F.avg("slope").alias("slope"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold_index") == 1).alias("positives")
+    )
+    return sums.agg(
+        F.max("n").alias("n"), F.max("positives").alias("positives"), F.lit(falling).alias("falling"),
+        (F.max(F.abs(F.col("slope") + reg * weight)) < 1e-3).alias("stationary"),
+    )
+
+
+@query(
+    f"""
+WITH r AS (SELECT label % 4 AS g, list_transform(range(4), lambda i: embedding[16 * i + 1:16 * i + 16]::DOUBLE[]) AS c FROM embeddings),
+s AS (SELECT j, avg(list_sum(list_transform(c, lambda v, k: (0.25 - (k = g + 1)::INT) * v[j]))) AS slope
+  FROM r, (SELECT unnest(range(1, 17)) AS j) GROUP BY j),
+w AS (SELECT list(-0.05 * slope / (abs(slope) + 1e-8) ORDER BY j) AS w FROM s),
+z AS (SELECT g, list_transform(c, lambda v: list_dot_product(v, w)) AS z FROM r, w)
+SELECT 1 AS epoch, {r9("mean_loss", "ln(4)")}
+UNION ALL SELECT 2, {r9("mean_loss", "avg(ln(list_sum(list_transform(z, lambda x: exp(x)))) - z[g + 1])")} FROM z"""
+)
+def candidate_fit_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of the candidate head's first two epochs: equal candidates, then one step against the gradient."""
+    model = T.CandidateHead(epochs=2, lr=0.05, track=False).fit(_candidates(spark, sf_dir))
+    return V.rounded(T.history_frame(spark, model).select("epoch", "mean_loss"), "mean_loss")
