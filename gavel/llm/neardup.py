@@ -9,8 +9,9 @@ candidate is then held against the shingles themselves.
 
 Equal texts are one from the start. A key's members are shuffled to one bucket,
 large keys in blocks of bounded size; a bucket proposes, for every member, the
-member nearest to it and the centre of its cluster, never all pairs. Links make
-components, and of each component the row with the smallest id stays (a null id
+centre of its cluster and a member that is nearer than that, never all pairs.
+Each text's most promising pairs are verified first, then every other pair that
+could still join two components. Links make components, and of each component the row with the smallest id stays (a null id
 counts as the largest).
 
 Defined cases: null texts are equal to each other and to no other text; texts of
@@ -97,16 +98,14 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def propose(rids: np.ndarray, fps: np.ndarray, near: int = NEAR_BITS) -> list[tuple[int, int]]:
-    """Pairs of one bucket to be held against each other: fewer than three for each member."""
-    pairs, left = set(), np.arange(len(fps))
-    for at in range(0, len(fps), 256):
-        apart = np.bitwise_count(fps[at : at + 256, None] ^ fps)
-        own = np.arange(len(apart))
-        apart[own, at + own] = 65
-        best = apart.argmin(axis=1)
-        close = apart[own, best] <= near
-        pairs.update(zip((at + own[close]).tolist(), best[close].tolist()))
+def propose(rids: np.ndarray, fps: np.ndarray, near: int = NEAR_BITS) -> list[tuple[int, int, int, int]]:
+    """(a, b, bits apart, size of the cluster around its centre or 0) of one bucket: fewer than three for each member."""
+    pairs, left, reach = {}, np.arange(len(fps)), np.full(len(fps), 65)
+
+    def add(one: int, other: int, bits: int, size: int) -> None:
+        key = (min(rids[one], rids[other]), max(rids[one], rids[other]))
+        pairs[key] = (bits, max(size, pairs.get(key, (0, 0))[1]))
+
     while len(left) > 1:
         bits = np.unpackbits(fps[left].view(np.uint8).reshape(-1, 8), axis=1)
         centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left)).view(np.uint64)[0]
@@ -114,15 +113,26 @@ def propose(rids: np.ndarray, fps: np.ndarray, near: int = NEAR_BITS) -> list[tu
         todo, left = [start], left[left != start]
         while todo and len(left):
             at = todo.pop()
-            close = np.bitwise_count(fps[left] ^ fps[at]) <= near
-            found, left = left[close], left[~close]
-            pairs.update((int(at), int(x)) for x in found)
+            apart = np.bitwise_count(fps[left] ^ fps[at])
+            close = apart <= near
+            found, bits, left = left[close], apart[close], left[~close]
+            reach[found] = bits
+            for x, n in zip(found.tolist(), bits.tolist()):
+                add(int(at), x, n, len(found))
             todo += found.tolist()
-    return list({(min(rids[a], rids[b]), max(rids[a], rids[b])) for a, b in pairs})
+    for at in range(0, len(fps), 256):
+        apart = np.bitwise_count(fps[at : at + 256, None] ^ fps).astype(np.int64)
+        own = np.arange(len(apart))
+        apart[own, at + own] = 65
+        best = apart.argmin(axis=1)
+        bits = apart[own, best]
+        for x in np.flatnonzero((bits <= near) & (bits < reach[at + own])).tolist():
+            add(at + x, int(best[x]), int(bits[x]), 0)
+    return [(*pair, *found) for pair, found in pairs.items()]
 
 
 def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> DataFrame:
-    """(a, b) pairs of rids that share a key and differ in few bits."""
+    """Pairs of rids (a, b) that share a key and differ in few `bits`, with the `size` of the cluster that b or a is centre of."""
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -142,8 +152,8 @@ def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> D
             rids = flat.field("rid").to_numpy(zero_copy_only=False)
             fps = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             pairs = [p for i, j in zip(ends[:-1], ends[1:]) for p in propose(rids[i:j], fps[i:j], near)]
-            pairs = np.array(pairs, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            pairs = np.array(pairs, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(4)], ["a", "b", "bits", "size"])
 
     prints = texts.select("rid", *[f"f{t}" for t in range(TABLES)])
     keys = prints.mapInArrow(keyed, "key long, rid long, fp long")
@@ -159,8 +169,12 @@ def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> D
     apart = F.bit_count(F.expr("members[0].fp ^ members[1].fp"))
     buckets = buckets.where((F.size("members") > 2) | (apart <= near)).distinct()
     buckets = materialize(buckets, "neardup-buckets")
-    two = buckets.where(F.size("members") == 2).select(F.expr("members[0].rid").alias("a"), F.expr("members[1].rid").alias("b"))
-    return two.union(buckets.where(F.size("members") > 2).mapInArrow(proposed, "a long, b long")).where("a < b").distinct()
+    first, second = F.expr("members[0].rid"), F.expr("members[1].rid")
+    two = buckets.where(F.size("members") == 2).select(
+        first.alias("a"), second.alias("b"), apart.cast("long").alias("bits"), F.lit(1).cast("long").alias("size")
+    )
+    more = buckets.where(F.size("members") > 2).mapInArrow(proposed, "a long, b long, bits long, size long")
+    return two.union(more).where("a < b").groupBy("a", "b").agg(F.min("bits").alias("bits"), F.max("size").alias("size"))
 
 
 def _same_text() -> Column:
@@ -171,8 +185,23 @@ def _own() -> tuple[Column, Column]:
     return _digest().alias("own_digest"), F.col("doc_id").cast("long").alias("own_id")
 
 
+def _promising(pairs: DataFrame) -> DataFrame:
+    """For every text its nearest partner and the centre of its largest cluster."""
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits", "size"))
+    best = both.groupBy("a").agg(
+        F.min(F.struct("bits", "b"))["b"].alias("near"), F.max(F.struct("size", (-F.col("b")).alias("b")))["b"].alias("centre")
+    )
+    chosen = best.select("a", F.col("near").alias("b")).union(best.select("a", (-F.col("centre")).alias("b")))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) candidates whose texts are at least `threshold` alike."""
+    """(a, b) links of texts at least `threshold` alike that connect the same texts as all candidates would.
+
+    A round holds the most promising pairs of every text against each other; of
+    the others only those that lead from one component of these links to another
+    can add anything, and a second round takes all of them.
+    """
 
     def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -180,13 +209,24 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
             same = [len(p) == 2 and similarity(p[0].as_py(), p[1].as_py()) >= threshold for p in pairs]
             yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
+    def verified(some: DataFrame) -> DataFrame:
+        ends = some.select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
+        both = ends.join(whole, "rid").groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
+        return materialize(both.mapInArrow(alike, "a long, b long"), "neardup-links")
+
     pairs = materialize(candidates(texts), "neardup-pairs")
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
-    used = materialize(texts.join(ends.select("rid").distinct(), "rid").select("rid", "digest", "doc_id"), "neardup-used")
+    rids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rid")
+    used = materialize(texts.join(rids, "rid").select("rid", "digest", "doc_id"), "neardup-used")
     read = docs.where("text is not null").select(*_own(), text_of())
     whole = read.join(checked_broadcast(used, BROADCAST_ROWS), _same_text()).select("rid", "text")
-    both = ends.join(whole, "rid").groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
-    return both.mapInArrow(alike, "a long, b long")
+    whole = materialize(whole, "neardup-whole")
+    chosen = materialize(_promising(pairs), "neardup-chosen")
+    links = verified(chosen)
+    stars = materialize(connected_components(links), "neardup-stars")
+    part = lambda end: stars.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    rest = pairs.select("a", "b").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    return links.union(verified(rest.join(chosen, ["a", "b"], "left_anti")))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
