@@ -11,8 +11,16 @@ Equal texts are one from the start. A key's members are shuffled to one bucket,
 large keys in blocks of bounded size; a bucket proposes, for every member, the
 centre of its cluster and a member that is nearer than that, never all pairs.
 Each text's most promising pairs are verified first, then every other pair that
-could still join two components. Links make components, and of each component the row with the smallest id stays (a null id
-counts as the largest).
+could still join two components.
+
+Those candidates are a first pass only, as texts with the same words may be no
+near-duplicates and near-duplicates may repeat some words more than others. An exact
+join takes the rest: a text's shingles are ordered, the frequent ones last, and two
+texts at THRESHOLD share one of the first n - ceil(THRESHOLD * n) + 1. Pairs of
+different components that share such a shingle, and whose sizes and places allow the
+similarity, are held against each other, neighbours first, then all that still lead
+from one component to another. Links make components, and of each component the row
+with the smallest id stays (a null id counts as the largest).
 
 Defined cases: null texts are equal to each other and to no other text; texts of
 fewer than five words are one shingle; rows that repeat id and text count as
@@ -21,6 +29,7 @@ copies, one stays; an empty table gives an empty result; all columns stay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +49,11 @@ TABLES = 4  # independent fingerprints
 NEAR_BITS = 10  # of 64: more than near-duplicates differ in, fewer than strangers do
 BLOCK = 1000
 BROADCAST_ROWS = 300_000  # of about 100 bytes
+KEY_ROWS = 1_000_000  # of 16 bytes
 MARKS = b".,;:!?\"'()"
+SAMPLE, FREQUENT = 16, 200_000  # one text of so many is sampled for frequent shingles, of which so many are told apart
+LEAST = 3  # sampled texts with a frequent shingle; these numbers set the order of shingles only, not what is found
+SLACK = 1e-6  # for rounding in bounds, always towards more pairs
 
 
 def word_prints(text: bytes | None) -> np.ndarray:
@@ -195,12 +208,115 @@ def _promising(pairs: DataFrame) -> DataFrame:
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def shingle_hashes(text: str) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, in order."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(s) for s in shingles(text)], np.uint64))
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The first shingles of a text by rank and hash, one of which every text at `threshold` shares."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        rank = np.where(frequent[at] == hashes, ranks[at], 0)
+    size = len(hashes)
+    return hashes[np.lexsort((hashes, rank))[: size - math.ceil(threshold * size - SLACK) + 1]]
+
+
+def prefixes(whole: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """key, rid, size (shingles), place (of the key) and low (smallest hash) of the first shingles of every text."""
+
+    def sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for text in part.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py()).view(np.int64))], ["key"])
+
+    some = whole.where(F.expr(f"pmod(xxhash64(rid), {SAMPLE}) = 0")).select("text").mapInArrow(sampled, "key long")
+    often = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(FREQUENT)
+    table = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
+    frequent, ranks = table[:, 0].copy().view(np.uint64), table[:, 1].copy()
+    order = frequent.argsort()
+    frequent, ranks = frequent[order], ranks[order]
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for rid, text in zip(part.column("rid").to_pylist(), part.column("text")):
+                hashes = shingle_hashes(text.as_py())
+                keys = prefix(hashes, frequent, ranks, threshold)
+                n = len(keys)
+                columns = [
+                    keys.view(np.int64), np.full(n, rid), np.full(n, len(hashes), np.int32), np.arange(n, dtype=np.int32),
+                    np.full(n, hashes[:1].view(np.int64)[0]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "rid", "size", "place", "low"])
+
+    return whole.select("rid", "text").mapInArrow(rows, "key long, rid long, size int, place int, low long")
+
+
+def possible(members: dict[str, np.ndarray], every: bool, same_block: bool, threshold: float = THRESHOLD) -> np.ndarray:
+    """Rows (a, b) of a bucket's members whose components differ and whose sizes and places allow `threshold`.
+
+    Members share a shingle. If it is the first that two share, they share at most
+    what follows it in either; if it is not, they meet in the bucket of the first.
+    Without `every`, only members that follow each other by `low` are paired.
+    """
+    order = np.lexsort((members["rid"], members["low"]))
+    rid, root, size, place, own = (members[name][order] for name in ("rid", "root", "size", "place", "own"))
+    size = size.astype(np.int64)
+    behind = size - place
+    found = []
+    for at in range(len(rid) - 1):
+        to = slice(at + 1, None if every else at + 2)
+        both = size[at] + size[to]
+        fits = (root[to] != root[at]) & (np.minimum(size[to], size[at]) >= threshold * np.maximum(size[to], size[at]) - SLACK)
+        fits &= (1 + threshold) * np.minimum(behind[to], behind[at]) >= threshold * both - SLACK
+        if not same_block and every:
+            fits &= own[to] != own[at]
+        others = rid[to][fits]
+        found.append(np.stack([np.minimum(others, rid[at]), np.maximum(others, rid[at])], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def shared(keys: DataFrame, stars: DataFrame) -> DataFrame:
+    """`keys` with their `root` and the `n` of the key, of keys that lie in more than one component."""
+    rows = keys.join(checked_broadcast(stars.withColumnRenamed("node", "rid"), BROADCAST_ROWS), "rid", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "rid"))
+    across = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rows.join(checked_broadcast(across.where("lo < hi").select("key", "n"), KEY_ROWS), "key")
+
+
+def possible_pairs(rows: DataFrame, every: bool, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) that `possible` finds under any key; large keys meet in blocks."""
+    names = ["rid", "root", "size", "place", "low", "own"]
+
+    def paired(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            members = part.column("members")
+            ends, flat = members.offsets.to_numpy(), members.values
+            columns = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in names}
+            for i, j, same in zip(ends[:-1], ends[1:], part.column("same").to_pylist()):
+                pairs = possible({name: c[i:j] for name, c in columns.items()}, every, same, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(2)], ["a", "b"])
+
+    buckets = (
+        rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)))
+        .withColumn("own", F.expr("pmod(xxhash64(rid), blocks)"))
+        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)") if every else F.array("own")))
+        .groupBy("key", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"))
+        .agg(F.collect_list(F.struct(*names)).alias("members"))
+        .where(F.size("members") > 1).select("members", (F.col("lower") == F.col("upper")).alias("same"))
+    )
+    return buckets.mapInArrow(paired, "a long, b long").distinct()
+
+
 def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) links of texts at least `threshold` alike that connect the same texts as all candidates would.
+    """(a, b) links of texts at least `threshold` alike that connect the same texts as all such pairs would.
 
-    A round holds the most promising pairs of every text against each other; of
-    the others only those that lead from one component of these links to another
-    can add anything, and a second round takes all of them.
+    A round holds the most promising candidates of every text against each other;
+    of the others only those that lead from one component of these links to another
+    can add anything, and a second round takes all of them. Two rounds of the exact
+    join follow, of neighbours and then of all pairs that still lead across.
     """
 
     def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,24 +325,40 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
             same = [len(p) == 2 and similarity(p[0].as_py(), p[1].as_py()) >= threshold for p in pairs]
             yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    def verified(some: DataFrame) -> DataFrame:
+    def whole_of(some: DataFrame) -> DataFrame:
+        rids = some.select("a").union(some.select("b")).distinct().withColumnRenamed("a", "rid")
+        used = materialize(texts.join(rids, "rid").select("rid", "digest", "doc_id"), "neardup-used")
+        found = read.join(checked_broadcast(used, BROADCAST_ROWS), _same_text()).select("rid", "text")
+        return materialize(found, "neardup-whole")
+
+    def verified(some: DataFrame, whole: DataFrame | None = None) -> DataFrame:
         ends = some.select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
-        both = ends.join(whole, "rid").groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
+        both = ends.join(whole_of(some) if whole is None else whole, "rid").groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
         return materialize(both.mapInArrow(alike, "a long, b long"), "neardup-links")
 
-    pairs = materialize(candidates(texts), "neardup-pairs")
-    rids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rid")
-    used = materialize(texts.join(rids, "rid").select("rid", "digest", "doc_id"), "neardup-used")
     read = docs.where("text is not null").select(*_own(), text_of())
-    whole = read.join(checked_broadcast(used, BROADCAST_ROWS), _same_text()).select("rid", "text")
-    whole = materialize(whole, "neardup-whole")
+    repeats = not texts.where("same > 1").isEmpty()
+    pairs = materialize(candidates(texts), "neardup-pairs")
+    whole = whole_of(pairs)
     chosen = materialize(_promising(pairs), "neardup-chosen")
-    links = verified(chosen)
+    links = verified(chosen, whole)
     stars = materialize(connected_components(links), "neardup-stars")
     part = lambda end: stars.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     rest = pairs.select("a", "b").join(part("a"), "a", "left").join(part("b"), "b", "left")
     rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    return links.union(verified(rest.join(chosen, ["a", "b"], "left_anti")))
+    links = links.union(verified(rest.join(chosen, ["a", "b"], "left_anti"), whole))
+
+    every_text = checked_broadcast(texts.where("digest <> unhex('00')").select("rid", "digest", "doc_id"), BROADCAST_ROWS)
+    found = read.join(every_text, _same_text()).select("rid", "text")
+    keys = prefixes(found, threshold)
+    keys = materialize(keys.distinct() if repeats else keys, "neardup-prefixes")
+    for every in (False, True):
+        stars = materialize(connected_components(links), "neardup-stars")
+        keys = materialize(shared(keys, stars).select(*keys.columns, "root", "n"), "neardup-keys")
+        more = materialize(possible_pairs(keys, every, threshold), "neardup-possible")
+        links = links.union(verified(more))
+        keys = keys.drop("root", "n")
+    return links
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

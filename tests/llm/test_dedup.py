@@ -127,6 +127,40 @@ def test_near_duplicates_of_odd_rows(docs, rows):
     assert N.without_near_duplicates(table.limit(0)).count() == 0
 
 
+def kept_by_brute_force(texts):
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if N.similarity(texts[a], texts[b]) >= 0.8]
+    return pairs, sorted(set(roots(range(len(texts)), pairs).values()))
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_duplicates_among_texts_of_the_same_words(docs, block, monkeypatch):
+    """All fingerprints are equal, so no candidate tells the orders apart."""
+    monkeypatch.setattr(N.possible_pairs, "__defaults__", (0.8, block))
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(8):
+        texts.append(" ".join(words))
+        texts.append(" ".join(words[20:] + words[:20]))  # a block moved
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        rng.shuffle(words)
+    pairs, want = kept_by_brute_force(texts)
+    assert len(pairs) == 8
+    assert sorted(r.doc_id for r in N.without_near_duplicates(docs(list(enumerate(texts)))).collect()) == want
+
+
+def test_prefixes_of_near_duplicates_meet():
+    rng = np.random.default_rng(8)
+    for size in [*range(1, 40), 333]:
+        both = np.unique(rng.integers(0, 2**63, 2 * size, dtype=np.uint64))
+        common = both[: -(-8 * size // 10)]
+        other = np.sort(rng.permutation(both)[: size // 3])
+        for own in (both[:size], common):
+            ranks = rng.integers(1, 9, len(other))
+            assert np.intersect1d(N.prefix(both[:size], other, ranks), N.prefix(own, other, ranks)).size
+
+
 def test_proposals_are_few_and_connect(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, dtype=np.uint64)
