@@ -3,9 +3,10 @@
 Two texts are near-duplicates if their sets of five-word shingles have a Jaccard
 similarity of THRESHOLD or more. Fingerprints of such shingles drift too far for
 the Golay keys (see `simhash`): one changed word changes five of them. So the
-candidates come from four independent 64-bit SimHashes over the set of words, which
-at that similarity differ in a few bits only, by the same Golay keys; every
-candidate is then held against the shingles themselves.
+candidates come from four independent 64-bit SimHashes over the set of words, by the
+same Golay keys; every candidate is then held against the shingles themselves. They
+differ in a few bits only where edits change few of the distinct words, which added,
+dropped or often repeated words need not do.
 
 Equal texts are one from the start. A key's members are shuffled to one bucket,
 large keys in blocks of bounded size; a bucket proposes, for every member, the
@@ -46,7 +47,7 @@ from gavel.session import materialize
 
 WIDTH, THRESHOLD = 5, 0.8
 TABLES = 4  # independent fingerprints
-NEAR_BITS = 10  # of 64: more than near-duplicates differ in, fewer than strangers do
+NEAR_BITS = 10  # of 64: more than most near-duplicates differ in, fewer than strangers do
 BLOCK = 1000
 BROADCAST_ROWS = 300_000  # of about 100 bytes
 KEY_ROWS = 1_000_000  # of 16 bytes

@@ -150,6 +150,24 @@ def test_near_duplicates_among_texts_of_the_same_words(docs, block, monkeypatch)
     assert sorted(r.doc_id for r in N.without_near_duplicates(docs(list(enumerate(texts)))).collect()) == want
 
 
+def test_near_duplicates_with_appended_truncated_and_moved_text(docs):
+    rng = random.Random(7)
+    texts = []
+    for size in (20, 30, 60, 120, 400, 1500, 5000):
+        for _ in range(4):
+            words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(size)]  # most of them repeat
+            fresh = [f"x{rng.randrange(10**9)}" for _ in range(size // 6)]
+            cut, at = size // 6, rng.randrange(size // 2)
+            texts.append(" ".join(words))
+            texts.append(rng.choice([
+                " ".join(words + fresh), " ".join(fresh + words), " ".join(words[:-cut]), " ".join(words[cut:]),
+                " ".join(words[:at] + words[at + cut :] + words[at : at + cut]),
+            ]))
+    pairs, want = kept_by_brute_force(texts)
+    assert len(pairs) >= 15
+    assert sorted(r.doc_id for r in N.without_near_duplicates(docs(list(enumerate(texts)))).collect()) == want
+
+
 def test_prefixes_of_near_duplicates_meet():
     rng = np.random.default_rng(8)
     for size in [*range(1, 40), 333]:
