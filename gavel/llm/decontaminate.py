@@ -11,8 +11,12 @@ with other numbers or names is still found and a chance likeness of templates is
 not. A sighting of MATCHES windows (or of all, in a shorter item) is a leak.
 
 Benchmark windows also come with their names as plain words, so that a text in
-lower case is found; windows with fewer than REAL plain words say too little and
-are left out. Everything is DataFrame work. The benchmark's distinct hashes are
+lower case is found; windows with fewer than REAL plain words say too little as
+templates and are left out. Besides, every window of both sides comes word for word,
+without placeholders and whatever its words are, so that a copy is found where
+templates say little (titles, lists of names or numbers) or where names are marked
+otherwise. A sighting that the templates do not make a leak is one if MATCHES of
+its windows (or all of the item's) meet either way. Everything is DataFrame work. The benchmark's distinct hashes are
 broadcast only up to BROADCAST_ROWS of them, eight bytes each, and else joined by
 a shuffle.
 
@@ -62,31 +66,51 @@ def template(raw: str, names: bool = True) -> Column:
     return F.transform(raw, placeholder)
 
 
+def literal(raw: str) -> Column:
+    """The words of column `raw` as they are."""
+    return F.transform(raw, lambda w: F.when(w.startswith(NAME), F.substring(w, 2, 1_000_000)).otherwise(w))
+
+
 def _windows(rows: DataFrame, keys: list[str], names: bool = True) -> DataFrame:
-    """keys, pos, hash and slots of every window of column `text`."""
+    """keys, pos, hash, slots and exact of every window of column `text`; windows with placeholders also come word for word (`exact`)."""
     # Each explode of one element keeps the array from being computed again for every window.
     split = rows.select(*keys, F.explode(F.array(words("text"))).alias("raw")).where(F.size("raw") >= WIDTH)
     formed = split.select(*keys, "raw", F.explode(F.array(template("raw", names))).alias("form"))
     slots = F.zip_with("form", "raw", lambda f, r: F.when(f.startswith("#"), r).otherwise(""))
     some = F.exists("form", lambda f: f.startswith("#"))
-    filled = formed.select(*keys, "form", F.explode(F.array(F.when(some, slots))).alias("values"))
+    own = F.when(some, literal("raw")).alias("own")
+    filled = formed.select(*keys, "form", F.explode(F.array(F.struct(F.when(some, slots).alias("values"), own))).alias("as"))
+    filled = filled.select(*keys, "form", "as.values", "as.own")
 
     def window(i: Column) -> Column:
-        parts = [F.get("form", i + k) for k in range(WIDTH)]
-        return F.struct(F.xxhash64(*parts).alias("hash"), F.array_join(F.slice("values", i + 1, WIDTH), " ").alias("slots"))
+        parts, plain = ([F.get(words, i + k) for k in range(WIDTH)] for words in ("form", "own"))
+        return F.struct(
+            F.xxhash64(*parts).alias("hash"), F.array_join(F.slice("values", i + 1, WIDTH), " ").alias("slots"),
+            F.when(F.col("own").isNotNull(), F.xxhash64(*plain)).alias("plain"),
+        )
 
     every = F.transform(F.sequence(F.lit(0), F.size("form") - WIDTH), window)
-    return filled.select(*keys, F.posexplode(every).alias("pos", "window")).select(*keys, "pos", "window.*")
+    found = filled.select(*keys, F.posexplode(every).alias("pos", "window")).select(*keys, "pos", "window.*")
+    form = F.struct("hash", "slots", F.lit(False).alias("exact"))
+    word_for_word = F.struct(F.col("plain").alias("hash"), F.lit(None).cast("string").alias("slots"), F.lit(True).alias("exact"))
+    both = F.when(F.col("plain") != F.col("hash"), F.array(form, word_for_word)).otherwise(F.array(form))
+    return found.select(*keys, "pos", F.explode(both).alias("window")).select(*keys, "pos", "window.*")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, pos, hash, slots and windows (of the item) of all telling windows, names both ways."""
+    """item_id, pos, hash, slots and exact of all telling windows, names both ways, and of all word for word.
+
+    `windows` and `places` count the item's windows that tell something as templates and all of them.
+    """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     both = _windows(items, ["item_id"]).union(_windows(items, ["item_id"], names=False)).distinct()
     # A slot of a number, unit or name is a value, any other is empty.
     filled = F.size(F.filter(F.split("slots", " "), lambda v: v != ""))
-    kept = both.where(F.coalesce(F.lit(WIDTH) - F.when(F.col("slots").isNotNull(), filled), F.lit(WIDTH)) >= REAL)
-    sizes = kept.groupBy("item_id").agg(F.count_distinct("pos").alias("windows"))
+    telling = F.coalesce(F.lit(WIDTH) - F.when(F.col("slots").isNotNull(), filled), F.lit(WIDTH)) >= REAL
+    kept = both.where(F.col("exact") | telling)
+    sizes = kept.groupBy("item_id").agg(
+        F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("windows"), F.count_distinct("pos").alias("places")
+    )
     return kept.join(sizes, kept.item_id.eqNullSafe(sizes.item_id)).drop(sizes.item_id)
 
 
@@ -101,16 +125,20 @@ def sightings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashes = materialize(known.select("hash").distinct(), "leak-hashes")
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of())
     met = _windows(rows, ["doc_id", "text_hash"]).join(checked_broadcast(hashes), "hash")
-    item = known.select("hash", "item_id", "windows", F.col("pos").alias("place"), F.col("slots").alias("wanted"))
+    item = known.select("hash", "item_id", "windows", "places", F.col("pos").alias("place"), F.col("slots").alias("wanted"), F.col("exact").alias("copied"))
     paired = met.join(item, "hash").withColumn("apart", F.col("pos") - F.col("place"))
     slots = F.arrays_zip(F.split("wanted", " ").alias("was"), F.split("slots", " ").alias("now"))
     pairs = F.coalesce(F.filter(slots, lambda s: s["was"] != ""), F.array().cast("array<struct<was:string,now:string>>"))
     one = paired.groupBy("doc_id", "text_hash", "item_id", "apart").agg(
-        F.count_distinct("place").alias("matched"), F.first("windows").alias("windows"),
+        F.collect_set("place").alias("met"), F.collect_set(F.when(~(F.col("exact") | F.col("copied")), F.col("place"))).alias("formed"),
+        F.first("windows").alias("windows"), F.first("places").alias("places"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),  # as many as the item has slots, at most
     )
     steady = F.size(F.array_distinct(F.transform("pairs", lambda s: s["was"]))) == F.size("pairs")
-    found = one.where(steady & (F.col("matched") >= F.least(F.lit(MATCHES), "windows")))
+    formed, met = F.size("formed"), F.size("met")
+    by_form = (formed > 0) & (formed >= F.least(F.lit(MATCHES), "windows"))
+    matched = F.when(by_form, formed).when(met >= F.least(F.lit(MATCHES), "places"), met).cast("long")
+    found = one.withColumn("matched", matched).where(steady & F.col("matched").isNotNull())
     return found.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("matched").alias("matched"), F.max(F.exists("pairs", lambda s: s["was"] != s["now"])).alias("reworded")
     )

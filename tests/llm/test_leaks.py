@@ -45,6 +45,21 @@ def test_partial_leak(docs, benchmark):
     assert [r.doc_id for r in D.leaks(near, benchmark).collect()] == [1]
 
 
+COPIES = (
+    "Add 12 13 14 15 16 17 18 19 20 21 22 23 24",
+    "The Old Man And The Sea By Ernest Hemingway Was First Published In Havana",
+    "We met Anna, Bob, Carl, Dora, Emil, Fritz, Gerda, Hans, Ida, Jakob and Karl",
+    "Der Hund der Nachbarin jagt die Katze durch Garten, Hof, Keller, Haus, Wald und Feld",
+)
+
+
+def test_copies_where_templates_say_little(spark, docs):
+    benchmark = spark.createDataFrame(list(enumerate(COPIES)), "item_id long, text string")
+    table = docs([(i, f"Before it all. {text}. And after it") for i, text in enumerate(COPIES)] + [(9, "Add 12 13 14 15 16 17 1 2 3 4 5 6")])
+    got = {(r.doc_id, r.item_id, r.reworded) for r in D.leaks(table, benchmark).collect()}
+    assert got == {(i, i, False) for i in range(len(COPIES))}
+
+
 def test_empty_tables(docs, benchmark):
     table = docs([(1, PLAIN)])
     assert D.leaks(table.limit(0), benchmark).count() == 0
