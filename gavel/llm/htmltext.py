@@ -13,6 +13,11 @@ so the clusters choose the region and the region gives the text: the outermost
 without such elements, the smallest container that holds every cluster's lines.
 All lines of the region are kept, in page order.
 
+A class, an id or a form is a weak sign: such an element may hold the whole page. So
+its lines are left out at the end only, and stay if it is around the page's `main`
+or articles (those in the fewest such elements), or, on pages without, around an h1
+and more text than is outside; if no line is left, the largest such text stays.
+
 Defined cases: a null or empty page, or one without any line, has an empty text
 and no characters; unclosed and stray tags are closed with their parents; a page
 without markup is one line; repeated rows are extracted each; an empty table gives
@@ -39,7 +44,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea input label fieldset iframe object "
+    "head script style noscript template nav footer aside button select option textarea input label fieldset iframe object "
     "svg canvas audio video dialog menu title".split()
 )
 ARTICLES = frozenset(("article", "main"))
@@ -57,38 +62,83 @@ WORD = re.compile(r"[a-z]+")
 
 
 class PageLines(HTMLParser):
-    """Collects (text, tags, containers) of every line that may be content."""
+    """Collects (pieces, tags, containers) of every line that may be content; a piece is a text and the marked elements around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, whether its content is left out
-        self.parts: list[str] = []
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, whether its content is left out, marked elements
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        self.mains: list[tuple[int, tuple[int, ...]]] = []  # number, marked elements around it
+        self.inner: list[tuple[tuple[int, ...], tuple[int, ...]]] = []  # of articles: open `main` elements, marked elements
+        self.titles: list[tuple[int, ...]] = []  # marked elements around an h1
         self.tags, self.count = 0, 0
         self.articles: set[int] = set()
 
     def _dropped(self) -> bool:
         return bool(self.open) and self.open[-1][2]
 
+    def _marked(self) -> tuple[int, ...]:
+        return self.open[-1][3] if self.open else ()
+
     def _end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            containers = tuple(number for tag, number, _ in self.open if tag in BLOCKS and tag != "p")
-            self.lines.append((text, max(self.tags, 1), containers))
-            self.tags = 0
+        if any(text and not text.isspace() for text, _ in self.parts):
+            containers = tuple(number for tag, number, *_ in self.open if tag in BLOCKS and tag != "p")
+            self.lines.append((self.parts, self.tags, containers))
+            self.parts, self.tags = [], 0
         self.parts.clear()
 
+    def _in_article(self) -> bool:
+        return any(o[0] in ARTICLES for o in self.open)
+
     def _unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or tag == "header" and not any(t in ARTICLES for t, _, _ in self.open):
+        if tag in DROPPED or tag == "header" and not self._in_article():
+            return True
+        if tag in ("html", "body", *ARTICLES) and not self._in_article():
+            return False
+        return any(name == "hidden" or name == "role" and (value or "").strip().lower() in ROLES for name, value in attrs)
+
+    def _has_mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag == "form":
             return True
-        if tag in ("html", "body", *ARTICLES) and not any(t in ARTICLES for t, _, _ in self.open):
+        inside = self._in_article()
+        if tag in ("html", "body", *ARTICLES) and not inside:
             return False
-        for name, value in attrs:
-            if name == "hidden" or name == "role" and (value or "").strip().lower() in ROLES:
-                return True
-            if name in ("class", "id") and not MARKS.isdisjoint(WORD.findall((value or "").lower())):
-                return True
-        return False
+        found = {w for name, value in attrs if name in ("class", "id") for w in WORD.findall((value or "").lower())}
+        return not MARKS.isdisjoint(found - {"header"} if inside else found)
+
+    def _stays(self) -> set[int]:
+        """The marked elements whose own lines are content all the same."""
+        around: list[tuple[int, ...]] = []
+        if self.mains:
+            fewest = min(len(marked) for _, marked in self.mains)
+            chosen = {number for number, marked in self.mains if len(marked) == fewest}
+            around += [marked for _, marked in self.mains if len(marked) == fewest]
+            inner = [marked for mains, marked in self.inner if not chosen.isdisjoint(mains)]
+        else:
+            inner = [marked for _, marked in self.inner]
+        around += [marked for marked in inner if len(marked) == min(map(len, inner))]
+        sizes: dict[tuple[int, ...], int] = {}
+        for pieces, _, _ in self.lines:
+            for text, marked in pieces:
+                sizes[marked] = sizes.get(marked, 0) + len(text.strip())
+        if not around:
+            around += [marked for marked in self.titles if sizes.get(marked, 0) > sizes.get((), 0)]
+        stays = {number for marked in around for number in marked}
+        if sizes and not any(n for marked, n in sizes.items() if stays.issuperset(marked)):
+            stays.update(max(sizes, key=sizes.get))
+        return stays
+
+    def content(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """(text, tags, containers) of the lines that may be content; tags of others count for the next line."""
+        stays, lines, before = self._stays(), [], 0
+        for pieces, tags, containers in self.lines:
+            text = " ".join("".join(text for text, marked in pieces if stays.issuperset(marked)).split())
+            before += tags
+            if text:
+                lines.append((text, max(before, 1), containers))
+                before = 0
+        return lines
 
     def _close(self, at: int) -> None:
         del self.open[at:]
@@ -107,14 +157,24 @@ class PageLines(HTMLParser):
                         self._close(at)
                         break
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self._marked()))
         if tag in VOID:
             return
         self.count += 1
         number, dropped = self.count, self._dropped() or self._unwanted(tag, attrs)
-        if tag in ARTICLES and not dropped and not any(t in ARTICLES for t, _, _ in self.open):
-            self.articles.add(number)
-        self.open.append((tag, number, dropped))
+        marked = self._marked()
+        if not dropped and self._has_mark(tag, attrs):
+            marked += (number,)
+        if not dropped:
+            if tag in ARTICLES and not self._in_article():
+                self.articles.add(number)
+            if tag == "main":
+                self.mains.append((number, marked))
+            elif tag == "article":
+                self.inner.append((tuple(o[1] for o in self.open if o[0] == "main"), marked))
+            elif tag == "h1":
+                self.titles.append(marked)
+        self.open.append((tag, number, dropped, marked))
 
     def _close_paragraph(self) -> None:
         """A block ends an open paragraph, with what is open inside it."""
@@ -143,7 +203,7 @@ class PageLines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self._dropped():
-            self.parts.append(data)
+            self.parts.append((data, self._marked()))
 
     def finish(self) -> None:
         self.close()
@@ -189,7 +249,7 @@ def main_text(html: str | None) -> str:
     for at in range(0, len(html), CHUNK):
         page.feed(html[at : at + CHUNK])
     page.finish()
-    return "\n".join(content_lines(page.lines, page.articles))
+    return "\n".join(content_lines(page.content(), page.articles))
 
 
 def extract(pages: DataFrame) -> DataFrame:

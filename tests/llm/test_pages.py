@@ -39,6 +39,25 @@ def test_shapes(html, text):
     assert H.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='content-sidebar-wrap'><article>{LONG}</article></div>", WORDS),
+        (f"<main><div class='content-sidebar-wrap'><article>{LONG}</article></div></main>", WORDS),
+        (f"<div id='page' class='site no-sidebar'><h1>T</h1>{LONG}<div class='ad'><p>buy</p></div></div><p>tail</p>", f"T\n{WORDS}\ntail"),
+        (f"<div class='header-fixed menu-open'><main>{LONG}</main></div>", WORDS),
+        (f"<div class='header-fixed menu-open'>{LONG}</div>", WORDS),
+        (f"<form id='aspnetForm'><article>{LONG}<form><p>Search</p></form></article></form>", WORDS),
+        (f"<article><header class='entry-header'><h1>T</h1></header>{LONG}</article>", "T\n" + WORDS),
+        (f"<article>{LONG}</article><div class='comments'><article>{LONG}</article></div>", WORDS),
+        (f"<main>{LONG}</main><div class='related'><article>{LONG}</article></div>", WORDS),
+        (f"<article>{LONG}<p>one <span class='ad'>two </span>three</article>", WORDS + "\none three"),
+    ],
+)
+def test_marked_elements_around_the_page(html, text):
+    assert H.main_text(html) == text
+
+
 def test_chunks_do_not_matter(monkeypatch):
     whole = H.main_text(PAGE)
     monkeypatch.setattr(H, "CHUNK", 7)
