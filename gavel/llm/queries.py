@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import decontaminate, htmltext, mixing, quality, simhash, tokens, topk, toxicity, urls, warc
+from gavel.llm import (
+    decontaminate, htmltext, infill, mixing, negatives, quality, secret_scan, simhash, tokens, topk, toxicity, urls, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +146,59 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("""
+    WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+      vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+    QUALIFY rank <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five best positives of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+_DRAW = "('0x' || substr(digest, {at}, 8))::BIGINT"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+      FROM documents),
+    c AS (SELECT *, least({_DRAW.format(at=1)} % (n + 1), {_DRAW.format(at=9)} % (n + 1)) AS i,
+      greatest({_DRAW.format(at=1)} % (n + 1), {_DRAW.format(at=9)} % (n + 1)) AS j,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR {_DRAW.format(at=17)} % 100 >= 90 THEN 'plain'
+        WHEN {_DRAW.format(at=25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, substr(text, 1, i) AS pre, substr(text, i + 1, j - i) AS mid, substr(text, j + 1) AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+      sha256(text) AS restored_sha256 FROM p""")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-the-middle form, and its text rebuilt from that form."""
+    rows = infill.restored(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n", "form", F.col("restored_prefix").alias("prefix_chars"), F.col("restored_middle").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+@query()
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: what the rules find, and what the randomness tests add."""
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [F.size(F.filter(kinds, F.lit(kind).eqNullSafe)).cast("long") for kind in range(3)]
+    return found.select(
+        "doc_id", count[0].alias("n_assign"), count[1].alias("n_access"), count[2].alias("n_hex"),
+        F.sha2(secret_scan.span_list("base"), 256).alias("base_sha256"), secret_scan.span_list("spans").alias("spans"),
+    )
