@@ -151,6 +151,48 @@ def test_percentiles_are_exact(spark, kind):
         assert got[name] == pytest.approx(np.quantile(values, f), rel=1e-12, abs=1e-15)
 
 
+@pytest.mark.parametrize("kind", ["band", "nested", "extremes", "integers"])
+def test_percentiles_in_narrow_bands(spark, kind):
+    """All values within a relative width of 1e-6 and less, nested bands, and the ends of the type."""
+    rng = np.random.default_rng(4)
+    values = {
+        "band": 5 + rng.uniform(0, 1e-6, 3000),
+        "nested": np.concatenate([7 + rng.uniform(0, 10.0**-k, 300) for k in (0, 4, 8, 12, 15)]),
+        "extremes": np.array([-1.7e308, -5e-324, -0.0, 0.0, 5e-324, 1e-310, 1.0, 1.7e308, -1.0]),
+        "integers": rng.integers(-(10**12), 10**12, 500),
+    }[kind]
+    kind_of = "bigint" if kind == "integers" else "double"
+    df = spark.createDataFrame([("m", v.item()) for v in values] + [(None, values[0].item())], f"k string, latency_ms {kind_of}")
+    fractions = {"p0": 0.0, "p1": 0.125, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in P.percentiles(P.value_cells(df, ["k"]), ["k"], fractions).collect()}
+    values = np.sort(values.astype(float))
+    for name, f in fractions.items():
+        at = (len(values) - 1) * f
+        lo, hi, weight = values[int(np.floor(at))], values[int(np.ceil(at))], at - np.floor(at)
+        assert got["m"][name] == lo * (1 - weight) + hi * weight
+        assert got[None][name] == (df.filter("k IS NULL").first()["latency_ms"])
+
+
+def test_no_task_orders_a_whole_band(spark):
+    """200,000 different latencies of one group in one band: what is left to be ordered is a few values."""
+    df = spark.range(200_000).selectExpr("'m' AS k", "5 + id * 1e-12 AS latency_ms")
+    rows = P.with_ordered_bits(P.value_cells(df, ["k"]).select(F.struct("k").alias("__group"), "value", "n"))
+    assert rows.selectExpr("max(bits >> 48) - min(bits >> 48)").first()[0] == 0
+    assert rows.count() > 150_000
+    fractions = {"p50": 0.5, "p95": 0.95}
+    ranges = P.wanted_ranges(rows, fractions, 2).cache()
+    assert ranges.count() <= 4
+    sizes = P.in_ranges(rows, ranges, 2).groupBy("__group", "prefix").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1 << 16
+
+
+def test_ordered_bits_order_like_values(spark):
+    values = [float("-inf"), -1e300, -1.0, -5e-324, 0.0, 5e-324, 1e-3, 1.0, 1.0000000000000002, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    bits = [r["bits"] for r in P.with_ordered_bits(df).orderBy("value").collect()]
+    assert bits == sorted(set(bits)) and len(bits) == len(values)
+
+
 def test_percentile_of_four(spark):
     df = spark.createDataFrame([("m", float(v)) for v in (1, 2, 3, 4)], "k string, latency_ms double")
     assert P.percentiles(P.value_cells(df, ["k"]), ["k"], {"p": 0.5}).first()["p"] == 2.5
