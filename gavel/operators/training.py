@@ -9,7 +9,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.operators.metrics import finalize, metric_cells
@@ -44,81 +44,225 @@ class Fitted:
 
 
 class Trainer(Protocol):
-    """Architecture plug-in: `fit(train, validation) -> model with transform`."""
+    """Architecture plug-in: `fit(train, validation) -> model with transform`.
+
+    One that also has `fit_folds(rows with fold, folds) -> models` fits all folds
+    of a cross-validation together.
+    """
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> Fitted: ...
 
 
-def _accuracy(model: Fitted, df: DataFrame | None) -> float | None:
-    if df is None:
-        return None
-    hit = (F.col("predicted_index") == F.col("gold_index")).cast("double")
-    return model.transform(df).agg(F.avg(hit)).first()[0]
+# A run trains on the rows of all folds but its own and is validated on its own.
+TRAIN, HELD = 1, 0
+
+
+def _one_run(train: DataFrame, validation: DataFrame | None, *columns: str) -> DataFrame:
+    """Training and validation rows as the folds of run HELD."""
+    rows = train.select(*columns, F.lit(TRAIN).alias("fold"))
+    if validation is None:
+        return rows
+    return rows.unionByName(validation.select(*columns, F.lit(HELD).alias("fold")))
+
+
+def _added_up(
+    data: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], shape: tuple[int, ...]
+) -> np.ndarray:
+    """`sums` of all batches, added up in the tasks and then by Spark: one job, one row a number.
+
+    Integers stay exact as doubles up to 2 ** 53.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(int(np.prod(shape)))
+        for frame in frames:
+            if not frame.empty:
+                total += sums(frame).ravel()
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"pos": at, "value": total[at]})
+
+    rows = data.mapInPandas(run, "pos BIGINT, value DOUBLE").groupBy("pos")
+    added = rows.agg(F.sum("value").alias("value")).toPandas()
+    out = np.zeros(int(np.prod(shape)))
+    out[added["pos"].to_numpy(int)] = added["value"].to_numpy()
+    return out.reshape(shape)
+
+
+def _counts(hits: np.ndarray, trains: np.ndarray) -> list[np.ndarray]:
+    """Training hits and rows, validation hits and rows of every run; both inputs are rows x runs."""
+    return [(hits & trains).sum(0), trains.sum(0), (hits & ~trains).sum(0), (~trains).sum(0)]
+
+
+def _accuracies(counts: np.ndarray) -> dict[str, float | None]:
+    hits, rows, held_hits, held = counts
+    return {
+        "train_accuracy": float(hits / rows) if rows else None,
+        "val_accuracy": float(held_hits / held) if held else None,
+    }
+
+
+def _width(data: DataFrame, column: Column) -> int:
+    first = data.select(F.size(column)).first()
+    if first is None:
+        raise ValueError("no training items")
+    return first[0]
+
+
+def _need_rows(rows: np.ndarray) -> None:
+    if not rows.all():
+        raise ValueError("no training items")
+
+
+def _yes_no_sums(weights: np.ndarray, runs: Sequence[int], curved: bool) -> Callable:
+    """Per run: counts, loss, gradient and (if `curved`) Hessian of the log loss; the bias comes last."""
+
+    def sums(frame: pd.DataFrame) -> np.ndarray:
+        x = np.stack(frame["embedding"].to_numpy()).astype(float)
+        x = np.column_stack([x, np.ones(len(x))])
+        y = frame["gold_index"].to_numpy()[:, None]
+        trains = frame["fold"].to_numpy()[:, None] != np.array(runs)
+        z = x @ weights.T
+        p = np.exp(-np.logaddexp(0, -z))
+        out = [*_counts((z >= 0) == (y == 1), trains), ((np.logaddexp(0, z) - y * z) * trains).sum(0)]
+        out.append((((p - y) * trains).T @ x).T)
+        if curved:
+            spread = p * (1 - p) * trains
+            out.append(np.stack([((x * spread[:, [k]]).T @ x).ravel() for k in range(len(runs))], axis=1))
+        return np.vstack(out)
+
+    return sums
+
+
+class _Descent:
+    """One run's way down: Newton steps, or L-BFGS where the Hessian is too large, halved while the loss rises."""
+
+    MEMORY, HALVINGS = 10, 8
+
+    def __init__(self, size: int, reg: float, epochs: int, tolerance: float):
+        self.at, self.trial = np.zeros(size), np.zeros(size)
+        self.penalty = np.append(np.full(size - 1, reg), 0.0)
+        self.epochs, self.tolerance, self.history, self.done = epochs, tolerance, [], False
+        self.loss, self.slope, self.step, self.scale = np.inf, None, None, 1.0
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def see(self, counts: np.ndarray, loss: float, slope: np.ndarray, hessian: np.ndarray | None) -> None:
+        """Take the means at `trial` and choose the next one."""
+        if self.done:
+            return
+        loss += 0.5 * float(self.penalty @ self.trial**2)
+        slope = slope + self.penalty * self.trial
+        if loss > self.loss + 1e-12 * max(1.0, abs(self.loss)):
+            self.scale /= 2
+            self.done = self.scale < 2.0**-self.HALVINGS
+            if self.done:  # no way further down: the last step is not taken
+                self.history.pop()
+            self.trial = self.at - (0 if self.done else self.scale) * self.step
+            return
+        if self.step is not None:
+            self.history[-1] |= _accuracies(counts)
+            if float((self.trial - self.at) @ (slope - self.slope)) > 0:
+                self.pairs = [*self.pairs, (self.trial - self.at, slope - self.slope)][-self.MEMORY :]
+        self.at, self.loss, self.slope, self.scale = self.trial, loss, slope, 1.0
+        if len(self.history) == self.epochs or np.abs(slope).max() < self.tolerance:
+            self.done = True
+            return
+        self.history.append({"epoch": len(self.history) + 1, "mean_loss": loss})
+        self.step = self._newton(slope, hessian) if hessian is not None else self._quasi_newton(slope)
+        self.trial = self.at - self.step
+
+    def _newton(self, slope: np.ndarray, hessian: np.ndarray) -> np.ndarray:
+        hessian = hessian + np.diag(self.penalty)
+        # A trace of ridge keeps separable data and unused components solvable.
+        return np.linalg.solve(hessian + 1e-12 * (1 + np.trace(hessian)) * np.eye(len(slope)), slope)
+
+    def _quasi_newton(self, slope: np.ndarray) -> np.ndarray:
+        step, kept = slope.copy(), []
+        for move, turn in reversed(self.pairs):
+            share = (move @ step) / (move @ turn)
+            kept.append(share)
+            step -= share * turn
+        if self.pairs:
+            move, turn = self.pairs[-1]
+            step *= (move @ turn) / (turn @ turn)
+        for (move, turn), share in zip(self.pairs, reversed(kept)):
+            step += move * (share - (turn @ step) / (move @ turn))
+        return step
 
 
 @dataclass
 class YesNoHead:
-    """Binary logistic head on `embedding`, fitted by Spark ML."""
+    """Binary logistic head on `embedding`: mean log loss and an L2 penalty on the weights, not the bias.
+
+    Newton's method: one job a step returns the summed gradient, Hessian, loss
+    and hits of all runs. Beyond `newton_size` components the Hessian of size
+    squared is left out and the steps are L-BFGS steps from the same gradients.
+    A step that raises the loss is halved. An epoch's row has the loss before its
+    step and the accuracies after it; a run that has converged has no more rows.
+    """
 
     epochs: int = 20
     reg: float = 0.0
+    newton_size: int = 512
+    tolerance: float = 1e-10  # of the gradient's largest component
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> Fitted:
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.functions import array_to_vector
-
-        data = train.select(
-            array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-            F.col("gold_index").cast("double").alias("label"),
-        )
-        fitted = LogisticRegression(
-            maxIter=self.epochs, regParam=self.reg, family="binomial", standardization=False
-        ).fit(data)
-        losses = list(fitted.summary.objectiveHistory)
-        model = Fitted("noul", fitted.coefficients.toArray().tolist(), float(fitted.intercept))
-        model.history = [{"epoch": i, "mean_loss": loss} for i, loss in enumerate(losses)]
-        model.history[-1]["val_accuracy"] = _accuracy(model, validation)
-        return model
-
-
-def _candidate_gradient(
-    weights: np.ndarray, bias: float
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per-partition sums: the gradient of softmax cross-entropy, then loss, hits and rows."""
+        return self.fit_folds(_one_run(train, validation, "embedding", "gold_index"), [HELD])[0]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(weights) + 3)
-        for frame in frames:
-            if frame.empty:
-                continue
-            # All candidates of the batch as one matrix, an item's rows together.
-            sizes = frame["candidates"].map(len).to_numpy()
-            starts = np.cumsum(sizes) - sizes
-            x = np.stack([v for row in frame["candidates"] for v in row]).astype(float)
-            logits = x @ weights + bias
-            high = np.maximum.reduceat(logits, starts)
-            p = np.exp(logits - np.repeat(high, sizes))
-            p /= np.repeat(np.add.reduceat(p, starts), sizes)
-            gold = starts + frame["gold_index"].to_numpy()
-            # The first of equal candidates is the prediction.
-            best = np.flatnonzero(logits == np.repeat(high, sizes))
-            first = best[np.searchsorted(best, starts)]
-            total[-3] -= np.log(np.maximum(p[gold], 1e-12)).sum()
-            total[-2] += (first == gold).sum()
-            total[-1] += len(frame)
-            p[gold] -= 1.0
-            total[:-3] += p @ x
-        yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
-
-    return run
+    def fit_folds(self, tagged: DataFrame, runs: Sequence[int]) -> list[Fitted]:
+        """One head a run over rows with `fold`; a step of all runs is one job."""
+        data = tagged.select("embedding", "gold_index", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(data, runs)
+        finally:
+            data.unpersist()
+
+    def _fit(self, data: DataFrame, runs: Sequence[int]) -> list[Fitted]:
+        size = _width(data, F.col("embedding")) + 1
+        curved = size <= self.newton_size
+        shape = (5 + size + (size * size if curved else 0), len(runs))
+        ways = [_Descent(size, self.reg, self.epochs, self.tolerance) for _ in runs]
+        while not all(way.done for way in ways):
+            weights = np.stack([way.trial for way in ways])
+            total = _added_up(data, _yes_no_sums(weights, runs, curved), shape)
+            _need_rows(total[1])
+            for way, sums in zip(ways, total.T):
+                means = sums[4:] / sums[1]
+                hessian = means[1 + size :].reshape(size, size) if curved else None
+                way.see(sums[:4], float(means[0]), means[1 : 1 + size], hessian)
+        return [Fitted("noul", way.at[:-1].tolist(), float(way.at[-1]), way.history) for way in ways]
+
+
+def _candidate_sums(weights: np.ndarray, runs: Sequence[int]) -> Callable:
+    """Per run: counts, loss and gradient of softmax cross-entropy over an item's candidates."""
+
+    def sums(frame: pd.DataFrame) -> np.ndarray:
+        # All candidates of the batch as one matrix, an item's rows together.
+        sizes = frame["candidates"].map(len).to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        x = np.stack([v for row in frame["candidates"] for v in row]).astype(float)
+        logits = x @ weights.T
+        high = np.maximum.reduceat(logits, starts)
+        p = np.exp(logits - np.repeat(high, sizes, axis=0))
+        p /= np.repeat(np.add.reduceat(p, starts), sizes, axis=0)
+        gold = starts + frame["gold_index"].to_numpy()
+        trains = frame["fold"].to_numpy()[:, None] != np.array(runs)
+        # The first of equal candidates is the prediction.
+        place = np.where(logits == np.repeat(high, sizes, axis=0), np.arange(len(x))[:, None], len(x))
+        hits = np.minimum.reduceat(place, starts) == gold[:, None]
+        loss = (-np.log(np.maximum(p[gold], 1e-12)) * trains).sum(0)
+        p[gold] -= 1.0
+        return np.vstack([*_counts(hits, trains), loss, ((p * np.repeat(trains, sizes, axis=0)).T @ x).T])
+
+    return sums
 
 
 @dataclass
 class CandidateHead:
     """One weight vector shared by an item's candidates, softmax cross-entropy.
 
-    Full-batch Adam: each epoch is one Spark job whose tasks return a sum per
-    weight; Spark adds those up, so the driver sees one row per weight.
+    Full-batch Adam: each epoch is one Spark job for all runs, whose tasks return
+    a sum per weight and run; Spark adds those up. An epoch's row has the loss
+    before its step and the accuracies after it.
     """
 
     epochs: int = 5
@@ -126,43 +270,37 @@ class CandidateHead:
     track: bool = True
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> Fitted:
-        data = train.select("candidates", "gold_index").persist(StorageLevel.MEMORY_AND_DISK)
+        return self.fit_folds(_one_run(train, validation, "candidates", "gold_index"), [HELD])[0]
+
+    def fit_folds(self, tagged: DataFrame, runs: Sequence[int]) -> list[Fitted]:
+        """One head a run over rows with `fold`; an epoch of all runs is one job."""
+        data = tagged.select("candidates", "gold_index", "fold").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return self._fit(data, train, validation)
+            return self._fit(data, runs)
         finally:
             data.unpersist()
 
-    def _fit(self, data: DataFrame, train: DataFrame, validation: DataFrame | None) -> Fitted:
-        first = data.select(F.size(F.get("candidates", F.lit(0)))).first()
-        if first is None:
-            raise ValueError("no training items")
-        weights, moment, square = (np.zeros(first[0]) for _ in range(3))
-        history: list[dict] = []
-        # One pass more than epochs: each also counts the hits of the step before it, over all rows.
-        for epoch in range(1, self.epochs + 2):
-            sums = (
-                data.mapInPandas(_candidate_gradient(weights, 0.0), "pos INT, value DOUBLE")
-                .groupBy("pos")
-                .agg(F.sum("value").alias("value"))
-                .orderBy("pos")
-                .collect()
-            )
-            values = np.array([r["value"] for r in sums])
-            gradient, (loss, hits, count) = values[:-3] / values[-1], values[-3:]
-            if self.track and history:
-                history[-1]["train_accuracy"] = float(hits / count)
+    def _fit(self, data: DataFrame, runs: Sequence[int]) -> list[Fitted]:
+        size = _width(data, F.get("candidates", F.lit(0)))
+        weights, moment, square = (np.zeros((len(runs), size)) for _ in range(3))
+        history: list[list[dict]] = [[] for _ in runs]
+        # With `track` one pass more than epochs: each also counts the hits of the step before it.
+        for epoch in range(1, self.epochs + 1 + self.track):
+            total = _added_up(data, _candidate_sums(weights, runs), (5 + size, len(runs)))
+            _need_rows(total[1])
+            for rows, counts in zip(history, total[:4].T):
+                if self.track and rows:
+                    rows[-1] |= _accuracies(counts)
             if epoch > self.epochs:
                 break
+            gradient = (total[5:] / total[1]).T
             moment = 0.9 * moment + 0.1 * gradient
             square = 0.999 * square + 0.001 * gradient**2
             step = (moment / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.999**epoch)) + 1e-8)
             weights = weights - self.lr * step
-            row = {"epoch": epoch, "mean_loss": float(loss / count)}
-            if self.track:
-                model = Fitted("choice", weights.tolist(), 0.0)
-                row["val_accuracy"] = _accuracy(model, validation)
-            history.append(row)
-        return Fitted("choice", weights.tolist(), 0.0, history)
+            for rows, loss in zip(history, total[4] / total[1]):
+                rows.append({"epoch": epoch, "mean_loss": float(loss)})
+        return [Fitted("choice", own.tolist(), 0.0, rows) for own, rows in zip(weights, history)]
 
 
 TRAINERS: dict[str, Callable[..., Trainer]] = {
@@ -230,25 +368,23 @@ def cross_validate(
     id_column: str = "id",
     seed: int = 42,
 ) -> tuple[list[Fitted], DataFrame | None]:
-    """One fit per fold; returns the models and the fold-wise summary.
+    """A model per fold and the fold-wise summary.
 
-    `folds=1` trains one model on everything and returns no summary. All folds'
-    validation predictions are scored together in one aggregation.
+    `folds=1` trains one model on everything and returns no summary. The heads of
+    all folds learn together: each epoch is one job over the rows, whatever the
+    number of folds. All validation predictions are scored in one aggregation.
     """
     if folds == 1:
         return [trainer().fit(items)], None
-    # Written once to the shared folder: every fold and epoch reads it.
+    # Written once to the shared folder: every epoch reads it.
     tagged = materialize(kfold(items, folds, id_column=id_column, seed=seed), "folds")
-    models, scored = [], []
-    for k in range(folds):
-        model = trainer().fit(tagged.filter(F.col("fold") != k))
-        models.append(model)
-        scored.append(
-            model.transform(tagged.filter(F.col("fold") == k)).select(
-                "task", "fold", "gold_index", "predicted_index"
-            )
-        )
-    predictions = scored[0]
-    for part in scored[1:]:
-        predictions = predictions.unionByName(part)
+    runs, made = range(folds), trainer()
+    if hasattr(made, "fit_folds"):
+        models = made.fit_folds(tagged, runs)
+    else:
+        models = [trainer().fit(tagged.filter(F.col("fold") != k)) for k in runs]
+    predictions = None
+    for k, model in enumerate(models):
+        own = model.transform(tagged.filter(F.col("fold") == k)).select("task", "fold", "gold_index", "predicted_index")
+        predictions = own if predictions is None else predictions.unionByName(own)
     return models, cv_summary(fold_metrics(predictions, ["task", "fold"]))

@@ -501,23 +501,133 @@ def head_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.history_frame(spark, model)
 
 
-@query()
+def _held_out(key: str, fraction: float) -> str:
+    """Whether a row of `embeddings` is in the seeded hold-out."""
+    order = f"row_number() OVER (ORDER BY sha256('42:' || {key}), {key}::VARCHAR)"
+    return f"{order} <= greatest(1, floor(count(*) OVER () * {fraction}))"
+
+
+def _candidate_steps(rows: str, epochs: int, lr: float = 0.05) -> dict[str, str]:
+    """CTEs of the candidate head's epochs, unrolled: w<e> the weights after epoch e, l<e> its loss, a<e> the accuracies after it.
+
+    `rows` gives run, g, c (candidate vectors) and held (validation row of the run).
+    """
+    views = {
+        "steps0": rows,
+        "w0": "SELECT DISTINCT run, list_transform(range(16), lambda i: 0.0::DOUBLE) AS w FROM steps0",
+        "m0": "SELECT run, j, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM w0, (SELECT unnest(range(1, 17)) AS j)",
+    }
+    for e in range(1, epochs + 2):
+        views[f"z{e}"] = f"SELECT run, held, g, c, list_transform(c, lambda v: list_dot_product(v, w)) AS z FROM steps0 JOIN w{e - 1} USING (run)"
+        if e > 1:
+            right = "avg((list_position(z, list_max(z)) = g + 1)::INT)"
+            views[f"a{e - 1}"] = f"SELECT run, {right} FILTER (NOT held) AS fit, {right} FILTER (held) AS val FROM z{e} GROUP BY run"
+        if e > epochs:
+            break
+        views[f"p{e}"] = (
+            "SELECT run, g, c, list_transform(x, lambda y: y / list_sum(x)) AS p FROM (SELECT run, g, c, "
+            f"list_transform(z, lambda y: exp(y - list_max(z))) AS x FROM z{e} WHERE NOT held)"
+        )
+        views[f"l{e}"] = f"SELECT run, avg(-ln(greatest(p[g + 1], 1e-12))) AS loss FROM p{e} GROUP BY run"
+        views[f"g{e}"] = (
+            "SELECT run, j, avg(list_sum(list_transform(p, lambda x, k: (x - (k = g + 1)::INT) * c[k][j]))) AS s "
+            f"FROM p{e}, (SELECT unnest(range(1, 17)) AS j) GROUP BY run, j"
+        )
+        views[f"m{e}"] = f"SELECT run, j, 0.9 * m + 0.1 * s AS m, 0.999 * v + 0.001 * s * s AS v FROM g{e} JOIN m{e - 1} USING (run, j)"
+        step = f"(m / (1 - pow(0.9, {e}))) / (sqrt(v / (1 - pow(0.999, {e}))) + 1e-8)"
+        views[f"w{e}"] = f"SELECT run, list(w[j] - {lr} * {step} ORDER BY j) AS w FROM m{e} JOIN w{e - 1} USING (run) GROUP BY run"
+    return views
+
+
+_CANDIDATE_ROWS = "label % 4 AS g, list_transform(range(4), lambda i: embedding[16 * i + 1:16 * i + 16]::DOUBLE[]) AS c"
+
+
+@query(
+    sql(
+        " UNION ALL ".join(
+            f"SELECT {e} AS epoch, {r9('mean_loss', 'loss')}, {r9('train_accuracy', 'fit')}, {r9('val_accuracy', 'val')} "
+            f"FROM l{e} JOIN a{e} USING (run)"
+            for e in (1, 2, 3)
+        ),
+        **_candidate_steps(f"SELECT 0 AS run, {_CANDIDATE_ROWS}, {_held_out('vec_id', 0.1)} AS held FROM embeddings", 3),
+    )
+)
 def candidate_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared-weight candidate head: loss and accuracies per epoch."""
     split = O.holdout(_candidates(spark, sf_dir), 0.1)
     model = T.get_trainer("candidate_head", epochs=3).fit(
         split.filter(F.col("split") == "train"), split.filter(F.col("split") == "val")
     )
-    return T.history_frame(spark, model)
+    return V.rounded(T.history_frame(spark, model), "mean_loss", "train_accuracy", "val_accuracy")
 
 
-@query()
+_ONE_FEATURE = (
+    "SELECT embedding[1]::DOUBLE AS x, (label >= 5)::INT AS y, " + _held_out("vec_id", 0.1) + " AS held FROM embeddings"
+)
+
+
+def _yes_no_steps(epochs: int, reg: float) -> dict[str, str]:
+    """CTEs of Newton's steps for one feature and a bias, unrolled: s<e> the sums before step e, t<e> the weights after it."""
+    views = {"one": _ONE_FEATURE, "t0": "SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b"}
+    for e in range(1, epochs + 1):
+        views[f"s{e}"] = f"""
+SELECT any_value(a) AS a, any_value(b) AS b, avg(ln(1 + exp(z)) - y * z) + {reg} / 2 * any_value(a * a) AS loss,
+  avg((p - y) * x) + {reg} * any_value(a) AS ga, avg(p - y) AS gb, avg(p * (1 - p) * x * x) + {reg} AS haa,
+  avg(p * (1 - p) * x) AS hab, avg(p * (1 - p)) AS hbb
+FROM (SELECT *, 1 / (1 + exp(-z)) AS p FROM (SELECT *, a * x + b AS z FROM one, t{e - 1} WHERE NOT held))"""
+        views[f"t{e}"] = (
+            "SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, "
+            f"b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM s{e}"
+        )
+        views[f"h{e}"] = (
+            "SELECT avg(((a * x + b >= 0) = (y = 1))::INT) FILTER (NOT held) AS fit, "
+            f"avg(((a * x + b >= 0) = (y = 1))::INT) FILTER (held) AS val FROM one, t{e}"
+        )
+    return views
+
+
+@query(
+    sql(
+        " UNION ALL ".join(
+            f"SELECT {e} AS epoch, {r9('mean_loss', 'loss')}, {r9('train_accuracy', 'fit')}, {r9('val_accuracy', 'val')} FROM s{e}, h{e}"
+            for e in (1, 2, 3)
+        ),
+        **_yes_no_steps(3, 0.01),
+    )
+)
+def yes_no_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yes/no head on the first component: loss and both accuracies of every Newton step."""
+    rows = V.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.slice("embedding", 1, 1).alias("embedding"),
+        (F.col("label") >= 5).cast("int").alias("gold_index"),
+    )
+    split = O.holdout(rows, 0.1)
+    model = T.get_trainer("yes_no_head", epochs=3, reg=0.01, tolerance=0.0).fit(
+        split.filter(F.col("split") == "train"), split.filter(F.col("split") == "val")
+    )
+    return V.rounded(T.history_frame(spark, model), "mean_loss", "train_accuracy", "val_accuracy")
+
+
+_FOLDS = "ntile(3) OVER (ORDER BY sha256('42:' || vec_id), vec_id::VARCHAR) - 1"
+
+
+@query(
+    sql(
+        f"SELECT 'choice' AS task, 'accuracy' AS metric, {r9('mean', 'avg(val)')}, {r9('std', 'stddev_pop(val)')}, "
+        "to_json(list(val ORDER BY run))::VARCHAR AS values FROM a2",
+        **_candidate_steps(
+            f"SELECT run, g, c, run = fold AS held FROM (SELECT {_CANDIDATE_ROWS}, {_FOLDS} AS fold FROM embeddings), "
+            "(SELECT unnest(range(3)) AS run)",
+            2,
+        ),
+    )
+)
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-fold cross-validation of the candidate head."""
     _, summary = T.cross_validate(
         _candidates(spark, sf_dir), lambda: T.CandidateHead(epochs=2, track=False), folds=3
     )
-    return summary.withColumn("values", F.to_json("values"))
+    return V.rounded(summary.withColumn("values", F.to_json("values")), "mean", "std")
 
 
 class HashScorer:

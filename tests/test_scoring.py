@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,78 @@ def test_candidate_head_learns(spark):
     assert T.history_frame(spark, model).count() == 12
 
 
+def fold_rows(spark, n=90):
+    """Vectors with noise in the answers, so that the weights stay finite."""
+    own = vectors(spark, n).withColumn("task", F.lit("noul")).withColumn("fold", (F.col("id").cast("int") % 3).cast("int"))
+    answer = (F.element_at("embedding", 1) + F.element_at("embedding", 2) * 0.5 > 0) != (F.col("id").cast("int") % 11 == 0)
+    return own.withColumn("gold_index", answer.cast("int"))
+
+
+@pytest.mark.parametrize("newton_size", [512, 0])
+def test_yes_no_steps_reach_the_optimum(spark, newton_size):
+    """Newton and L-BFGS against a plain descent over the same rows, for all folds together."""
+    rows = fold_rows(spark)
+    local = rows.toPandas()
+    x = np.column_stack([np.stack(local["embedding"]), np.ones(len(local))])
+    y, fold = local["gold_index"].to_numpy(), local["fold"].to_numpy()
+    models = T.YesNoHead(epochs=60, reg=0.01, newton_size=newton_size).fit_folds(rows, range(3))
+    for k, model in enumerate(models):
+        own, gold, w = x[fold != k], y[fold != k], np.zeros(3)
+        for _ in range(20_000):
+            p = 1 / (1 + np.exp(-own @ w))
+            w = w - 0.2 * (own.T @ (p - gold) / len(own) + np.append(0.01 * w[:2], 0))
+        assert [*model.weights, model.bias] == pytest.approx(w.tolist(), abs=1e-6)
+        losses = [h["mean_loss"] for h in model.history]
+        assert losses[0] == pytest.approx(np.log(2)) and all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
+        last = model.history[-1]
+        assert last["train_accuracy"] == ((own @ w >= 0) == gold).mean()
+        assert last["val_accuracy"] == ((x[fold == k] @ w >= 0) == y[fold == k]).mean()
+
+
+def test_separable_rows_and_one_answer(spark):
+    rows = vectors(spark).withColumn("gold_index", (F.element_at("embedding", 1) > 0).cast("int"))
+    model = T.YesNoHead(epochs=8).fit(rows, rows)
+    assert model.history[-1]["train_accuracy"] == model.history[-1]["val_accuracy"] == 1.0
+    model = T.YesNoHead(epochs=8).fit(rows.withColumn("gold_index", F.lit(1)))
+    assert np.isfinite(model.weights).all() and model.history[-1]["train_accuracy"] == 1.0 and model.history[-1]["val_accuracy"] is None
+    with pytest.raises(ValueError, match="no training items"):
+        T.YesNoHead().fit(rows.limit(0))
+
+
+@pytest.mark.parametrize("head", [T.YesNoHead(epochs=3, reg=0.1), T.CandidateHead(epochs=3)])
+def test_folds_together_equal_folds_apart(spark, head):
+    rows = fold_rows(spark).withColumn("candidates", F.array("embedding", F.transform("embedding", lambda v: -v * 2)))
+    together = head.fit_folds(rows, range(3))
+    for k, model in enumerate(together):
+        apart = head.fit(rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k))
+        assert model.weights == pytest.approx(apart.weights) and model.bias == pytest.approx(apart.bias)
+        for one, other in zip(model.history, apart.history, strict=True):
+            assert one == pytest.approx(other)
+
+
+def test_trainers_without_folds_still_cross_validate(spark):
+    class Plain:
+        def fit(self, train, validation=None):
+            return T.CandidateHead(epochs=2, track=False).fit(train)
+
+    df = candidate_rows(spark)
+    _, plain = T.cross_validate(df, Plain, folds=3)
+    _, together = T.cross_validate(df, lambda: T.CandidateHead(epochs=2, track=False), folds=3)
+    assert plain.collect() == together.collect()
+
+
+def test_an_epoch_of_all_folds_is_one_job(spark):
+    """Jobs grow with the epochs, not with the folds."""
+    rows = fold_rows(spark).withColumn("candidates", F.array("embedding", F.transform("embedding", lambda v: -v))).cache()
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for runs in (1, 3):
+        spark.sparkContext.setJobGroup(f"folds-{runs}", "")
+        T.CandidateHead(epochs=4, track=False).fit_folds(rows, range(runs))
+        counts.append(len(tracker.getJobIdsForGroup(f"folds-{runs}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1]
+
+
 def test_cross_validation(spark):
     df = candidate_rows(spark)
     models, summary = T.cross_validate(df, lambda: T.CandidateHead(epochs=3, lr=0.2, track=False), folds=3)
