@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavel.operators.leaderboard import leaderboard, task_scores
@@ -15,7 +18,8 @@ from gavel.plans.sql_views import r9, sql
 from gavel.session import scratch_dir
 from gavel.sources import sinks as K
 from gavel.operators.corpus import load_corpus
-from gavel.sources.readers import read_rubric_corpus, read_source
+from gavel.sources.blocks import open_output, read_csv_blocks
+from gavel.sources.readers import read_rubric_corpus, read_source, read_subject_zip
 
 _FORMATS = ("csv", "tsv", "jsonl", "parquet")
 _PRINT = "CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)"
@@ -180,3 +184,71 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = turns.filter("part = 0").count()
     items = load_corpus(read_rubric_corpus(spark, paths), "noul", "corpus", limit=first + 5)
     return items.select(F.regexp_replace("id", "^corpus:", "").alias("id"))
+
+
+@query(
+    f"SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum({_PRINT}) AS BIGINT) AS print, "
+    "CAST(sum((n_chars + 1) * doc_id) AS BIGINT) AS weighed, "
+    "CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS row_numbers, 0::BIGINT AS out_of_order, count(*) > 150 AS many_tasks FROM documents"
+)
+def csv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV files sorted by id, every row repeated as a quoted field of many lines, read in small blocks.
+
+    All rows come back whole, numbered in file order, and not by one task a file.
+    """
+    root = scratch_dir(spark, "blocks")
+    documents = V.table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    lines = F.concat_ws("\n", F.lit('"quoted", line'), "text", F.lit(""))
+    documents.select("doc_id", "text", lines.alias("lines"), (F.col("n_chars") + 1).alias("size")).write.csv(
+        root, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    rows = read_csv_blocks(spark, root, block=1 << 16)
+    number = F.col("doc_id").cast("bigint")
+    whole = F.col("lines") == lines
+    mark = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("bigint")
+    before = F.lag("doc_id").over(Window.partitionBy("part").orderBy("row_index"))
+    numbered = rows.select(
+        number.alias("doc_id"), "row_index", F.floor(F.col("row_index") / 64).alias("part"), mark.alias("mark"), whole.alias("whole"),
+        F.col("size").cast("bigint").alias("size"), F.spark_partition_id().alias("task"),
+    ).withColumn("before", before)
+    return numbered.filter("whole").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"), F.sum("mark").alias("print"),
+        F.sum(F.col("size") * F.col("doc_id")).alias("weighed"), F.sum("row_index").alias("row_numbers"),
+        F.count_if(F.col("before") >= F.col("doc_id")).alias("out_of_order"), (F.count_distinct("task") > 4).alias("many_tasks"),
+    )
+
+
+def _write_archives(rows: DataFrame, root: str, archives: int) -> None:
+    """(subject, doc_id, text) as zip archives of one CSV member a subject, each archive by one task."""
+
+    def write(frames):
+        kept = pd.concat(list(frames) or [pd.DataFrame()])
+        for archive, own in kept.groupby("archive") if len(kept) else ():
+            with open_output(f"{root}/{archive}.zip") as target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
+                for subject, part in own.groupby("subject"):
+                    bundle.writestr(f"data/test/{subject}.csv", part[["doc_id", "text"]].to_csv(index=False))
+            yield pd.DataFrame({"archive": [archive]})
+
+    dealt = rows.withColumn("archive", F.pmod(F.xxhash64("subject"), F.lit(archives))).repartition(archives, "archive")
+    dealt.mapInPandas(write, "archive LONG").write.format("noop").mode("overwrite").save()
+
+
+@query(
+    f"""
+SELECT subject, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum({_PRINT}) AS BIGINT) AS print,
+  CAST(sum(count(*)) OVER () * (sum(count(*)) OVER () - 1) / 2 AS BIGINT) AS row_numbers
+FROM (SELECT doc_id, text, coalesce(source, 'none') || '-' || (doc_id // 100) AS subject FROM documents) GROUP BY subject"""
+)
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in zip archives of many members, every member read by a task of its own, once."""
+    root = scratch_dir(spark, "archives")
+    subject = F.concat_ws("-", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100))
+    _write_archives(V.table(spark, sf_dir, "documents").select(subject.alias("subject"), "doc_id", "text"), root, 8)
+    rows = read_subject_zip(spark, root, "doc_id STRING, text STRING")
+    mark = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("bigint")
+    found = rows.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("doc_id").cast("bigint")).alias("ids"), F.sum(mark).alias("print"),
+        F.sum("row_index").alias("own"),
+    )
+    # One row a subject in this window.
+    return found.withColumn("row_numbers", F.sum("own").over(Window.partitionBy())).drop("own")

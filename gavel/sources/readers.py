@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from gavel.operators.items import ROW_INDEX
 from gavel.schemas import MANIFEST, PREDICTION_LINE, RUBRIC_ROW, RUN_METADATA, SCHEMA_VERSION, require
-from gavel.session import checked_broadcast
+from gavel.session import checked_broadcast, materialize
 from gavel.sources import arrow_stream
+from gavel.sources.blocks import TASKS, blocks_of, files_of, open_file, read_csv_blocks, splittable
 
 LEGACY_ENCODING = "cp932"
 
@@ -76,7 +77,7 @@ def with_row_index(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, sep: str = ",", quoted_newlines: bool = True) -> DataFrame:
     """Header row, all strings, quoted newlines, UTF-8 BOM dropped.
 
-    A file with quoted newlines cannot be split; turn them off for huge files.
+    Here a file with quoted newlines is one task; `read_csv_blocks` splits it.
     """
     return spark.read.csv(
         path, sep=sep, header=True, multiLine=quoted_newlines, escape='"', quote='"',
@@ -84,6 +85,13 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", quoted_newlines: bo
     )
 
 
+def read_numbered_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """CSV with `row_index`: in blocks where they can be read, else each file in one task."""
+    if splittable(spark, path):
+        return read_csv_blocks(spark, path, sep)
+    return with_row_index(read_csv(spark, path, sep))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped, a bad line fails the job."""
     reader = spark.read.option("mode", "FAILFAST").option("encoding", "UTF-8")
@@ -142,42 +150,53 @@ def read_subject_zip(
     """Zip of per-subject CSV files; `schema` lists the CSV columns (strings).
 
     Only `<folder>/*.csv` members count, in name order; `subject` is the file
-    stem. Archives are read in parallel, one per task; `row_index` counts through
-    all of them in path order.
+    stem. The archives' directories are listed first; then every member is a task
+    that reads its own range of the archive, once. `row_index` counts through all
+    members of all archives in path order. A member must fit a task's memory.
     """
     names = [part.split()[0] for part in schema.split(",")]
+    files = [name for name, _ in files_of(spark, path)]
 
-    def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path_, content in zip(frame["path"], frame["content"]):
-                at = 0
-                with zipfile.ZipFile(io.BytesIO(content)) as bundle:
-                    members = sorted(
+            for at in frame["id"]:
+                with open_file(files[at]) as file, zipfile.ZipFile(file) as bundle:
+                    found = sorted(
                         m
                         for m in bundle.namelist()
                         if f"/{folder}/" in f"/{m}"
                         and m.endswith(".csv")
                         and not m.rsplit("/", 1)[-1].startswith("._")
                     )
-                    for member in members:
-                        text = _decode(bundle.read(member), member)
-                        rows = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False)
-                        rows = rows.reindex(columns=names)
-                        rows["subject"] = member.rsplit("/", 1)[-1].removesuffix(".csv")
-                        rows[ROW_INDEX] = range(at, at + len(rows))
-                        rows["__file"] = path_
-                        at += len(rows)
-                        yield rows
+                yield pd.DataFrame({"archive": at, "member": found, "place": range(len(found))})
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = raw.mapInPandas(unzip, f"{schema}, subject STRING, {ROW_INDEX} BIGINT, __file STRING")
-    return _numbered(rows, "__file", rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows")))
+    def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, archive, member in zip(frame["id"], frame["archive"], frame["member"]):
+                with open_file(files[archive]) as file, zipfile.ZipFile(file) as bundle:
+                    text = _decode(bundle.read(member), member)
+                rows = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False).reindex(columns=names)
+                rows["subject"] = member.rsplit("/", 1)[-1].removesuffix(".csv")
+                rows[ROW_INDEX] = range(len(rows))
+                rows["__member"] = at
+                yield rows
+
+    listed = blocks_of(spark, len(files)).mapInPandas(members, "archive BIGINT, member STRING, place BIGINT")
+    # One row a member in this window.
+    listed = materialize(listed, "zip-members").selectExpr(
+        "row_number() OVER (ORDER BY archive, place) - 1L AS id", "archive", "member"
+    )
+    listed = materialize(listed, "zip-order")
+    own = blocks_of(spark, listed.count()).join(checked_broadcast(listed, TASKS), "id")
+    rows = own.mapInPandas(unzip, f"{schema}, subject STRING, {ROW_INDEX} BIGINT, __member BIGINT")
+    rows = materialize(rows, "zip-rows")
+    return _numbered(rows, "__member", rows.groupBy("__member").agg(F.count(F.lit(1)).alias("__rows")))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "arrow": read_arrow,
-    "csv": lambda spark, path: with_row_index(read_csv(spark, path)),
-    "tsv": lambda spark, path: with_row_index(read_csv(spark, path, "\t")),
+    "csv": read_numbered_csv,
+    "tsv": lambda spark, path: read_numbered_csv(spark, path, "\t"),
     "jsonl": lambda spark, path: with_row_index(read_jsonl(spark, path)),
     "parquet": read_parquet,
     "jmmlu_zip": lambda spark, path: read_subject_zip(

@@ -11,7 +11,7 @@ from gavel.schemas import PREDICTION
 SF_DIR = "/root/testdata/sf0.001"
 # These run Spark jobs while they are built.
 EAGER = {
-    "head_training", "candidate_head", "cross_validation", "head_fit_check", "candidate_fit_losses", "yes_no_epochs", "incremental_eval", "source_round_trips",
+    "head_training", "candidate_head", "cross_validation", "head_fit_check", "candidate_fit_losses", "yes_no_epochs", "csv_blocks", "zip_members", "incremental_eval", "source_round_trips",
     "mirror_round_trip", "multi_file_row_numbers", "corpus_files", "stored_predictions", "leaderboard_documents", "contrastive_scores",
 }
 
