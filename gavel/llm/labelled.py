@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.session import release
+
 THRESHOLD = 0.7  # a document with this score or more is predicted 1
 
 
@@ -33,6 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[int, int
         chosen = known.where(F.col("label") == label).orderBy(order).limit(2 * per_class)
         found = texts.join(F.broadcast(chosen), "doc_id").orderBy(order, "text").limit(per_class)
         rows += [(r.text, label) for r in found.select("text").collect()]
+    release(docs.sparkSession)  # room for the fit
     return rows
 
 

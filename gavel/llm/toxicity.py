@@ -39,6 +39,7 @@ WINDOW = 2  # words
 DIM = 8
 STEPS, RATE, DECAY = 80, 0.05, 1e-5
 KNOWN_WORDS = 300_000  # words a task remembers before it starts anew
+ROWS = 16_384  # embedding rows that are updated in one go
 PIECE = 20_000  # words whose n-grams are made in one go
 
 
@@ -80,7 +81,8 @@ class Bags:
             seen[rows] = True
         self.used = np.flatnonzero(seen)  # from here on rows are places among these
         place = np.cumsum(seen, dtype=np.int32) - 1
-        self.pieces = [(place[rows], starts) for rows, starts in self.pieces]
+        for at, (rows, starts) in enumerate(self.pieces):
+            self.pieces[at] = (place[rows], starts)
 
     def means(self, values: np.ndarray) -> np.ndarray:
         return np.concatenate([word_means(values, *piece) for piece in self.pieces])
@@ -136,6 +138,14 @@ class SubwordModel:
         return -np.expm1(clean)
 
 
+def _adam(moments: Iterable[np.ndarray], grad: np.ndarray, step: int) -> np.ndarray:
+    """The step of a parameter; its moments move along in place."""
+    first, second = moments
+    first += 0.1 * (grad - first)
+    second += 0.01 * (grad * grad - second)
+    return RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+
+
 def train(rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel | None:
     """Fit embeddings and softmax to (text, label); None without both labels."""
     labels = np.array([label for _, label in rows], bool)
@@ -149,15 +159,16 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel | None:
         sizes.append(len(words))
     sizes = np.array(sizes, np.int64)
     labels, sizes, token = labels[sizes > 0], sizes[sizes > 0], np.concatenate(tokens)
+    known = len(ids)
     bags = Bags(list(ids))
+    del ids, tokens  # the driver keeps numbers only
     starts, counts, text = windows(sizes)
-    per_token = 1.0 / np.repeat(counts, counts)
     rng = np.random.default_rng(seed)
     table = rng.standard_normal((len(bags.used), DIM), np.float32) * np.float32(0.1)
     # Rows of the softmax; only their difference matters for the log-odds.
     softmax, bias = rng.normal(0, 0.5, (2, DIM)), -np.log(np.median(np.bincount(text))) - 2.0
     weigh = np.where(labels, 0.5 / labels.sum(), 0.5 / (~labels).sum())
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, softmax, np.zeros(1))]
+    table_moments, softmax_moments, bias_moments = ((np.zeros_like(p), np.zeros_like(p)) for p in (table, softmax, np.zeros(1)))
     for step in range(1, STEPS + 1):
         direction = (softmax[1] - softmax[0]).astype(np.float32)
         values = bags.means(table @ direction)
@@ -167,18 +178,15 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> SubwordModel | None:
         # Slope of the noisy-or likelihood in a window's log-odds.
         pull = np.where(labels, -(1 - found) / np.maximum(found, 1e-9), 1.0) * weigh
         slope = pull[text] * toxic
-        per_word = np.bincount(token, np.repeat(slope, counts) * per_token, len(ids)) / bags.sizes
+        per_word = np.bincount(token, np.repeat(slope * (1.0 / counts), counts), known) / bags.sizes
         per_row = bags.sums(per_word).astype(np.float32)
         toward = per_row @ table
-        grads = (np.outer(per_row, direction) + DECAY * table, np.stack([-toward, toward]), np.array([slope.sum()]))
-        steps = []
-        for (first, second), grad in zip(moments, grads):
-            first += 0.1 * (grad - first)
-            second += 0.01 * (grad * grad - second)
-            steps.append(RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8))
-        table -= steps[0]
-        softmax -= steps[1]
-        bias -= steps[2][0]
+        for at in range(0, len(table), ROWS):
+            own = slice(at, at + ROWS)
+            grad = np.outer(per_row[own], direction) + DECAY * table[own]
+            table[own] -= _adam([m[own] for m in table_moments], grad, step)
+        softmax -= _adam(softmax_moments, np.stack([-toward, toward]), step)
+        bias -= _adam(bias_moments, np.array([slope.sum()]), step)[0]
     weight = np.zeros(BUCKETS, np.float32)
     weight[bags.used] = table @ (softmax[1] - softmax[0])
     return SubwordModel(weight, float(bias))

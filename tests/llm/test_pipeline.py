@@ -23,7 +23,7 @@ def duck():
 def test_registry():
     assert {**QUERIES, "pipeline": corpus_pipeline.run}.items() <= entry_point.queries().items()
     assert SQL.items() <= entry_point.oracle_sql().items()
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
