@@ -22,7 +22,8 @@ and one number a step reaches the driver.
 Defined cases: a null, empty or blank text has size zero, takes zero words and
 never bounds a source; a null source is a source of its own; a source without
 words has target zero; null ids are dealt like any other; rows that repeat an id
-are documents of their own; an empty table gives an empty result; extra columns
+are documents of their own, and of rows that repeat id and text as many get a copy
+more as the target asks for; an empty table gives an empty result; extra columns
 are kept by `mix` and left out by `mix_table`. Reruns agree: only sizes, ids and
 seeded hashes decide.
 """
@@ -32,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.llm.decontaminate import checked_broadcast
 from gavel.llm.rows import packed, unpacked
 from gavel.session import materialize
 
@@ -169,20 +171,46 @@ def deals(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     near = drawn.drop("more", "parts").alias("d").join(
         hit.alias("h"), F.expr("d.source <=> h.source and d.size = h.size and d.part = h.part")
     ).select("d.source", "d.size", "d.pick", "rank")
-    placed = near.withColumn("place", F.row_number().over(Window.partitionBy("source", "size").orderBy("pick")))
-    cuts = placed.where("place = rank").select("source", "size", F.col("pick").alias("cut"))
-    return _on_class(whole.drop("more", "parts"), cuts, "left")
+    # Equal picks count as one, so that very many equal rows are one row here.
+    equal = near.groupBy("source", "size", "pick", "rank").agg(F.count("*").alias("tied"))
+    below = F.sum("tied").over(Window.partitionBy("source", "size").orderBy("pick")) - F.col("tied")
+    placed = equal.withColumn("extra", F.col("rank") - below).where("extra between 1 and tied")
+    cuts = placed.select("source", "size", F.col("pick").alias("cut"), "extra", "tied")
+    return materialize(_on_class(whole.drop("more", "parts"), cuts, "left"), "mix-deals")
 
 
 def _dealt(rows: DataFrame, deal: DataFrame) -> DataFrame:
-    more = F.coalesce(F.col("pick") <= F.col("cut"), F.lit(False)).cast("long")
-    return _on_class(rows, deal).withColumn("copies", F.col("base") + more).drop("base", "cut", "pick")
+    """`rows`, which have own_source, own_size and pick, with the columns of their class and `copies`.
+
+    Of rows that tie at the cut the first `extra` get one copy more, in the order
+    of the parts that they are read in: they agree in id and text, so it does not
+    matter which. Each part counts its own.
+    """
+    same = F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    joined = rows.join(checked_broadcast(deal), same)
+    up_to_cut = F.coalesce(F.col("pick") <= F.col("cut"), F.lit(False))
+    copies = F.col("base") + F.col("more").cast("long")
+    if deal.where("extra < tied").isEmpty():
+        return joined.withColumn("more", up_to_cut).withColumn("copies", copies)
+    split = F.coalesce((F.col("pick") == F.col("cut")) & (F.col("extra") < F.col("tied")), F.lit(False))
+    ties = joined.where(split).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ties = materialize(ties, "mix-ties")
+    parts = ties.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("n")
+    parts = materialize(parts.withColumn("before", before), "mix-parts").alias("p")
+    found = ties.alias("t").join(checked_broadcast(parts), F.expr("t.source <=> p.source and t.size = p.size and t.part = p.part"))
+    number = F.row_number().over(Window.partitionBy("t.source", "t.size", "t.part").orderBy("t.at")) + F.col("before")
+    found = found.withColumn("more", number <= F.col("extra")).select(*[f"t.{c}" for c in joined.columns], "more")
+    return joined.where(~split).withColumn("more", up_to_cut).unionByName(found).withColumn("copies", copies)
 
 
 def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every document."""
     rows = materialize(sizes(docs), "mix-sizes")
-    return _dealt(rows, deals(rows, weights, cap)).withColumn("taken", F.col("copies") * F.col("size"))
+    own = rows.select("doc_id", F.col("source").alias("own_source"), F.col("size").alias("own_size"), "pick")
+    return _dealt(own, deals(rows, weights, cap)).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -192,9 +220,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     """
     docs = docs.drop("copy")
     rows = materialize(sizes(docs), "mix-sizes")
-    deal = deals(rows, weights, cap).select("source", "size", "base", "cut")
     own = packed(docs, F.col("source").cast("string").alias("own_source"), word_count("text").alias("own_size"), _pick().alias("pick"))
-    same = F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
-    more = F.coalesce(F.col("pick") <= F.col("cut"), F.lit(False)).cast("int")
-    found = own.join(deal, same).withColumn("copies", F.col("base").cast("int") + more).where("copies > 0")
-    return unpacked(found, F.explode(F.expr("sequence(1, copies)")).alias("copy"))
+    found = _dealt(own, deals(rows, weights, cap)).where("copies > 0")
+    return unpacked(found, F.explode(F.expr("sequence(1, int(copies))")).alias("copy"))

@@ -86,3 +86,17 @@ def test_odd_rows(docs):
     blank = docs([(1, None, "a"), (2, "", None)])
     assert [r.taken for r in M.mix_table(blank).collect()] == [0, 0]
     assert M.mix(table.withColumn("copy", table.doc_id)).columns[-1] == "copy"
+
+
+@pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None, lambda i: i % 3])
+def test_repeated_rows_are_dealt_by_count(docs, ids):
+    """Rows that agree in id and text tie in the draw; the target is met all the same."""
+    rows = [(ids(i), "w " * 10, "a") for i in range(100)] + [(1000 + i, "x " * 10, "b") for i in range(75)]
+    table = docs(rows).repartition(5)
+    got = M.mix_table(table).collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10 and len({r.copies for r in own}) <= 2
+    mixed = M.mix(table).collect()
+    assert len(mixed) == sum(r.copies for r in got)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, M.mix_table(table).collect()), key=repr)
