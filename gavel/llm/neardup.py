@@ -11,16 +11,18 @@ dropped or often repeated words need not do.
 Equal texts are one from the start. A key's members are shuffled to one bucket,
 large keys in blocks of bounded size; a bucket proposes, for every member, the
 centre of its cluster and a member that is nearer than that, never all pairs.
-Each text's most promising pairs are verified first, then every other pair that
-could still join two components.
+In a few rounds each text's most promising pairs that still lead from one component
+to another are verified; the others need not be, as the join below finds what they
+could add.
 
 Those candidates are a first pass only, as texts with the same words may be no
 near-duplicates and near-duplicates may repeat some words more than others. An exact
 join takes the rest: a text's shingles are ordered, the frequent ones last, and two
 texts at THRESHOLD share one of the first n - ceil(THRESHOLD * n) + 1. Pairs of
 different components that share such a shingle, and whose sizes and places allow the
-similarity, are held against each other, neighbours first, then all that still lead
-from one component to another. Links make components, and of each component the row
+similarity, and whose bitmaps differ in no more places than their shingles may, are
+held against each other, neighbours first, then all that still lead from one component
+to another. Links make components, and of each component the row
 with the smallest id stays (a null id counts as the largest).
 
 Defined cases: null texts are equal to each other and to no other text; texts of
@@ -43,7 +45,7 @@ from gavel.llm.components import connected_components
 from gavel.llm.decontaminate import checked_broadcast
 from gavel.llm.rows import packed, text_of, unpacked
 from gavel.llm.simhash import fuzzy_keys
-from gavel.session import materialize
+from gavel.session import materialize, release
 
 WIDTH, THRESHOLD = 5, 0.8
 TABLES = 4  # independent fingerprints
@@ -53,7 +55,9 @@ BROADCAST_ROWS = 300_000  # of about 100 bytes
 KEY_ROWS = 1_000_000  # of 16 bytes
 MARKS = b".,;:!?\"'()"
 SAMPLE, FREQUENT = 16, 200_000  # one text of so many is sampled for frequent shingles, of which so many are told apart
+FIRST_ROUNDS = 2  # of verifying candidates; what they leave is found by the join all the same
 LEAST = 3  # sampled texts with a frequent shingle; these numbers set the order of shingles only, not what is found
+BITMAP = 512  # bits of a text's parity bitmap
 SLACK = 1e-6  # for rounding in bounds, always towards more pairs
 
 
@@ -188,7 +192,10 @@ def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> D
         first.alias("a"), second.alias("b"), apart.cast("long").alias("bits"), F.lit(1).cast("long").alias("size")
     )
     more = buckets.where(F.size("members") > 2).mapInArrow(proposed, "a long, b long, bits long, size long")
-    return two.union(more).where("a < b").groupBy("a", "b").agg(F.min("bits").alias("bits"), F.max("size").alias("size"))
+    pairs = two.union(more).where("a < b").groupBy("a", "b").agg(F.min("bits").alias("bits"), F.max("size").alias("size"))
+    pairs = materialize(pairs, "neardup-pairs")
+    release(texts.sparkSession, buckets)
+    return pairs
 
 
 def _same_text() -> Column:
@@ -209,6 +216,13 @@ def _promising(pairs: DataFrame) -> DataFrame:
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _across(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """Pairs that lead from one component to another."""
+    part = lambda end: stars.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    rooted = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    return rooted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+
+
 def shingle_hashes(text: str) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, in order."""
     digest = xxhash.xxh3_64_intdigest
@@ -225,8 +239,18 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, threshol
     return hashes[np.lexsort((hashes, rank))[: size - math.ceil(threshold * size - SLACK) + 1]]
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """For each of BITMAP places whether an odd number of shingles falls there.
+
+    A shingle that only one of two texts has changes one place, so two bitmaps
+    differ in no more places than the texts in shingles.
+    """
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def prefixes(whole: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """key, rid, size (shingles), place (of the key) and low (smallest hash) of the first shingles of every text."""
+    """key, rid, size (shingles), place (of the key) and low (smallest hash) of the first shingles of every text, with its bitmap at the first."""
 
     def sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -235,8 +259,8 @@ def prefixes(whole: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     some = whole.where(F.expr(f"pmod(xxhash64(rid), {SAMPLE}) = 0")).select("text").mapInArrow(sampled, "key long")
     often = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(FREQUENT)
-    table = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
-    frequent, ranks = table[:, 0].copy().view(np.uint64), table[:, 1].copy()
+    table = often.toArrow()  # two numbers a shingle, FREQUENT of them at most
+    frequent, ranks = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = frequent.argsort()
     frequent, ranks = frequent[order], ranks[order]
 
@@ -250,9 +274,10 @@ def prefixes(whole: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     keys.view(np.int64), np.full(n, rid), np.full(n, len(hashes), np.int32), np.arange(n, dtype=np.int32),
                     np.full(n, hashes[:1].view(np.int64)[0]),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "rid", "size", "place", "low"])
+                marks = pa.array([bitmap(hashes), *[None] * (n - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["key", "rid", "size", "place", "low", "marks"])
 
-    return whole.select("rid", "text").mapInArrow(rows, "key long, rid long, size int, place int, low long")
+    return whole.select("rid", "text").mapInArrow(rows, "key long, rid long, size int, place int, low long, marks binary")
 
 
 def possible(members: dict[str, np.ndarray], every: bool, same_block: bool, threshold: float = THRESHOLD) -> np.ndarray:
@@ -260,10 +285,12 @@ def possible(members: dict[str, np.ndarray], every: bool, same_block: bool, thre
 
     Members share a shingle. If it is the first that two share, they share at most
     what follows it in either; if it is not, they meet in the bucket of the first.
+    At `threshold` two texts differ in few shingles, and their bitmaps in no more places.
     Without `every`, only members that follow each other by `low` are paired.
     """
     order = np.lexsort((members["rid"], members["low"]))
     rid, root, size, place, own = (members[name][order] for name in ("rid", "root", "size", "place", "own"))
+    marks = members["marks"][order]
     size = size.astype(np.int64)
     behind = size - place
     found = []
@@ -274,6 +301,9 @@ def possible(members: dict[str, np.ndarray], every: bool, same_block: bool, thre
         fits &= (1 + threshold) * np.minimum(behind[to], behind[at]) >= threshold * both - SLACK
         if not same_block and every:
             fits &= own[to] != own[at]
+        if fits.any():
+            differ = np.bitwise_count(marks[to][fits] ^ marks[at]).sum(axis=1, dtype=np.int64)
+            fits[fits] = (1 + threshold) * differ <= (1 - threshold) * both[fits] + SLACK
         others = rid[to][fits]
         found.append(np.stack([np.minimum(others, rid[at]), np.maximum(others, rid[at])], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -289,13 +319,15 @@ def shared(keys: DataFrame, stars: DataFrame) -> DataFrame:
 
 def possible_pairs(rows: DataFrame, every: bool, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b) that `possible` finds under any key; large keys meet in blocks."""
-    names = ["rid", "root", "size", "place", "low", "own"]
+    names = ["rid", "root", "size", "place", "low", "own", "marks"]
 
     def paired(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             members = part.column("members")
             ends, flat = members.offsets.to_numpy(), members.values
-            columns = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in names}
+            columns = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in names[:-1]}
+            marks = b"".join(flat.field("marks").to_pylist())
+            columns["marks"] = np.frombuffer(marks, np.uint64).reshape(-1, BITMAP // 64)
             for i, j, same in zip(ends[:-1], ends[1:], part.column("same").to_pylist()):
                 pairs = possible({name: c[i:j] for name, c in columns.items()}, every, same, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(2)], ["a", "b"])
@@ -314,10 +346,9 @@ def possible_pairs(rows: DataFrame, every: bool, threshold: float = THRESHOLD, b
 def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) links of texts at least `threshold` alike that connect the same texts as all such pairs would.
 
-    A round holds the most promising candidates of every text against each other;
-    of the others only those that lead from one component of these links to another
-    can add anything, and a second round takes all of them. Two rounds of the exact
-    join follow, of neighbours and then of all pairs that still lead across.
+    First rounds hold the most promising candidates of every text against each
+    other. Two rounds of the exact join follow, of neighbours and then of all pairs
+    that still lead from one component to another; they miss nothing.
     """
 
     def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,35 +361,51 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
         rids = some.select("a").union(some.select("b")).distinct().withColumnRenamed("a", "rid")
         used = materialize(texts.join(rids, "rid").select("rid", "digest", "doc_id"), "neardup-used")
         found = read.join(checked_broadcast(used, BROADCAST_ROWS), _same_text()).select("rid", "text")
-        return materialize(found, "neardup-whole")
+        found = materialize(found, "neardup-whole")
+        release(spark, used)
+        return found
 
-    def verified(some: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    def verified(some: DataFrame, whole: DataFrame) -> DataFrame:
         ends = some.select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
-        both = ends.join(whole_of(some) if whole is None else whole, "rid").groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
-        return materialize(both.mapInArrow(alike, "a long, b long"), "neardup-links")
+        both = ends.join(whole, "rid").groupBy("a", "b").agg(F.collect_set("text").alias("texts"))
+        found = materialize(both.mapInArrow(alike, "a long, b long"), "neardup-links")
+        release(spark)  # the shuffles of texts
+        return found
 
+    spark = docs.sparkSession
     read = docs.where("text is not null").select(*_own(), text_of())
     repeats = not texts.where("same > 1").isEmpty()
-    pairs = materialize(candidates(texts), "neardup-pairs")
+    pairs = candidates(texts)
     whole = whole_of(pairs)
-    chosen = materialize(_promising(pairs), "neardup-chosen")
-    links = verified(chosen, whole)
-    stars = materialize(connected_components(links), "neardup-stars")
-    part = lambda end: stars.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    rest = pairs.select("a", "b").join(part("a"), "a", "left").join(part("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    links = links.union(verified(rest.join(chosen, ["a", "b"], "left_anti"), whole))
+    links, rest, used = None, pairs, [pairs, whole]
+    for _ in range(FIRST_ROUNDS):
+        chosen = materialize(_promising(rest), "neardup-chosen")
+        found = verified(chosen, whole)
+        links = found if links is None else links.union(found)
+        stars = materialize(connected_components(links), "neardup-stars")
+        rest = _across(rest.join(chosen, ["a", "b"], "left_anti"), stars)
+        rest = materialize(rest.select(*pairs.columns), "neardup-rest")
+        used += [chosen, stars, rest]
+    release(spark, *used)
 
     every_text = checked_broadcast(texts.where("digest <> unhex('00')").select("rid", "digest", "doc_id"), BROADCAST_ROWS)
     found = read.join(every_text, _same_text()).select("rid", "text")
     keys = prefixes(found, threshold)
     keys = materialize(keys.distinct() if repeats else keys, "neardup-prefixes")
+    marks = materialize(keys.where("place = 0").select("rid", "marks"), "neardup-marks")
+    columns = [c for c in keys.columns if c != "marks"]
     for every in (False, True):
         stars = materialize(connected_components(links), "neardup-stars")
-        keys = materialize(shared(keys, stars).select(*keys.columns, "root", "n"), "neardup-keys")
-        more = materialize(possible_pairs(keys, every, threshold), "neardup-possible")
-        links = links.union(verified(more))
-        keys = keys.drop("root", "n")
+        across = materialize(shared(keys.select(*columns), stars).select(*columns, "root", "n"), "neardup-keys")
+        release(spark, keys, stars)
+        marked = across.join(checked_broadcast(marks, BROADCAST_ROWS), "rid")
+        more = materialize(possible_pairs(marked, every, threshold), "neardup-possible")
+        whole = whole_of(more)
+        links = links.union(verified(more, whole))
+        release(spark, more, whole)
+        keys = across.drop("root", "n")
+        keys._scratch_path = across._scratch_path
+    release(spark, keys, marks)
     return links
 
 
@@ -369,6 +416,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     named = texts.join(stars, texts.rid == stars.node, "left").select(F.coalesce("root", "rid").alias("root"), "none", "doc_id", "digest", "same")
     stays = named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "digest", "same")).alias("keep"))
     stays = materialize(stays.select("keep.digest", "keep.doc_id", "keep.same"), "neardup-stays")
+    release(docs.sparkSession, texts)
     kept = packed(docs, *_own()).join(checked_broadcast(stays, BROADCAST_ROWS), _same_text())
     once = unpacked(kept.where("same = 1"))
     if stays.where("same > 1").isEmpty():

@@ -186,3 +186,24 @@ def test_proposals_are_few_and_connect(spark):
     pairs = N.propose(np.arange(3000), fps)
     assert len(pairs) < 3 * 3000
     assert len(set(roots(range(3000), [p[:2] for p in pairs]).values())) == 1
+
+
+def test_bitmaps_never_hide_a_near_duplicate():
+    """Bitmaps differ in no more places than texts in shingles, and pairs at the threshold always pass."""
+    rng = random.Random(9)
+    for case in range(200):
+        words = [f"w{rng.randrange(60 if case % 2 else 5000)}" for _ in range(rng.randrange(1, 400))]
+        other = list(words)
+        for _ in range(rng.randrange(0, 12)):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10)}"
+        a, b = " ".join(words), " ".join(other)
+        first, second = (N.shingle_hashes(t) for t in (a, b))
+        marks = np.stack([np.frombuffer(N.bitmap(h), np.uint64) for h in (first, second)])
+        apart = int(np.bitwise_count(marks[0] ^ marks[1]).sum())
+        assert apart <= len(np.setxor1d(first, second))
+        both = {
+            "rid": np.array([1, 2]), "root": np.array([1, 2]), "size": np.array([len(first), len(second)], np.int32),
+            "place": np.zeros(2, np.int32), "low": np.array([5, 5]), "own": np.zeros(2, np.int64), "marks": marks,
+        }
+        if N.similarity(a, b) >= 0.8:
+            assert N.possible(both, True, True).tolist() == [[1, 2]]
