@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import time
+from random import Random
 
 import pytest
 
@@ -17,6 +19,7 @@ PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p {{}}</style><scri
 <table><tr><td>a<td>b</tr></table><form><input><p>Search</p></form><aside>Also</aside><!-- <p>no</p> -->
 <section class="comments">{LONG}</section><p>End</article><footer><p>Foot</p></footer></body></html>"""
 WORDS = ("word " * 40).strip()
+LINKS = "<div><a>m</a></div>" * 6
 
 
 def test_article():
@@ -58,6 +61,68 @@ def test_marked_elements_around_the_page(html, text):
     assert H.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='menu-layout'>{LONG}</div><p>ten letter</p>", WORDS + "\nten letter"),
+        (f"<div class='post-header'><h1>T</h1></div><div>{LONG}{LONG}</div>", f"T\n{WORDS}\n{WORDS}"),
+        (f"<main>{LONG}<p class='social-history'>kept</p><p class='social'>gone</p></main>", WORDS + "\nkept"),
+        (f"<main>{LONG}<div class='cookieNotice'>a</div><div id='ad-1'>b</div><div class='x related_posts'>c</div></main>", WORDS),
+        (f"<div class='site-header'><p>Site</p></div><div>{LONG}</div>", WORDS),
+        (f"<body><div><h1>T</h1></div>{LINKS}<div>{LONG * 4}</div>{LINKS}<p>Closing.</p><p><a>one link</a></p><div>other</div></body>", "\n".join(["T", *[WORDS] * 4, "Closing."])),
+    ],
+)
+def test_names_of_classes(html, text):
+    assert H.main_text(html) == text
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<b>x", "<div class='ad'>x", "<main>x", "<div class='ad'><main>x", "<article>x", "<li>x", "<ul><li>x", "<p>x<b>", "<table><td>x", "</b><i>x", "<a><h1>x"])
+def test_deep_pages_take_linear_time(piece):
+    page, started = piece * 50_000, time.process_time()
+    kept = 1 if "ad" in piece else 50_000  # of adverts in adverts, what the fewest are around
+    assert H.main_text(page + "</nothing>").count("x") == kept
+    assert time.process_time() - started < 10
+
+
+def made_page(random: Random) -> tuple[str, str]:
+    """A page of random parts around and inside an article, and the article's text."""
+    letters = ["plain", "caf&eacute;|café", "a&amp;b|a&b", "<b>bold</b>|bold", "<a href='#'>link</a>|link", "x<i>y</i>z|xyz", "&lt;tag&gt;|<tag>"]
+
+    def words(n: int) -> tuple[str, str]:
+        chosen = [(w.split("|")[0], w.split("|")[-1]) for w in random.choices(letters, weights=[12, 1, 1, 1, 1, 1, 1], k=n)]
+        return random.choice((" ", "\n", " \t ")).join(c[0] for c in chosen), " ".join(c[1] for c in chosen)
+
+    def noise() -> str:
+        text = words(random.choice((1, 5, 60)))[0]
+        return random.choice((
+            "<nav><ul><li>{}<li>{}</ul></nav>", "<aside><p>{}</p></aside>", "<div class='ad'><p>{}</p></div>", "<footer>{}</footer>",
+            "<div class='cookie-notice'>{}</div>", "<form><label>{}</label><input></form>", "<script>if (a < b) {{ '<p>' }}</script>",
+            "<style>p {{}}</style>", "<!-- <p>{}</p> -->", "<section id='comments'><article><p>{}</p></article></section>", "<div role='navigation'>{}</div>",
+        )).format(text, text)
+
+    parts, wanted = [], []
+    for at in range(random.randint(1, 8)):
+        html, text = words(random.choice((1, 4, 30, 120)))
+        shape = random.choice(("<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>"))
+        parts.append(shape.format(html))
+        wanted.append(text)
+        if random.random() < 0.4:
+            parts.append(noise())
+    frame = random.choice((
+        "<article>{}</article>", "<main>{}</main>", "<main><article class='post'>{}</article></main>", "<div class='header-fixed'><article>{}</article></div>",
+        "<div id='sidebar-left'><main>{}</main></div>", "<div class='site'><div><article>{}</article></div></div>",
+    ))
+    before, after = ("".join(noise() for _ in range(random.randint(0, 3))) for _ in range(2))
+    return f"<html><head><title>t</title></head><body>{before}{frame.format(''.join(parts))}{after}</body></html>", "\n".join(wanted)
+
+
+def test_made_pages():
+    random = Random(7)
+    for _ in range(500):
+        page, text = made_page(random)
+        assert H.main_text(page) == text, page
+
+
 def test_chunks_do_not_matter(monkeypatch):
     whole = H.main_text(PAGE)
     monkeypatch.setattr(H, "CHUNK", 7)
