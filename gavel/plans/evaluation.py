@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -59,6 +60,10 @@ class Evaluation:
     board: DataFrame
     skipped: list[dict[str, str]]
     weights: Mapping[str, float]
+    config: Mapping[str, Any]
+    datasets: list[dict]
+    models: list[str]
+    elapsed_seconds: float
 
 
 def check_version(config: Mapping[str, Any]) -> None:
@@ -184,7 +189,9 @@ def evaluate(
         pending = _pending(items.filter(F.col("task").isin(meant)), done, model)
         return validate_predictions(scorers[model](pending)).withColumn("model", F.lit(model))
 
+    started = time.monotonic()
     predictions = materialize(reduce(DataFrame.unionByName, map(scored, models)), "predictions")
+    elapsed = time.monotonic() - started
     metrics = summarize(predictions)
     if done is not None:
         metrics = done.select(metrics.columns).unionByName(metrics)
@@ -192,7 +199,8 @@ def evaluate(
     tasks = task_scores(scores)
     weights = config.get("tasks", {}).get("summary", {}).get("weights", {})
     return Evaluation(
-        items, predictions, metrics, scores, tasks, leaderboard(tasks, weights), skipped, weights
+        items, predictions, metrics, scores, tasks, leaderboard(tasks, weights), skipped, weights,
+        config, datasets, models, elapsed,
     )
 
 
@@ -217,11 +225,55 @@ def run_metadata(
     )
 
 
+def saved_metadata(run: Evaluation, run_id: str) -> DataFrame:
+    """Metadata of every (model, dataset) a run is meant for, in the shape of a run directory."""
+    listed = {m["id"]: m for m in run.config["models"]}
+    rows = [
+        run_metadata(
+            run.items.sparkSession, run_id, [d],
+            [listed[m] for m in task_models(run.config, d["task"], run.models)],
+            int(run.config["runtime"].get("batch_size", 1)),
+        )
+        for d in run.datasets
+    ]
+    return reduce(DataFrame.unionByName, rows).select(
+        "schema_version", "run_id", "created_at", "dataset", "task_type", "dataset_revision",
+        F.lit(int(run.config["runtime"].get("seed", 42))).alias("seed"), "batch_size",
+        F.struct("scorer", "model").alias("scorer"),
+    )
+
+
+def run_ledger(run: Evaluation, run_id: str, metrics: DataFrame) -> DataFrame:
+    """The run's status row: what was read, skipped with its reason, left out, scored and how long it took.
+
+    `elapsed_seconds` is the wall time of the pass that scored the items. The
+    configuration is kept as text, so that a ledger of many runs has one schema.
+    """
+    spark = run.items.sparkSession
+    skipped = local_table(
+        spark, [(run_id, s["dataset"], s["reason"]) for s in run.skipped], "run STRING, dataset STRING, reason STRING"
+    )
+    disabled = sorted({m["id"] for m in run.config["models"]} - set(run.models))
+    config = json.dumps(run.config, ensure_ascii=False, sort_keys=True, default=str)
+    row = (run_id, bool(run.models), len(run.datasets), run.models, disabled, run.elapsed_seconds, config)
+    runs = local_table(
+        spark, [row],
+        "run STRING, enabled BOOLEAN, datasets INT, models ARRAY<STRING>, disabled_models ARRAY<STRING>, "
+        "elapsed_seconds DOUBLE, config STRING",
+    )
+    counts = metrics.agg(F.lit(run_id).alias("run"), F.coalesce(F.sum("total"), F.lit(0)).alias("predictions"))
+    return sinks.run_status(runs.join(counts, "run", "left"), skipped)
+
+
 def save(run: Evaluation, root: str, run_id: str, phase: str = "production") -> None:
-    """Store a run: predictions once, then metrics and leaderboard from the stored rows."""
+    """Store a run: predictions once, then metadata, metrics, leaderboard and status from the stored rows.
+
+    `read_saved` reads predictions and metadata back as records.
+    """
     spark = run.items.sparkSession
     predictions = run.predictions.withColumn("run", F.lit(run_id))
     sinks.write_predictions(predictions, f"{root}/predictions")
+    sinks.write_run_metadata(saved_metadata(run, run_id), f"{root}/metadata")
     stored = spark.read.schema(predictions.schema).parquet(f"{root}/predictions")
     metrics = summarize(stored)
     sinks.write_summaries(metrics, f"{root}/metrics")
@@ -231,8 +283,4 @@ def save(run: Evaluation, root: str, run_id: str, phase: str = "production") ->
     tasks = task_scores(scores)
     documents = sinks.leaderboard_json(leaderboard(tasks, run.weights, order=False), tasks, scores, phase)
     sinks.write_leaderboard(documents, f"{root}/leaderboard")
-    skipped = local_table(
-        spark, [(run_id, s["dataset"]) for s in run.skipped], "run STRING, dataset STRING"
-    )
-    runs = local_table(spark, [(run_id, True, 1)], "run STRING, enabled BOOLEAN, datasets INT")
-    sinks.append_status(sinks.run_status(runs, skipped), f"{root}/status")
+    sinks.append_status(run_ledger(run, run_id, board_metrics), f"{root}/status")

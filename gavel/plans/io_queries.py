@@ -18,8 +18,10 @@ from gavel.plans.sql_views import r9, sql
 from gavel.session import scratch_dir
 from gavel.sources import sinks as K
 from gavel.operators.corpus import load_corpus
+from gavel.operators.scoring import mock_scores
+from gavel.plans.evaluation import evaluate, save
 from gavel.sources.blocks import open_output, read_csv_blocks
-from gavel.sources.readers import read_rubric_corpus, read_source, read_subject_zip
+from gavel.sources.readers import read_rubric_corpus, read_saved, read_source, read_subject_zip
 
 _FORMATS = ("csv", "tsv", "jsonl", "parquet")
 _PRINT = "CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)"
@@ -252,3 +254,54 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # One row a subject in this window.
     return found.withColumn("row_numbers", F.sum("own").over(Window.partitionBy())).drop("own")
+
+
+_SAVED = """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_chars FROM documents WHERE lang <> 'es' OR lang IS NULL),
+runs AS (SELECT * FROM (VALUES ('001/m0/long_docs', 'mock:m0'), ('001/m1/long_docs', 'unknown:m1')) AS t(run_id, system_id))
+SELECT run_id, system_id, 'long_docs' AS dataset_id, 'noul' AS primitive, 'r7' AS dataset_revision, count(*) AS records,
+  count(DISTINCT id) AS ids, count(*) FILTER (WHERE n_chars >= 1000) AS positives, count(*) AS scored,
+  'partial' AS status, 2 * count(*) AS predictions, 'absent: source_not_found' AS skipped, 'off' AS disabled
+FROM d, runs GROUP BY run_id, system_id"""
+
+
+@query(_SAVED)
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all documents is saved, then read back as records with its ledger row."""
+    config = {
+        "version": 1,
+        "runtime": {"datasets_root": sf_dir},
+        "models": [{"id": "m0", "scorer": "mock"}, {"id": "m1"}, {"id": "off", "enabled": False}],
+        "datasets": [
+            {
+                "id": "long_docs",
+                "task": "noul",
+                "source": {
+                    "path": "documents.parquet", "format": "parquet", "adapter": "noul", "revision": "r7",
+                    "gold_field": "n_chars", "positive_min": 1000, "item_id_field": "doc_id",
+                    "question_template": "{text}", "where_not": {"lang": "es"},
+                },
+            },
+            {"id": "absent", "source": {"path": "absent.parquet", "format": "parquet"}},
+        ],
+        "tasks": {"noul": {"datasets": ["long_docs"]}, "choice": {"datasets": ["absent"]}},
+    }
+    usage = "struct<usage: struct<input_tokens: bigint, output_tokens: bigint>>"
+
+    def scorer(model: str):
+        return lambda items: mock_scores(items, F.lit(model)).withColumns(
+            {"latency_ms": F.lit(1.0), "score_metadata": F.lit(None).cast(usage)}
+        )
+
+    root = scratch_dir(spark, "saved")
+    save(evaluate(spark, config, {m: scorer(m) for m in ("m0", "m1")}), root, "001")
+    totals = read_saved(spark, root).groupBy("run_id", "system_id", "dataset_id", "primitive", "dataset_revision").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("sample_id").alias("ids"),
+        F.count_if(F.col("gold_index") == 1).alias("positives"), F.count_if(F.size("scores") == 2).alias("scored"),
+    )
+    ledger = spark.read.json(f"{root}/status").filter(F.col("elapsed_seconds") > 0).select(
+        F.col("run").alias("__run"), "status", "predictions",
+        F.concat_ws(", ", F.transform("reasons", lambda r: F.concat_ws(": ", r["dataset"], r["reason"]))).alias("skipped"),
+        F.concat_ws(", ", "disabled_models").alias("disabled"),
+    )
+    return totals.join(ledger, F.substring_index("run_id", "/", 1) == F.col("__run")).drop("__run")

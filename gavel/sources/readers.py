@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavel.operators.items import ROW_INDEX
 from gavel.schemas import MANIFEST, PREDICTION_LINE, RUBRIC_ROW, RUN_METADATA, SCHEMA_VERSION, require
@@ -229,6 +230,29 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_saved(spark: SparkSession, root: str) -> DataFrame:
+    """Records of runs that `save` stored under `root`: Parquet predictions and metadata lines.
+
+    Partition values are read as text, so that a run called `001` keeps its name.
+    """
+    found = spark.read.parquet(f"{root}/predictions").schema
+    by = ("run", "model", "dataset")
+    kept = T.StructType([T.StructField(f.name, T.StringType()) if f.name in by else f for f in found])
+    stored = spark.read.schema(kept).parquet(f"{root}/predictions")
+    line = T.StructType.fromDDL(PREDICTION_LINE)
+    names = {"item_metadata": "metadata"}
+    columns = {f.name: next((c for c in (f.name, names.get(f.name)) if c in stored.columns), None) for f in line}
+    predictions = stored.select(
+        *[
+            (F.lit(None) if columns[f.name] is None else F.col(columns[f.name])).cast(f.dataType).alias(f.name)
+            for f in line
+        ],
+        F.concat_ws("/", *by).alias("run_dir"),
+    )
+    runs = spark.read.schema(RUN_METADATA).json(f"{root}/metadata").withColumn("run_dir", F.col("run_id"))
+    return records(predictions, runs)
+
+
 def _run_dir(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 

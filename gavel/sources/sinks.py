@@ -123,9 +123,10 @@ def append_status(df: DataFrame, path: str) -> None:
 
 
 def run_status(runs: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Status per run: disabled, no_datasets, partial or complete."""
+    """Status per run: disabled, no_datasets, partial or complete; with the `reason` of what was skipped, if given."""
+    reasons = [F.array_sort(F.collect_set(F.struct("dataset", "reason"))).alias("reasons")] if "reason" in skipped.columns else []
     counts = skipped.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("dataset")).alias("skipped")
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("dataset")).alias("skipped"), *reasons
     )
     status: Column = (
         F.when(~F.col("enabled"), "disabled")

@@ -7,6 +7,7 @@ from gavel.operators.scoring import mock_scores
 from gavel.plans import evaluation as E
 from gavel.plans.scoring_queries import hash_encoder
 from gavel.plans.training import run_training
+from gavel.sources.readers import read_saved
 
 USAGE = "struct<usage: struct<input_tokens: bigint, output_tokens: bigint>>"
 
@@ -64,11 +65,33 @@ def test_run_and_save(spark, root, tmp_path):
     assert {d["id"]: d["overall_score"] for d in documents} == pytest.approx(
         {m: r["overall"] for m, r in board.items()}
     )
-    assert spark.read.json(f"{out}/status").first()["status"] == "partial"
+    status = spark.read.json(f"{out}/status").first()
+    assert status["status"] == "partial" and status["reasons"] == [("gone", "source_not_found")]
+    assert (status["predictions"], status["datasets"], status["models"], status["disabled_models"]) == (40, 2, ["a", "b"], ["off"])
+    assert status["elapsed_seconds"] > 0 and json.loads(status["config"]) == config(root)
+    back = read_saved(spark, out)
+    assert {(r["run_id"], r["system_id"], r["n"]) for r in back.groupBy("run_id", "system_id").agg(F.count("sample_id").alias("n")).collect()} == {
+        (f"r1/{m}/{d}", f"unknown:{m}", n) for m in "ab" for d, n in (("yes", 8), ("lvl", 12))
+    }
+    fields = ("dataset", "id", "model", "gold_index", "predicted_index", "scores", "latency_ms")
+    stored = back.withColumnsRenamed({"dataset_id": "dataset", "sample_id": "id", "model_id": "model"})
+    assert sorted(map(tuple, stored.select(*fields).collect())) == sorted(map(tuple, run.predictions.select(*fields).collect()))
     with pytest.raises(FileExistsError):
         E.save(run, out, "r1")
 
 
+def test_saved_names_stay_text(spark, root, tmp_path):
+    """A run and a model whose names look like numbers; a task meant for one model; a dataset nobody scores."""
+    cfg = config(root)
+    cfg["models"] = [{"id": "007", "scorer": "mock"}, {"id": "b"}]
+    cfg["tasks"]["score"]["model_ids"] = ["007"]
+    E.save(E.evaluate(spark, cfg, {"007": scorer("a"), "b": scorer("b")}), f"{tmp_path}/n", "01")
+    rows = read_saved(spark, f"{tmp_path}/n").select("run_id", "method_id", "model_id", "primitive").distinct().collect()
+    assert sorted(map(tuple, rows)) == [
+        ("01/007/lvl", "mock", "007", "score"), ("01/007/yes", "mock", "007", "noul"), ("01/b/yes", "unknown", "b", "noul")
+    ]
+
+
 def test_smoke_selection_and_gates(spark, root):
     run = E.evaluate(spark, config(root, selected_model_ids=["b"]), SCORERS, phase="smoke")
     assert {(r["model"], r["dataset"]): r["total"] for r in run.metrics.collect()} == {("b", "yes"): 3, ("b", "lvl"): 5}
