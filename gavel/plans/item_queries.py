@@ -452,6 +452,19 @@ def item_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+def strict_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items, every row checked although only the key is read."""
+    rows = V.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_orderpriority").alias("question"),
+        F.array(F.lit("even"), F.lit("odd")).alias("options"),
+        (F.col("o_orderkey") % 2).cast("int").alias("gold_index"),
+    )
+    checked = validate_items(rows, "strict", MAX_OPTIONS)
+    return checked.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").cast("bigint").alias("keys"))
+
+
 @query(
     """
 SELECT coalesce(CASE WHEN l_linenumber = 1 THEN 'scores must not be empty'

@@ -101,14 +101,19 @@ def prediction_checks() -> list[Check]:
 
 
 def _checked(df: DataFrame, checks: list[Check], mode: str) -> DataFrame:
-    """`fail`: a broken value raises when it is read. `quarantine`: adds `problem`.
+    """`fail`: a broken value raises when it is read. `quarantine`: adds `problem`. `strict`: a broken row raises always.
 
-    The checks ride on the columns they protect. As a filter they would be
-    pushed below the projection that builds the columns and build them twice.
+    In `fail` the checks ride on the columns they protect. As the filter that
+    `strict` uses they are not pruned, so counts and projections of other columns
+    fail too, but they may be pushed below the projection that builds the
+    columns and build them twice.
     """
     broken = [(c, ~F.coalesce(ok, F.lit(False)), text) for c, ok, text in checks]
+    problem = F.coalesce(*[F.when(bad, F.lit(t)) for _, bad, t in broken])
     if mode == "quarantine":
-        return df.withColumn("problem", F.coalesce(*[F.when(bad, t) for _, bad, t in broken]))
+        return df.withColumn("problem", problem)
+    if mode == "strict":
+        return require(df, problem.isNull(), problem)
     if mode != "fail":
         raise ValueError(f"unknown mode: {mode}")
     guarded: dict[str, Column] = {}
@@ -124,7 +129,7 @@ def validate_items(
     max_options: int | None = None,
     max_chars: int | None = None,
 ) -> DataFrame:
-    """Item constraints: fail the job, or keep every row with a `problem` column.
+    """Item constraints: fail the job (`fail`, or `strict` for any read), or keep every row with a `problem` column.
 
     Only scorers that name options by letters bound their number (MAX_OPTIONS).
     """
@@ -132,7 +137,7 @@ def validate_items(
 
 
 def validate_predictions(df: DataFrame, mode: str = "fail") -> DataFrame:
-    """Prediction constraints: fail the job, or keep every row with a `problem` column."""
+    """Prediction constraints: fail the job (`fail`, or `strict` for any read), or keep every row with a `problem` column."""
     return _checked(df, prediction_checks(), mode)
 
 

@@ -158,3 +158,19 @@ def test_constraints(spark):
     schema = "scores array<double>, predicted_index int, probabilities array<double>"
     with pytest.raises(Exception, match="equal length"):
         validate_predictions(spark.createDataFrame([([1.0, 2.0], 0, [1.0])], schema)).collect()
+
+
+def test_strict_checks_survive_pruning(spark):
+    schema = "id string, question string, options array<string>, gold_index int"
+    good, bad = ("a", "q", ["x", "y"], 1), ("b", "q", ["x", "y"], 2)
+    checked = validate_items(spark.createDataFrame([good, bad], schema), "strict")
+    for pruned in (checked.groupBy().count(), checked.select("id"), checked.selectExpr("1 AS one"), checked.select("id").distinct()):
+        with pytest.raises(Exception, match="gold_index is outside options"):
+            pruned.collect()
+    kept = validate_items(spark.createDataFrame([good], schema), "strict")
+    assert kept.count() == 1 and kept.collect() == [good]
+    assert validate_items(spark.createDataFrame([], schema), "strict").count() == 0
+    predictions = "id string, scores array<double>, predicted_index int, probabilities array<double>"
+    broken = validate_predictions(spark.createDataFrame([("a", [1.0], 0, None), ("b", [], 0, None)], predictions), "strict")
+    with pytest.raises(Exception, match="scores must not be empty"):
+        broken.count()
