@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.components import connected_components
+from gavel.llm.components import connected_components, grown
 from gavel.llm.decontaminate import checked_broadcast
 from gavel.llm.rows import packed, text_of, unpacked
 from gavel.llm.simhash import fuzzy_keys
@@ -343,12 +343,13 @@ def possible_pairs(rows: DataFrame, every: bool, threshold: float = THRESHOLD, b
     return buckets.mapInArrow(paired, "a long, b long").distinct()
 
 
-def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) links of texts at least `threshold` alike that connect the same texts as all such pairs would.
+def near_components(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of texts that are joined by pairs at least `threshold` alike; roots are not listed.
 
     First rounds hold the most promising candidates of every text against each
     other. Two rounds of the exact join follow, of neighbours and then of all pairs
-    that still lead from one component to another; they miss nothing.
+    that still lead from one component to another; they miss nothing. Every round's
+    links join the components found so far.
     """
 
     def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,15 +378,14 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
     repeats = not texts.where("same > 1").isEmpty()
     pairs = candidates(texts)
     whole = whole_of(pairs)
-    links, rest, used = None, pairs, [pairs, whole]
+    stars, rest, used = None, pairs, [pairs, whole]
     for _ in range(FIRST_ROUNDS):
         chosen = materialize(_promising(rest), "neardup-chosen")
         found = verified(chosen, whole)
-        links = found if links is None else links.union(found)
-        stars = materialize(connected_components(links), "neardup-stars")
+        last, stars = stars, connected_components(found) if stars is None else grown(stars, found)
         rest = _across(rest.join(chosen, ["a", "b"], "left_anti"), stars)
         rest = materialize(rest.select(*pairs.columns), "neardup-rest")
-        used += [chosen, stars, rest]
+        used += [chosen, found, rest, *([] if last is None else [last])]
     release(spark, *used)
 
     every_text = checked_broadcast(texts.where("digest <> unhex('00')").select("rid", "digest", "doc_id"), BROADCAST_ROWS)
@@ -395,24 +395,24 @@ def near_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
     marks = materialize(keys.where("place = 0").select("rid", "marks"), "neardup-marks")
     columns = [c for c in keys.columns if c != "marks"]
     for every in (False, True):
-        stars = materialize(connected_components(links), "neardup-stars")
         across = materialize(shared(keys.select(*columns), stars).select(*columns, "root", "n"), "neardup-keys")
-        release(spark, keys, stars)
+        release(spark, keys)
         marked = across.join(checked_broadcast(marks, BROADCAST_ROWS), "rid")
         more = materialize(possible_pairs(marked, every, threshold), "neardup-possible")
         whole = whole_of(more)
-        links = links.union(verified(more, whole))
-        release(spark, more, whole)
+        found = verified(more, whole)
+        last, stars = stars, grown(stars, found)
+        release(spark, more, whole, found, last)
         keys = across.drop("root", "n")
         keys._scratch_path = across._scratch_path
     release(spark, keys, marks)
-    return links
+    return stars
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of every component of near-duplicates, with all columns."""
     texts = distinct_texts(docs)
-    stars = connected_components(near_links(docs, texts, threshold))
+    stars = near_components(docs, texts, threshold)
     named = texts.join(stars, texts.rid == stars.node, "left").select(F.coalesce("root", "rid").alias("root"), "none", "doc_id", "digest", "same")
     stays = named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "digest", "same")).alias("keep"))
     stays = materialize(stays.select("keep.digest", "keep.doc_id", "keep.same"), "neardup-stays")

@@ -6,7 +6,7 @@ import pytest
 
 from gavel.llm import neardup as N
 from gavel.llm import simhash as S
-from gavel.llm.components import connected_components
+from gavel.llm.components import connected_components, grown
 
 
 def roots(nodes, edges):
@@ -94,6 +94,12 @@ def test_connected_components(spark):
     want = roots(nodes, edges)
     assert {n: got.get(n, n) for n in nodes} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # The same components in two steps: a few links first, the rest from what these join.
+    rng.shuffle(edges)
+    for cut in (0, len(edges) // 2, len(edges)):
+        some, rest = (spark.createDataFrame(part, "a long, b long") for part in (edges[:cut], edges[cut:]))
+        got = {r.node: r.root for r in grown(connected_components(some), rest).collect()}
+        assert {n: got.get(n, n) for n in nodes} == want
 
 
 def near_texts(rng, copies):
