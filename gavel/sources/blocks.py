@@ -26,7 +26,8 @@ from gavel.session import checked_broadcast, materialize
 
 BLOCK = 32 << 20
 TASKS = 100_000  # tasks of a pass at most; each takes the blocks of its range
-AHEAD = 1 << 20  # read at a time beyond a block, for the rest of its last record
+SPREAD = 256  # tasks that small blocks are dealt to at least
+AHEAD = 1 << 20  # read at a time beyond a block at most, for the rest of its last record
 QUOTE, NEWLINE, RETURN = 34, 10, 13
 BOM = b"\xef\xbb\xbf"
 
@@ -129,8 +130,10 @@ class Block:
                 return [b"", b""]
             parts, seen, odd = [data], len(data), int(parities(data)[-1]) ^ parity
             end = self._end(data, self.size, parity)
+            ahead = min(AHEAD, self.end - self.start)
             while end is None and self.begin + seen < self.total:
-                more = file.read(AHEAD)
+                more = file.read(ahead)
+                ahead = min(AHEAD, 2 * ahead)
                 end = self._end(more, 0, odd)
                 end = None if end is None else seen + end
                 parts.append(more)
@@ -147,9 +150,10 @@ class Block:
         return at + int(ends[0]) + 1 if len(ends) else None
 
 
-def blocks_of(spark: SparkSession, count: int) -> DataFrame:
-    """`id` from 0 to count - 1, a task each up to TASKS."""
-    return spark.range(0, count, 1, max(1, min(count, TASKS)))
+def blocks_of(spark: SparkSession, count: int, size: int = BLOCK) -> DataFrame:
+    """`id` from 0 to count - 1, for pieces of `size` bytes: a task for each up to SPREAD, then for BLOCK bytes, up to TASKS."""
+    tasks = max(min(count, SPREAD), min(-(-count * size // BLOCK), count, TASKS))
+    return spark.range(0, count, 1, max(1, tasks))
 
 
 def _fields(record: bytes, sep: str) -> list[str]:
@@ -172,7 +176,7 @@ def block_starts(spark: SparkSession, files: Sequence[tuple[str, int]], block: i
             names = ("id", "file", "number", "quotes", "even", "odd")
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], list(names))
 
-    counted = blocks_of(spark, firsts[-1]).mapInArrow(
+    counted = blocks_of(spark, firsts[-1], block).mapInArrow(
         count, "id LONG, file LONG, number LONG, quotes LONG, even LONG, odd LONG"
     )
     counted = materialize(counted, "csv-blocks")
@@ -243,7 +247,7 @@ def read_csv_blocks(
                 yield from table.append_column(ROW_INDEX, index).to_batches(max_chunksize=10_000)
 
     starts = materialize(block_starts(spark, files, block), "csv-starts")
-    known = blocks_of(spark, starts.count()).join(checked_broadcast(starts, 1_000_000), "id")
+    known = blocks_of(spark, starts.count(), block).join(checked_broadcast(starts, 1_000_000), "id")
     schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
     return known.mapInArrow(parse, f"{schema}, {ROW_INDEX} LONG")
 
