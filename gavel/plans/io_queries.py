@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zipfile
 
 import pandas as pd
@@ -220,19 +221,24 @@ def csv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ARCHIVE_ROWS = 10_000  # documents of an archive, on the average
+
+
 def _write_archives(rows: DataFrame, root: str, archives: int) -> None:
-    """(subject, doc_id, text) as zip archives of one CSV member a subject, each archive by one task."""
+    """(subject, doc_id, text) as zip archives of one CSV member a subject, each archive by one task, member by member."""
 
     def write(frames):
-        kept = pd.concat(list(frames) or [pd.DataFrame()])
-        for archive, own in kept.groupby("archive") if len(kept) else ():
+        parts = ((key, part) for frame in frames for key, part in frame.groupby(["archive", "subject"]))
+        for archive, own in itertools.groupby(parts, key=lambda part: part[0][0]):
             with open_output(f"{root}/{archive}.zip") as target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
-                for subject, part in own.groupby("subject"):
-                    bundle.writestr(f"data/test/{subject}.csv", part[["doc_id", "text"]].to_csv(index=False))
+                for (_, subject), same in itertools.groupby(own, key=lambda part: part[0]):
+                    member = pd.concat([part for _, part in same])
+                    bundle.writestr(f"data/test/{subject}.csv", member[["doc_id", "text"]].to_csv(index=False))
             yield pd.DataFrame({"archive": [archive]})
 
     dealt = rows.withColumn("archive", F.pmod(F.xxhash64("subject"), F.lit(archives))).repartition(archives, "archive")
-    dealt.mapInPandas(write, "archive LONG").write.format("noop").mode("overwrite").save()
+    ordered = dealt.sortWithinPartitions("archive", "subject")
+    ordered.mapInPandas(write, "archive LONG").write.format("noop").mode("overwrite").save()
 
 
 @query(
@@ -242,10 +248,12 @@ SELECT subject, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum({_PR
 FROM (SELECT doc_id, text, coalesce(source, 'none') || '-' || (doc_id // 100) AS subject FROM documents) GROUP BY subject"""
 )
 def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in zip archives of many members, every member read by a task of its own, once."""
+    """Documents in zip archives of many members, every member read once, by tasks of many members."""
     root = scratch_dir(spark, "archives")
+    documents = V.table(spark, sf_dir, "documents")
+    archives = max(8, documents.count() // ARCHIVE_ROWS)
     subject = F.concat_ws("-", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100))
-    _write_archives(V.table(spark, sf_dir, "documents").select(subject.alias("subject"), "doc_id", "text"), root, 8)
+    _write_archives(documents.select(subject.alias("subject"), "doc_id", "text"), root, archives)
     rows = read_subject_zip(spark, root, "doc_id STRING, text STRING")
     mark = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("bigint")
     found = rows.groupBy("subject").agg(

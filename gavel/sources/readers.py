@@ -15,7 +15,7 @@ from gavel.operators.items import ROW_INDEX
 from gavel.schemas import MANIFEST, PREDICTION_LINE, RUBRIC_ROW, RUN_METADATA, SCHEMA_VERSION, require
 from gavel.session import checked_broadcast, materialize
 from gavel.sources import arrow_stream
-from gavel.sources.blocks import TASKS, blocks_of, files_of, open_file, read_csv_blocks, splittable
+from gavel.sources.blocks import blocks_of, files_of, open_file, read_csv_blocks, splittable
 
 LEGACY_ENCODING = "cp932"
 
@@ -151,8 +151,9 @@ def read_subject_zip(
     """Zip of per-subject CSV files; `schema` lists the CSV columns (strings).
 
     Only `<folder>/*.csv` members count, in name order; `subject` is the file
-    stem. The archives' directories are listed first; then every member is a task
-    that reads its own range of the archive, once. `row_index` counts through all
+    stem. The archives' directories are listed first; then every member is read once, in
+    its own range of the archive, by tasks of SPREAD members and more that BLOCK bytes
+    bound on the average. A task opens an archive once. `row_index` counts through all
     members of all archives in path order. A member must fit a task's memory.
     """
     names = [part.split()[0] for part in schema.split(",")]
@@ -163,32 +164,36 @@ def read_subject_zip(
             for at in frame["id"]:
                 with open_file(files[at]) as file, zipfile.ZipFile(file) as bundle:
                     found = sorted(
-                        m
-                        for m in bundle.namelist()
-                        if f"/{folder}/" in f"/{m}"
-                        and m.endswith(".csv")
-                        and not m.rsplit("/", 1)[-1].startswith("._")
+                        (m.filename, m.file_size)
+                        for m in bundle.infolist()
+                        if f"/{folder}/" in f"/{m.filename}"
+                        and m.filename.endswith(".csv")
+                        and not m.filename.rsplit("/", 1)[-1].startswith("._")
                     )
-                yield pd.DataFrame({"archive": at, "member": found, "place": range(len(found))})
+                yield pd.DataFrame(
+                    {"archive": at, "member": [m for m, _ in found], "place": range(len(found)), "size": [n for _, n in found]}
+                )
 
     def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at, archive, member in zip(frame["id"], frame["archive"], frame["member"]):
+            for archive, own in frame.groupby("archive", sort=False):
                 with open_file(files[archive]) as file, zipfile.ZipFile(file) as bundle:
-                    text = _decode(bundle.read(member), member)
-                rows = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False).reindex(columns=names)
-                rows["subject"] = member.rsplit("/", 1)[-1].removesuffix(".csv")
-                rows[ROW_INDEX] = range(len(rows))
-                rows["__member"] = at
-                yield rows
-
-    listed = blocks_of(spark, len(files)).mapInPandas(members, "archive BIGINT, member STRING, place BIGINT")
+                    for at, member in zip(own["id"], own["member"]):
+                        text = _decode(bundle.read(member), member)
+                        rows = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False).reindex(columns=names)
+                        rows["subject"] = member.rsplit("/", 1)[-1].removesuffix(".csv")
+                        rows[ROW_INDEX] = range(len(rows))
+                        rows["__member"] = at
+                        yield rows
+
+    listed = blocks_of(spark, len(files)).mapInPandas(members, "archive BIGINT, member STRING, place BIGINT, size BIGINT")
     # One row a member in this window.
     listed = materialize(listed, "zip-members").selectExpr(
-        "row_number() OVER (ORDER BY archive, place) - 1L AS id", "archive", "member"
+        "row_number() OVER (ORDER BY archive, place) - 1L AS id", "archive", "member", "size"
     )
     listed = materialize(listed, "zip-order")
-    own = blocks_of(spark, listed.count()).join(checked_broadcast(listed, TASKS), "id")
+    count, size = listed.agg(F.count(F.lit(1)), F.ceil(F.avg("size")).cast("long")).first()
+    own = blocks_of(spark, count, size or 1).join(checked_broadcast(listed.drop("size"), 1_000_000), "id")
     rows = own.mapInPandas(unzip, f"{schema}, subject STRING, {ROW_INDEX} BIGINT, __member BIGINT")
     rows = materialize(rows, "zip-rows")
     return _numbered(rows, "__member", rows.groupBy("__member").agg(F.count(F.lit(1)).alias("__rows")))

@@ -111,3 +111,15 @@ def test_zip_members_are_tasks_and_read_once(spark, tmp_path):
         (n, s) for n in ("a", "b") for s in ("art", "law", "math")) for i in range(5)]
     assert [tuple(r) for r in rows] == want
     assert "MapInPandas" not in df._jdf.queryExecution().executedPlan().toString()  # the rows are stored, not unzipped again
+
+
+def test_small_pieces_share_tasks(spark, tmp_path):
+    """Many small blocks or members are dealt to a bounded number of tasks, large ones have one each."""
+    tasks = lambda *of: B.blocks_of(spark, *of).rdd.getNumPartitions()
+    assert tasks(5000, 1 << 16) == B.SPREAD and tasks(5000) == 5000 and tasks(7, 10) == 7
+    assert tasks(50_000, 1 << 20) == -(-50_000 >> 5)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as bundle:
+        for i in range(300):
+            bundle.writestr(f"x/test/{i:03}.csv", f"question\n{i}\n{i}b\n")
+    df = R.read_subject_zip(spark, str(tmp_path / "*.zip"), "question STRING")
+    assert [r.question for r in df.orderBy("row_index").collect()] == [f"{i}{e}" for i in range(300) for e in ("", "b")]
