@@ -28,9 +28,11 @@ from gavel.functions.arrays import (
 from gavel.functions.prompts import HYPOTHESIS, state_and_candidates
 from gavel.functions.text import let
 from gavel.schemas import validate_predictions
-from gavel.session import checked_broadcast, materialize
+from gavel.session import checked_broadcast, materialize, release
 
 MAX_SCALE = 100.0  # fixed value: upper bound of the contrastive scale
+OFTEN = 1000  # items with one candidate list, from which on its vectors are broadcast
+USES = 1_000_000  # of about 50 bytes: broadcast candidates of distinct lists
 
 
 class Scorer(Protocol):
@@ -273,6 +275,11 @@ def contrastive(
     ).drop("__p")
 
 
+def _mark(text: Column) -> Column:
+    """Identity of a text: half of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def encode_once(
     items: DataFrame,
     encode: Callable[[DataFrame], DataFrame],
@@ -280,38 +287,47 @@ def encode_once(
     """State and candidate vectors of unit length, every distinct text encoded once.
 
     `encode` maps a (text) table to (text, vector). Adds `state_vector` and
-    `candidate_vectors`. A text travels once, with its digest; everything else is
-    joined by digests. Vectors and the vectors of each set of texts are written to
-    the shared folder, so both joins read plain tables and adaptive execution can
-    split a partition full of copies of one text.
+    `candidate_vectors`. A text travels once; everything else is joined by digests.
+    Vectors are written to the shared folder as the encoder gives them, and those of a
+    candidate list are put together once, however many items have it. Lists of OFTEN
+    items or more are broadcast up to a checked number of them, behind the other
+    joins, so no item travels with the vectors of a list that many share. The joins are
+    between written tables and scans: adaptive execution can split a partition full
+    of copies of one text.
     """
     state, candidates = state_and_candidates(F.col("task"), F.col("question"), F.col("options"))
-    keyed = items.withColumn("__texts", F.concat(F.array(state), candidates))
-    keyed = keyed.withColumn("__marks", F.transform("__texts", lambda t: F.sha2(t, 256)))
-    keyed = keyed.withColumn("__key", F.sha2(F.concat_ws(",", "__marks"), 256))
-    words = keyed.select(F.explode(F.arrays_zip("__marks", "__texts")).alias("w"))
-    words = words.groupBy(F.col("w.__marks").alias("mark")).agg(F.min("w.__texts").alias("text"))
-    words = materialize(words, "texts")
-    vectors = encode(words.select("text")).select(
-        F.sha2("text", 256).alias("mark"), l2_normalize(F.col("vector")).alias("vector")
-    )
-    vectors = materialize(vectors, "vectors")
-    uses = keyed.select("__key", "__marks").distinct().select("__key", F.posexplode("__marks").alias("pos", "mark"))
-    # An item has few vectors: its state and its options.
-    packed = uses.join(vectors, "mark", "left").groupBy("__key").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("pos", "vector"))), lambda s: s["vector"]
-        ).alias("__v")
+    keyed = items.withColumns({"__state": state, "__texts": candidates}).where("__texts IS NOT NULL")
+    words = keyed.select(F.explode(F.concat(F.array("__state"), "__texts")).alias("text"))
+    vectors = encode(words.where("text IS NOT NULL").distinct())
+    vectors = materialize(vectors.select(_mark(F.col("text")).alias("mark"), "vector"), "vectors")
+
+    keyed = keyed.withColumn("__marks", F.transform("__texts", _mark)).withColumn("__mark", _mark(F.col("__state")))
+    parts = F.transform("__marks", lambda m: F.coalesce(F.hex(m), F.lit("")))
+    keyed = keyed.withColumn("__key", _mark(F.concat_ws(",", parts))).drop("__state", "__texts")
+    lists = keyed.groupBy("__key", "__marks").agg(F.count(F.lit(1)).alias("n"))
+    uses = materialize(lists.select("__key", "n", F.posexplode_outer("__marks").alias("pos", "mark")), "uses")
+    found = checked_broadcast(uses.where("mark IS NOT NULL"), USES).join(vectors, "mark").select("__key", "n", "pos", "vector")
+    missing = uses.where("mark IS NULL").select("__key", "n", "pos", F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector"))
+    # An item has few candidates.
+    packed = found.unionByName(missing).groupBy("__key", "n").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "vector"))), lambda s: l2_normalize(s["vector"])).alias("__v")
     )
     packed = materialize(packed, "packed")
+    release(items.sparkSession, uses)
+
     keyed = keyed.drop("__marks")
-    joined = keyed.drop("__texts").join(packed, "__key")
+    often, seldom = packed.where(F.col("n") >= OFTEN), packed.where(F.col("n") < OFTEN).select("__key", "__v")
+    shared = checked_broadcast(often.select("__key"))
+    own = keyed.join(shared, "__key", "left_anti").join(seldom, "__key")
+    rest = keyed.join(shared, "__key", "left_semi").withColumn("__v", F.lit(None).cast(packed.schema["__v"].dataType))
+    joined = own.unionByName(rest).join(vectors.withColumnsRenamed({"mark": "__mark", "vector": "__s"}), "__mark", "left")
+    joined = joined.join(checked_broadcast(often.select("__key", F.col("__v").alias("__often"))), "__key", "left")
     return joined.withColumns(
         {
-            "state_vector": F.get("__v", F.lit(0)),
-            "candidate_vectors": F.slice("__v", F.lit(2), F.size("options")),
+            "state_vector": l2_normalize(F.col("__s")),
+            "candidate_vectors": F.slice(F.coalesce("__v", "__often"), F.lit(1), F.size("options")),
         }
-    ).drop("__v", "__key")
+    ).drop("__v", "__often", "__s", "__key", "__mark")
 
 
 class PairScorer(Protocol):

@@ -73,6 +73,22 @@ def test_encode_once(spark):
     assert all(sum(r["probabilities"]) == pytest.approx(1) for r in scored)
 
 
+def test_a_candidate_list_is_put_together_once(spark, monkeypatch):
+    """One row a list, not one an item; shared and own lists give the same vectors."""
+    rows = [(f"i{k}", "noul" if k % 5 == 0 else "choice", f"q{k % 7}", ["a", "b"] if k % 3 else ["b", "q1"]) for k in range(30)]
+    df = spark.createDataFrame([*rows, ("n", "choice", None, ["a", "b"])], "id string, task string, question string, options array<string>")
+    sizes, write = {}, S.materialize
+    monkeypatch.setattr(S, "materialize", lambda table, name: sizes.setdefault(name, table.count()) and write(table, name))
+    found = []
+    for often in (1, 8, 1000):
+        monkeypatch.setattr(S, "OFTEN", often)
+        found.append({r["id"]: r for r in S.encode_once(df, hash_encoder).collect()})
+    assert sizes["packed"] == 2 + 6  # two lists of choices, those of the yes/no questions
+    assert found[0] == found[1] == found[2] and len(found[0]) == 31
+    assert found[0]["n"]["state_vector"] is None and len(found[0]["i1"]["candidate_vectors"]) == 2
+    assert found[0]["i3"]["candidate_vectors"][1] == found[0]["i1"]["state_vector"]  # both q1
+
+
 def test_few_shot(spark):
     df = items(spark).withColumn("k", F.substring("id", 2, 5).cast("int"))
     pack = S.few_shot_pack(df, 2, "k")
