@@ -11,6 +11,9 @@ from gavel.operators.corpus import trainer_rows
 from gavel.operators.mirror import mirror_subsets
 
 
+SHARES = 32  # parts of a directory that its rows are dealt to
+
+
 def is_empty_target(spark: SparkSession, path: str) -> bool:
     """True for an absent path and for a directory without entries."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -28,9 +31,14 @@ def _gathered(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of one output directory brought together before a partitioned write.
 
     A rebalance, unlike a plain repartition, lets AQE split a directory that
-    holds a large share of the rows and merge the small ones.
+    holds a large share of the rows and merge the small ones. It cannot split what one
+    task gave to one partition, so rows with an `id` are dealt to SHARES parts of
+    their directory: a task's sort before the write holds a part, not all of a task's rows.
     """
-    return df.hint("rebalance", *by)
+    if "id" not in df.columns:
+        return df.hint("rebalance", *by)
+    share = F.pmod(F.xxhash64("id"), F.lit(SHARES))
+    return df.withColumn("__share", share).hint("rebalance", *by, "__share").drop("__share")
 
 
 def write_predictions(
