@@ -9,7 +9,8 @@ differ in a few bits only where edits change few of the distinct words, which ad
 dropped or often repeated words need not do.
 
 Equal texts are one from the start. A key's members are shuffled to one bucket,
-large keys in blocks of bounded size; a bucket proposes, for every member, the
+those of large keys to blocks of bounded size that share a few members, so that the
+work grows no faster than the members; a bucket proposes, for every member, the
 centre of its cluster and a member that is nearer than that, never all pairs.
 In a few rounds each text's most promising pairs that still lead from one component
 to another are verified; the others need not be, as the join below finds what they
@@ -51,6 +52,7 @@ WIDTH, THRESHOLD = 5, 0.8
 TABLES = 4  # independent fingerprints
 NEAR_BITS = 10  # of 64: more than most near-duplicates differ in, fewer than strangers do
 BLOCK = 1000
+PIVOTS = 32  # members of a large key, about, that are in each of its blocks
 BROADCAST_ROWS = 300_000  # of about 100 bytes
 KEY_ROWS = 1_000_000  # of 16 bytes
 MARKS = b".,;:!?\"'()"
@@ -176,11 +178,16 @@ def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> D
     prints = texts.select("rid", *[f"f{t}" for t in range(TABLES)])
     keys = prints.mapInArrow(keyed, "key long, rid long, fp long")
     large = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    # Powers of two, and hashes of the row alone, deal the same rows of several keys in the same way.
+    large = large.select("key", "n", F.expr(f"shiftleft(1L, int(ceil(log2(n / {block}))))").alias("blocks"))
     buckets = (
-        keys.join(large.select("key", F.ceil(F.col("n") / F.lit(block)).alias("blocks")), "key", "left")
-        .withColumn("own", F.expr("if(blocks is null, 0L, pmod(xxhash64(rid), blocks))"))
-        .withColumn("other", F.explode(F.expr("if(blocks is null, array(0L), sequence(0L, blocks - 1))")))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), F.struct("rid", "fp").alias("member"))
+        keys.join(large, "key", "left")
+        .withColumn("pivot", F.expr(f"pmod(xxhash64(rid, 1), 1048576) * n < {PIVOTS} * 1048576D"))
+        .withColumn("own", F.expr(
+            "case when blocks is null then array(0L) when pivot then sequence(0L, blocks - 1) else array(pmod(xxhash64(rid), blocks)) end"
+        ))
+        .withColumn("own", F.explode("own"))
+        .select(F.xxhash64("key", "own").alias("bucket"), F.struct("rid", "fp").alias("member"))
         .groupBy("bucket").agg(F.sort_array(F.collect_list("member")).alias("members"))
         .where(F.size("members") > 1).select("members")
     )

@@ -213,3 +213,21 @@ def test_bitmaps_never_hide_a_near_duplicate():
         }
         if N.similarity(a, b) >= 0.8:
             assert N.possible(both, True, True).tolist() == [[1, 2]]
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark):
+    """Blocks of a key share a few members; they are not all held against each other."""
+    import numpy as np
+
+    from gavel.llm import neardup
+
+    def count(n):
+        rng = np.random.default_rng(n)
+        prints = [[int(x ^ (1 << int(b))) for x, b in zip((5, 6, 7, 8), rng.integers(0, 62, 4))] for _ in range(n)]
+        texts = spark.createDataFrame([(i, *p) for i, p in enumerate(prints)], "rid long, f0 long, f1 long, f2 long, f3 long")
+        pairs = neardup.candidates(texts, block=50)
+        return pairs.count(), pairs.select("a").union(pairs.select("b")).distinct().count()
+
+    (few, some), (many, every) = count(200), count(800)
+    print("pairs", few, many)
+    assert many < 5 * few and (some, every) == (200, 800)
