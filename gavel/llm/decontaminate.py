@@ -97,6 +97,18 @@ def _windows(rows: DataFrame, keys: list[str], names: bool = True) -> DataFrame:
     return found.select(*keys, "pos", F.explode(both).alias("window")).select(*keys, "pos", "window.*")
 
 
+def _meeting(rows: DataFrame, keys: list[str], hashes: DataFrame) -> DataFrame:
+    """The keys of the texts that have a window among `hashes`; the windows are hashed, nothing else is made of them."""
+    split = rows.select(*keys, F.explode(F.array(words("text"))).alias("raw")).where(F.size("raw") >= WIDTH)
+    formed = split.select(*keys, "raw", F.explode(F.array(template("raw"))).alias("form"))
+    some = F.exists("form", lambda f: f.startswith("#"))
+    filled = formed.select(*keys, "form", F.explode(F.array(F.when(some, literal("raw")))).alias("own"))
+    placed = filled.select(*keys, "form", "own", F.explode(F.sequence(F.lit(0), F.size("form") - WIDTH)).alias("pos"))
+    form, plain = (F.xxhash64(*[F.get(of, F.col("pos") + k) for k in range(WIDTH)]) for of in ("form", "own"))
+    both = F.when(F.col("own").isNull(), F.array(form)).otherwise(F.array(form, plain))
+    return placed.select(*keys, F.explode(both).alias("hash")).join(checked_broadcast(hashes), "hash", "left_semi").select(*keys).distinct()
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, pos, hash, slots and exact of all telling windows, names both ways, and of all word for word.
 
@@ -124,6 +136,10 @@ def sightings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = materialize(benchmark_windows(benchmark), "leak-windows")
     hashes = materialize(known.select("hash").distinct(), "leak-hashes")
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of())
+    # Few documents share a window with an item; only theirs get their slots and places.
+    near = materialize(_meeting(rows, ["doc_id", "text_hash"], hashes).withColumnsRenamed({"doc_id": "near_id", "text_hash": "near_hash"}), "leak-near")
+    same = F.col("doc_id").eqNullSafe(F.col("near_id")) & F.col("text_hash").eqNullSafe(F.col("near_hash"))
+    rows = rows.join(checked_broadcast(near), same, "left_semi")
     met = _windows(rows, ["doc_id", "text_hash"]).join(checked_broadcast(hashes), "hash")
     item = known.select("hash", "item_id", "windows", "places", F.col("pos").alias("place"), F.col("slots").alias("wanted"), F.col("exact").alias("copied"))
     paired = met.join(item, "hash").withColumn("apart", F.col("pos") - F.col("place"))

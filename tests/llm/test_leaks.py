@@ -70,3 +70,16 @@ def test_empty_tables(docs, benchmark):
 def test_shuffle_join_beyond_the_broadcast_bound(docs, benchmark, monkeypatch):
     small = benchmark.select("item_id")
     assert D.checked_broadcast(small, 5) is small and D.checked_broadcast(small, 6) is not small
+
+
+def test_only_documents_that_meet_an_item_get_slots(spark, monkeypatch):
+    from gavel.llm import decontaminate as D
+
+    item = "the red fox ran over 12 hills and then it slept under a very old tree"
+    docs = spark.createDataFrame(
+        [(1, f"before that {item} indeed"), (2, "nothing of the kind is said in this longer text about other things"), (None, item)], "doc_id long, text string"
+    )
+    seen, windows = [], D._windows
+    monkeypatch.setattr(D, "_windows", lambda rows, keys, **more: (seen.append(rows.count()) if "text_hash" in keys else None) or windows(rows, keys, **more))
+    found = D.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert seen == [2] and sorted((r.doc_id or 0, r.item_id, r.reworded) for r in found) == [(0, 7, False), (1, 7, False)]
