@@ -51,32 +51,34 @@ RESULT = (
 )
 
 
-def mock_scores(items: DataFrame, salt: Column | None = None) -> DataFrame:
+def mock_scores(items: DataFrame, salt: Column | None = None, digest: Column | None = None) -> DataFrame:
     """Deterministic scorer: bytes of SHA-256(question) + 1, normalised.
 
-    `salt` makes several models out of one item table. Digest and first chunk
+    `salt` makes several models out of one item table; `digest` is the digest of
+    salt and question where it is a column already. Digest and first chunk
     are columns of their own, computed once per row in generated code; only
     items with more than seven options decode further chunks.
     """
     text = F.col("question") if salt is None else F.concat(salt, F.lit(":"), F.col("question"))
     n = F.size("options")
-    short = F.array(*[chunk_byte(F.col("__c"), i) for i in range(CHUNK)])
+
+    def seven(chunk: Column) -> Column:
+        return F.array(*[chunk_byte(chunk, i).cast("double") + 1.0 for i in range(CHUNK)])
+
+    short = seven(F.col("__c"))
     tail = F.transform(
         F.sequence(F.lit(1), ((n - 1) / CHUNK).cast("int")),
-        lambda c: let(
-            digest_chunk(F.col("__h"), c),
-            lambda chunk: F.array(*[chunk_byte(chunk, i) for i in range(CHUNK)]),
-        ),
+        lambda c: let(digest_chunk(F.col("__h"), c), seven),
     )
     data = (
         F.when(n <= CHUNK, F.slice(short, F.lit(1), n))
         .when(n <= 32, F.slice(F.concat(short, F.flatten(tail)), F.lit(1), n))
-        .otherwise(F.raise_error(F.lit("at most 32 options")).cast("array<int>"))
+        .otherwise(F.raise_error(F.lit("at most 32 options")).cast("array<double>"))
     )
     return (
-        items.withColumn("__h", F.sha2(text, 256))
+        items.withColumn("__h", F.sha2(text, 256) if digest is None else digest)
         .withColumn("__c", digest_chunk(F.col("__h"), 0))
-        .withColumn("scores", F.transform(data, lambda b: b.cast("double") + 1.0))
+        .withColumn("scores", data)
         .drop("__h", "__c")
         .withColumns(
             {

@@ -64,3 +64,9 @@ def test_hash_rank_shuffles_rows_once(spark):
         assert len(rows) <= 4, text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_predictions_hash_their_question_once(spark):
+    """Latency and scores come from one digest."""
+    text = V.predict(V.items_choice(spark, SF_DIR))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("sha2(") == 1
