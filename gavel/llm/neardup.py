@@ -11,7 +11,9 @@ dropped or often repeated words need not do.
 Equal texts are one from the start. A key's members are shuffled to one bucket,
 those of large keys to blocks of bounded size that share a few members, so that the
 work grows no faster than the members; a bucket proposes, for every member, the
-centre of its cluster and a member that is nearer than that, never all pairs.
+centre of its cluster and a member that is nearer than that, never all pairs. Of what
+all its buckets propose, a text keeps its nearest partner and the centre of its largest
+cluster for each of the four SimHashes, so that its pairs do not grow with its group.
 In a few rounds each text's most promising pairs that still lead from one component
 to another are verified; the others need not be, as the join below finds what they
 could add.
@@ -152,7 +154,10 @@ def propose(rids: np.ndarray, fps: np.ndarray, near: int = NEAR_BITS) -> list[tu
 
 
 def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> DataFrame:
-    """Pairs of rids (a, b) that share a key and differ in few `bits`, with the `size` of the cluster that b or a is centre of."""
+    """Pairs of rids (a, b) that share a key and differ in few `bits`, with the `size` of the cluster that b or a is centre of.
+
+    At most two for every text and fingerprint, its most promising ones.
+    """
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -171,9 +176,10 @@ def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> D
             ends, flat = members.offsets.to_numpy(), members.values
             rids = flat.field("rid").to_numpy(zero_copy_only=False)
             fps = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            pairs = [p for i, j in zip(ends[:-1], ends[1:]) for p in propose(rids[i:j], fps[i:j], near)]
-            pairs = np.array(pairs, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(4)], ["a", "b", "bits", "size"])
+            tables = part.column("table").to_pylist()
+            pairs = [(t, *p) for t, i, j in zip(tables, ends[:-1], ends[1:]) for p in propose(rids[i:j], fps[i:j], near)]
+            pairs = np.array(pairs, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(5)], ["table", "a", "b", "bits", "size"])
 
     prints = texts.select("rid", *[f"f{t}" for t in range(TABLES)])
     keys = prints.mapInArrow(keyed, "key long, rid long, fp long")
@@ -187,21 +193,22 @@ def candidates(texts: DataFrame, near: int = NEAR_BITS, block: int = BLOCK) -> D
             "case when blocks is null then array(0L) when pivot then sequence(0L, blocks - 1) else array(pmod(xxhash64(rid), blocks)) end"
         ))
         .withColumn("own", F.explode("own"))
-        .select(F.xxhash64("key", "own").alias("bucket"), F.struct("rid", "fp").alias("member"))
-        .groupBy("bucket").agg(F.sort_array(F.collect_list("member")).alias("members"))
-        .where(F.size("members") > 1).select("members")
+        .select(F.shiftright("key", 26).alias("table"), F.xxhash64("key", "own").alias("bucket"), F.struct("rid", "fp").alias("member"))
+        .groupBy("table", "bucket").agg(F.sort_array(F.collect_list("member")).alias("members"))
+        .where(F.size("members") > 1).select("table", "members")
     )
     apart = F.bit_count(F.expr("members[0].fp ^ members[1].fp"))
     buckets = buckets.where((F.size("members") > 2) | (apart <= near)).distinct()
     buckets = materialize(buckets, "neardup-buckets")
     first, second = F.expr("members[0].rid"), F.expr("members[1].rid")
     two = buckets.where(F.size("members") == 2).select(
-        first.alias("a"), second.alias("b"), apart.cast("long").alias("bits"), F.lit(1).cast("long").alias("size")
+        "table", first.alias("a"), second.alias("b"), apart.cast("long").alias("bits"), F.lit(1).cast("long").alias("size")
     )
-    more = buckets.where(F.size("members") > 2).mapInArrow(proposed, "a long, b long, bits long, size long")
-    pairs = two.union(more).where("a < b").groupBy("a", "b").agg(F.min("bits").alias("bits"), F.max("size").alias("size"))
-    pairs = materialize(pairs, "neardup-pairs")
-    release(texts.sparkSession, buckets)
+    more = buckets.where(F.size("members") > 2).mapInArrow(proposed, "table long, a long, b long, bits long, size long")
+    every = two.union(more).where("a < b").groupBy("table", "a", "b").agg(F.min("bits").alias("bits"), F.max("size").alias("size"))
+    every = materialize(every, "neardup-proposed")
+    pairs = materialize(_promising(every, "table"), "neardup-pairs")
+    release(texts.sparkSession, buckets, every)
     return pairs
 
 
@@ -213,14 +220,17 @@ def _own() -> tuple[Column, Column]:
     return _digest().alias("own_digest"), F.col("doc_id").cast("long").alias("own_id")
 
 
-def _promising(pairs: DataFrame) -> DataFrame:
-    """For every text its nearest partner and the centre of its largest cluster."""
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits", "size"))
-    best = both.groupBy("a").agg(
-        F.min(F.struct("bits", "b"))["b"].alias("near"), F.max(F.struct("size", (-F.col("b")).alias("b")))["b"].alias("centre")
+def _promising(pairs: DataFrame, *by: str) -> DataFrame:
+    """For every text (and value of `by`) its nearest partner and the centre of its largest cluster."""
+    both = pairs.union(pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "bits", "size"))
+    best = both.groupBy("a", *by).agg(
+        F.min(F.struct("bits", "b", "size")).alias("near"),
+        F.max(F.struct("size", (-F.col("b")).alias("b"), (-F.col("bits")).alias("bits"))).alias("centre"),
     )
-    chosen = best.select("a", F.col("near").alias("b")).union(best.select("a", (-F.col("centre")).alias("b")))
-    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    centres = best.select("a", -F.col("centre.b"), -F.col("centre.bits"), "centre.size")
+    chosen = best.select("a", "near.b", "near.bits", "near.size").union(centres)
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return chosen.groupBy(*ends).agg(F.min("bits").alias("bits"), F.max("size").alias("size"))
 
 
 def _across(pairs: DataFrame, stars: DataFrame) -> DataFrame:
@@ -386,13 +396,15 @@ def near_components(docs: DataFrame, texts: DataFrame, threshold: float = THRESH
     pairs = candidates(texts)
     whole = whole_of(pairs)
     stars, rest, used = None, pairs, [pairs, whole]
-    for _ in range(FIRST_ROUNDS):
+    for at in range(FIRST_ROUNDS):
+        if at:
+            rest = _across(rest.join(chosen, ["a", "b"], "left_anti"), stars)
+            rest = materialize(rest.select(*pairs.columns), "neardup-rest")
+            used.append(rest)
         chosen = materialize(_promising(rest), "neardup-chosen")
         found = verified(chosen, whole)
         last, stars = stars, connected_components(found) if stars is None else grown(stars, found)
-        rest = _across(rest.join(chosen, ["a", "b"], "left_anti"), stars)
-        rest = materialize(rest.select(*pairs.columns), "neardup-rest")
-        used += [chosen, found, rest, *([] if last is None else [last])]
+        used += [chosen, found, *([] if last is None else [last])]
     release(spark, *used)
 
     every_text = checked_broadcast(texts.where("digest <> unhex('00')").select("rid", "digest", "doc_id"), BROADCAST_ROWS)

@@ -231,3 +231,18 @@ def test_pairs_of_a_large_group_grow_with_its_members(spark):
     (few, some), (many, every) = count(200), count(800)
     print("pairs", few, many)
     assert many < 5 * few and (some, every) == (200, 800)
+
+
+def test_pairs_of_a_text_do_not_grow_with_its_group(spark):
+    """A text meets its group under many keys; it keeps a few partners, not others under each of them."""
+    from gavel.llm import neardup
+
+    def count(n):
+        rng = np.random.default_rng(n)
+        prints = [[sum(1 << int(b) for b in rng.choice(24, rng.integers(3, 8), replace=False)) for _ in range(4)] for _ in range(n)]
+        texts = spark.createDataFrame([(i, *p) for i, p in enumerate(prints)], "rid long, f0 long, f1 long, f2 long, f3 long")
+        return neardup.candidates(texts).count()
+
+    few, many = count(150), count(600)
+    print("pairs", few, many)
+    assert few <= 8 * 150 and many <= 8 * 600
