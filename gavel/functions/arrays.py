@@ -115,9 +115,9 @@ def distractor_pools(gold: Column) -> list[Column]:
 
 
 def _draw(gold: Column, data: Column, t: int) -> Column:
-    """Draw `t` picks one value of pool `t mod 4`, computed without building the pool."""
+    """Draw `t` picks one value of pool `t mod 4` by a byte of the digest's chunks, computed without building the pool."""
     size = POOL_SIZES[t % 4]
-    i = F.get(data, F.lit(t)) % size
+    i = chunk_byte(F.get(data, F.lit(t // CHUNK)), t % CHUNK) % size
     if t % 4 == 0:
         deltas = F.array(*[F.lit(float(d)) for d in DISTRACTOR_DELTAS])
         return gold + F.get(deltas, i)
@@ -133,15 +133,22 @@ def _draw(gold: Column, data: Column, t: int) -> Column:
 def numeric_options(gold: Column, count: int, seed: int | str, key: Column) -> Column:
     """`count` distinct numeric options, the gold text among them, in seeded order.
 
-    Digest bytes draw from the four pools in turn. Should they give too few
-    distinct values, the pools themselves follow as a reserve; a number that even
-    they cannot give is an error.
+    Digest bytes draw from the four pools in turn. Mostly the first draws give
+    enough distinct values, so the others are only computed where they do not.
+    Should all give too few, the pools themselves follow as a reserve; a number
+    that even they cannot give is an error.
     """
     draws = min(32, 3 * count)
-    data = digest_bytes(F.concat_ws(":", F.lit(str(seed)), key, gold), draws)
+    first = min(draws, CHUNK * -(-7 * count // (5 * CHUNK)))
+    data = F.sha2(F.concat_ws(":", F.lit(str(seed)), key, gold), 256)
 
     def wrong(s: Column) -> Column:
-        value, b = s["value"], s["data"]
+        value, hexed = s["value"], s["data"]
+
+        def picks(n: int) -> Column:
+            chunks = F.array(*[digest_chunk(hexed, c) for c in range(-(-n // CHUNK))])
+            drawn = let(chunks, lambda b: F.array(*[_draw(value, b, t) for t in range(n)]))
+            return F.array_distinct(_texts(drawn, gold))
 
         def enough(picked: Column) -> Column:
             rest = F.array_union(picked, _texts(F.concat(*distractor_pools(value)), gold))
@@ -149,8 +156,10 @@ def numeric_options(gold: Column, count: int, seed: int | str, key: Column) -> C
             few = F.raise_error(F.lit(f"fewer than {count - 1} distinct wrong options")).cast("array<string>")
             return F.when(F.size(chosen) < count - 1, few).otherwise(F.slice(chosen, 1, count - 1))
 
-        drawn = F.array(*[_draw(value, b, t) for t in range(draws)])
-        return let(F.array_distinct(_texts(drawn, gold)), enough)
+        def all_if_few(picked: Column) -> Column:
+            return F.when(F.size(picked) >= count - 1, picked).otherwise(picks(draws))
+
+        return let(let(picks(first), all_if_few), enough)
 
     bound = F.struct(gold.cast("double").alias("value"), data.alias("data"))
     return seeded_shuffle(F.concat(F.array(gold), let(bound, wrong)), seed, key)

@@ -60,6 +60,17 @@ def test_numeric_options_reserve(one, monkeypatch):
     assert len(set(got)) == 10 and "5" in got and "6" in got
 
 
+def test_numeric_options_later_draws_only_where_needed(one, monkeypatch):
+    """Draws after the first are computed only if these give too few distinct values, and then all count."""
+    later = F.raise_error(F.lit("not needed")).cast("double")
+    monkeypatch.setattr(A, "_draw", lambda gold, data, t: gold + float(t + 1) if t < 14 else later)
+    got = one(A.numeric_options(F.lit("5"), 10, 42, F.lit("x")))[0]
+    assert sorted(got, key=int) == [str(n) for n in range(5, 15)]
+    monkeypatch.setattr(A, "_draw", lambda gold, data, t: gold + float(t // 3 + 1))
+    got = one(A.numeric_options(F.lit("5"), 10, 42, F.lit("x")))[0]
+    assert sorted(got, key=int) == [str(n) for n in range(5, 15)]
+
+
 def test_seeded_shuffle(one):
     values = F.array(*[F.lit(v) for v in "abcd"])
     got = one(A.seeded_shuffle(values, 42, F.lit("k")))[0]
