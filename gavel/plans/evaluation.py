@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gavel.operators.items import build_items
 from gavel.operators.leaderboard import dataset_scores, leaderboard, task_scores
 from gavel.operators.metrics import summarize
-from gavel.schemas import SCHEMA_VERSION, TASKS, require_rows, validate_predictions
+from gavel.schemas import ITEM_TEXTS, SCHEMA_VERSION, TASKS, require_rows, validate_predictions
 from gavel.session import checked_broadcast, local_table, materialize
 from gavel.sources import sinks
 from gavel.sources.readers import glob, read_source, resolve_one
@@ -174,20 +174,23 @@ def evaluate(
     predicted_index, latency_ms, score_metadata). `done` resumes a run: the
     metrics of finished (model, dataset) pairs are kept and not scored again.
     Items are converted once and every item is scored once: both tables are
-    written to the shared folder. The board lists all enabled models.
+    written to the shared folder. Question and options stay with the items, so that
+    long texts are not written again for every model; `text_key`, their hash, tells
+    items of one id apart. The board lists all enabled models.
     """
     datasets, skipped = plan_datasets(spark, config, phase)
     chosen = config["runtime"].get("selected_model_ids")
     enabled = [m["id"] for m in _selected(config["models"], None, "models")]
     models = [m["id"] for m in _selected(config["models"], chosen, "models")]
-    items = materialize(load_items(spark, datasets, int(config["runtime"].get("seed", 42))), "items")
+    items = load_items(spark, datasets, int(config["runtime"].get("seed", 42)))
+    items = materialize(items.withColumn("text_key", F.xxhash64(*ITEM_TEXTS)), "items")
     for dataset in datasets:
         require_rows(items.filter(F.col("dataset") == dataset["id"]), dataset["id"])
 
     def scored(model: str) -> DataFrame:
         meant = [t for t in TASKS if model in task_models(config, t, models)]
         pending = _pending(items.filter(F.col("task").isin(meant)), done, model)
-        return validate_predictions(scorers[model](pending)).withColumn("model", F.lit(model))
+        return validate_predictions(scorers[model](pending)).drop(*ITEM_TEXTS).withColumn("model", F.lit(model))
 
     started = time.monotonic()
     predictions = materialize(reduce(DataFrame.unionByName, map(scored, models)), "predictions")
@@ -266,13 +269,15 @@ def run_ledger(run: Evaluation, run_id: str, metrics: DataFrame) -> DataFrame:
 
 
 def save(run: Evaluation, root: str, run_id: str, phase: str = "production") -> None:
-    """Store a run: predictions once, then metadata, metrics, leaderboard and status from the stored rows.
+    """Store a run: predictions and items once, then metadata, metrics, leaderboard and status from the stored rows.
 
-    `read_saved` reads predictions and metadata back as records.
+    `read_saved` reads predictions and metadata back as records. The items hold the
+    questions and options of all models' predictions, by dataset, id and text_key.
     """
     spark = run.items.sparkSession
     predictions = run.predictions.withColumn("run", F.lit(run_id))
     sinks.write_predictions(predictions, f"{root}/predictions")
+    sinks.write_items(run.items.withColumn("run", F.lit(run_id)), f"{root}/items")
     sinks.write_run_metadata(saved_metadata(run, run_id), f"{root}/metadata")
     stored = spark.read.schema(predictions.schema).parquet(f"{root}/predictions")
     metrics = summarize(stored)

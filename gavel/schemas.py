@@ -15,6 +15,7 @@ ITEM = (
     "gold_index INT, metadata MAP<STRING,STRING>"
 )
 ITEM_COLUMNS = ("dataset", "task", "id", "question", "options", "gold_index", "metadata")
+ITEM_TEXTS = ("question", "options")  # what a prediction does not repeat
 
 USAGE = "STRUCT<input_tokens: BIGINT, output_tokens: BIGINT>"
 SCORE_METADATA = f"STRUCT<usage: {USAGE}>"

@@ -51,6 +51,12 @@ def write_predictions(
     _gathered(df, by).write.mode("append").partitionBy(*by).format(fmt).save(path)
 
 
+def write_items(df: DataFrame, path: str) -> None:
+    """Items of a run as Parquet, as they lie: whole texts are neither shuffled nor sorted."""
+    _claim(df.sparkSession, path)
+    df.write.mode("append").parquet(path)
+
+
 def write_run_metadata(df: DataFrame, path: str) -> None:
     """One JSON line per run."""
     _claim(df.sparkSession, path)

@@ -1,4 +1,6 @@
 import json
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +94,35 @@ def test_saved_names_stay_text(spark, root, tmp_path):
     ]
 
 
+def test_long_texts_are_stored_once_a_run(spark, tmp_path):
+    """Questions and options are no copy for every model: predictions grow with the rows, not with their texts."""
+
+    def size(path):
+        return sum(p.stat().st_size for p in Path(path.removeprefix("file:")).rglob("*.parquet"))
+
+    rows = [{"id": i // 2, "text": random.Random(i).randbytes(10_000).hex(), "y": i % 2} for i in range(30)]
+    (tmp_path / "yes.jsonl").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
+    cfg = config(tmp_path)
+    cfg["datasets"] = [{**cfg["datasets"][0], "limit": None}]
+    cfg["tasks"] = {"noul": {"datasets": ["yes"]}}
+    run = E.evaluate(spark, cfg, SCORERS)
+    out = f"{tmp_path}/out"
+    E.save(run, out, "r1")
+    texts = size(run.items._scratch_path)
+    assert texts > 300_000  # incompressible
+    assert size(run.predictions._scratch_path) < texts / 5 and size(f"{out}/predictions") < texts / 5
+    assert read_saved(spark, out).count() == 60
+    items = spark.read.parquet(f"{out}/items")
+    assert items.select("run", "dataset").distinct().collect() == [("r1", "yes")]
+    # Every prediction finds its own whole text, also where ids repeat.
+    stored = spark.read.parquet(f"{out}/predictions").select("model", "dataset", "id", "text_key", "scores")
+    back = stored.join(items, ["dataset", "id", "text_key"]).collect()
+    got = sorted((r["model"], r["id"], r["question"], tuple(r["options"]), r["gold_index"]) for r in back)
+    assert got == sorted((m, f"yes:{r['id']}", r["text"], ("いいえ", "はい"), r["y"]) for m in "ab" for r in rows)
+    again = [(m, r["question"], r["scores"]) for m in "ab" for r in scorer(m)(items).collect()]
+    assert sorted(again) == sorted((r["model"], r["question"], r["scores"]) for r in back)
+
+
 def test_smoke_selection_and_gates(spark, root):
     run = E.evaluate(spark, config(root, selected_model_ids=["b"]), SCORERS, phase="smoke")
     assert {(r["model"], r["dataset"]): r["total"] for r in run.metrics.collect()} == {("b", "yes"): 3, ("b", "lvl"): 5}
